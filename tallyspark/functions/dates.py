@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,21 +11,33 @@ from pyspark.sql import types as T
 
 AsOf = dt.date | dt.datetime | str | Column | None
 
-# Formats tried, in this order, after ISO text.
-DATE_FORMATS = ("M/d/yyyy", "M/d/yyyy H:mm", "M/d/yyyy H:mm:ss", "yyyy/M/d", "d-M-yyyy", "d.M.yyyy", "yyyyMMdd")
+# Text shapes accepted as dates and the format each is read with.
+ISO_SHAPE = r"^\d{4}-\d{1,2}-\d{1,2}"
+DATE_SHAPES = {
+    r"^\d{1,2}/\d{1,2}/\d{4}$": "M/d/yyyy",
+    r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}$": "M/d/yyyy H:mm",
+    r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}$": "M/d/yyyy H:mm:ss",
+    r"^\d{4}/\d{1,2}/\d{1,2}$": "yyyy/M/d",
+    r"^\d{1,2}-\d{1,2}-\d{4}$": "d-M-yyyy",
+    r"^\d{1,2}\.\d{1,2}\.\d{4}$": "d.M.yyyy",
+    r"^\d{8}$": "yyyyMMdd",
+}
 
 
-def to_moment(df: DataFrame, name: str, formats: Sequence[str] = DATE_FORMATS) -> Column:
-    """Coerce ``df[name]`` to TIMESTAMP_NTZ; unreadable values become NULL."""
+def to_moment(df: DataFrame, name: str, shapes: Mapping[str, str] = DATE_SHAPES) -> Column:
+    """Coerce ``df[name]`` to TIMESTAMP_NTZ; unreadable values become NULL.
+
+    The shape is matched before a format is tried, so junk text costs no parse attempts.
+    """
     field = df.schema[name].dataType
     col = F.col(name)
     if isinstance(field, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return col.cast("timestamp_ntz")
     text = F.trim(col.cast("string"))
-    # A four-digit lower bound keeps bare numbers such as '12' from reading as years.
-    iso = F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), text.try_cast("timestamp_ntz"))
-    tries = [F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in formats]
-    return F.coalesce(iso, *tries)
+    moment = F.when(text.rlike(ISO_SHAPE), text.try_cast("timestamp_ntz"))
+    for shape, pattern in shapes.items():
+        moment = moment.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(pattern)).cast("timestamp_ntz"))
+    return moment
 
 
 def day(name: str) -> Column:

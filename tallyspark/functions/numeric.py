@@ -34,6 +34,12 @@ def total(col: Column | str) -> Column:
     return F.sum(col).cast("double")
 
 
+def half_even(col: Column, digits: int) -> Column:
+    """Round to ``digits`` places by scaling, ties to even on the scaled binary value."""
+    scale = F.lit(float(10**digits))
+    return F.rint(col * scale) / scale
+
+
 def fixed(col: Column, digits: int) -> Column:
     """Number text without separators, ties rounded to even."""
     return F.replace(F.format_number(col.cast("double"), digits), F.lit(","), F.lit(""))

@@ -153,7 +153,7 @@ def alert_centre(
         known = stock.select("product", F.col("current_stock").cast("double").alias("current_stock"))
         products = profile.drop("last_stock").join(known, "product", "full")
     else:
-        products = with_current_stock(profile)
+        products = with_current_stock(profile, sales)
     on_hand, demand = F.col("current_stock"), F.coalesce(F.col("avg_daily_quantity"), F.lit(0.0))
     status = status_columns(on_hand, demand, critical_days)
     # Demand in units judges the stock; average sales judge the slow movers.

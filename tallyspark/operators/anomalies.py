@@ -185,14 +185,19 @@ def detector(
     else:
         # The window is a quarter of the series, at most 30 rows: known only once the
         # series is, so a 30-row frame is carried and cut to size.
-        rows = rows.withColumn("_last", F.collect_list("sales").over(_frame((), "date", -29, 0)))
-        stats["_n"] = F.count(F.lit(1))
+        rows = rows.select(
+            "*", F.collect_list("sales").over(_frame((), "date", -29, 0)).alias("_last"),
+            F.count(F.lit(1)).over(W.partitionBy()).alias("_n"),
+        )
         size = F.least(F.lit(30), F.floor(F.col("_n") / 4).cast("int"))
         recent = F.when((size >= 2) & (F.size("_last") >= size), F.slice("_last", -size, size))
         count = F.size(recent).cast("double")
         mean = F.aggregate(recent, F.lit(0.0), lambda a, v: a + v) / count
-        spread = F.aggregate(recent, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean))
-        hit = F.abs(ratio(x - mean, F.sqrt(spread / (count - 1)))) > 2.0
+        spread = F.aggregate("_recent", F.lit(0.0), lambda a, v: a + (v - F.col("_mean")) * (v - F.col("_mean")))
+        rows = rows.select("date", "sales", recent.alias("_recent"), mean.alias("_mean")).select(
+            "date", "sales", "_mean", F.sqrt(spread / (F.size("_recent") - 1)).alias("_std"),
+        )
+        hit = F.abs(ratio(x - F.col("_mean"), F.col("_std"))) > 2.0
     found = _with_stats(rows, (), stats).filter(hit)
     return found.select(
         "date", "sales",

@@ -30,7 +30,12 @@ def _daily(series: DataFrame, keys: Sequence[str], date: str, sales: str) -> Dat
     require_columns(series, [*keys, date, sales])
     rows = series.select(*keys, F.to_date(date).alias("date"), F.col(sales).alias("_y"))
     rows = rows.filter(F.col("date").isNotNull() & F.col("_y").isNotNull())
-    return rows.groupBy(*keys, "date").agg(F.sum("_y").cast("double").alias("y"))
+    daily = rows.groupBy(*keys, "date").agg(F.sum("_y").cast("double").alias("y"))
+    if not keys:
+        return daily
+    # Fitting costs far more per byte than a scan, so the series keep all partitions
+    # instead of being packed together by size; every later window and grouping reuses them.
+    return daily.repartition(int(series.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def _with_future(daily: DataFrame, keys: Sequence[str], horizon: int) -> DataFrame:

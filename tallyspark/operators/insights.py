@@ -12,6 +12,7 @@ from tallyspark.functions.numeric import fixed, grouped
 from tallyspark.operators import kpis
 from tallyspark.operators.anomalies import rolling_band
 from tallyspark.operators.rollups import daily_sales, fill_days, hourly_sales, product_totals
+from tallyspark.session import settle
 
 # Month -> (title, priority, impact) of the seasonal opportunities.
 SEASONS: dict[int, tuple[str, int, float]] = {
@@ -157,23 +158,23 @@ def generate_insights(sales: DataFrame, as_of: AsOf = None, currency: str = "₹
     """Every insight the present columns allow (unranked).
 
     All generators start from two rollups of the raw table: (day, hour) totals,
-    bounded by the calendar, and per-product totals.  Generators that share a
-    rollup also share its shuffle.
+    bounded by the calendar, and per-product totals.  Each is computed once and
+    stored, so the raw table is read twice however many insights are drawn.
     """
     columns, found = set(sales.columns), []
     dated = {"date", "sales"} <= columns
-    hourly = hourly_sales(sales).select("date", "hour", "sales") if dated else None
+    hourly = settle(hourly_sales(sales).select("date", "hour", "sales")) if dated else None
     if dated:
         found += trend_insights(hourly, as_of)
     if "product" in columns and columns & {"sales", "quantity"}:
-        totals = product_totals(sales)
+        totals = settle(product_totals(sales))
         if "sales" not in columns:
             totals = totals.drop("profit")
         found += product_insights(totals, currency)
     if dated:
         found += timing_insights(hourly, peak_share_pct)
     if "date" in columns or as_of is not None:
-        found.append(seasonal_opportunities(sales, as_of))
+        found.append(seasonal_opportunities(hourly if dated else sales, as_of))
     if dated:
         found.append(anomaly_insights(daily_sales(hourly), currency))
     if not found:

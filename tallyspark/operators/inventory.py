@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions.dates import AsOf, as_comparable, as_of_moment, day, days_before
-from tallyspark.functions.numeric import normal_quantile, ratio, to_number
+from tallyspark.functions.numeric import half_even, normal_quantile, ratio, to_number
 from tallyspark.operators.rollups import product_days
 from tallyspark.schemas import require_columns
 
@@ -37,16 +37,21 @@ def stock_snapshot(df: DataFrame, product: str = "product", date: str = "date",
     of average quantity (``fallback`` where that is unknown), or 0 when nothing
     was ever sold.
     """
-    profile = with_current_stock(stock_profile(df, product, date), cover_days, fallback)
+    profile = with_current_stock(stock_profile(df, product, date), df, cover_days, fallback)
     return profile.select("product", "current_stock").filter(F.col("current_stock").isNotNull())
 
 
-def with_current_stock(profile: DataFrame, cover_days: int = 7, fallback: float = 50.0) -> DataFrame:
-    """Add ``current_stock`` to a stock profile: the last reading, or the assumed cover if nobody has one."""
-    has_quantity = "avg_daily_quantity" in profile.columns
-    quantity = F.col("avg_daily_quantity") if has_quantity else F.lit(None).cast("double")
-    facts = profile.select(F.struct(
-        F.count("last_stock").alias("known"), F.coalesce(F.sum(quantity), F.lit(0.0)).alias("moved"),
+def with_current_stock(profile: DataFrame, source: DataFrame, cover_days: int = 7, fallback: float = 50.0) -> DataFrame:
+    """Add ``current_stock`` to a stock profile: the last reading, or the assumed cover if nobody has one.
+
+    Whether anybody has one is asked of the ``source`` rows: two column totals
+    without a shuffle, instead of a second pass over the profile.
+    """
+    quantity = F.col("avg_daily_quantity") if "avg_daily_quantity" in profile.columns else F.lit(None).cast("double")
+    has = set(source.columns)
+    facts = source.select(F.struct(
+        (F.count("current_stock") if "current_stock" in has else F.lit(0)).alias("known"),
+        (F.coalesce(F.sum("quantity").cast("double"), F.lit(0.0)) if "quantity" in has else F.max(F.lit(0.0))).alias("moved"),
     ).alias("f")).scalar()
     assumed = F.when(facts["moved"] > 0, F.coalesce(quantity * cover_days, F.lit(fallback))).otherwise(F.lit(0.0))
     return profile.withColumn("current_stock", F.when(facts["known"] > 0, F.col("last_stock")).otherwise(assumed))
@@ -62,7 +67,7 @@ def status_columns(stock: Column, average: Column, critical_days: float) -> dict
         .otherwise("Good Stock")
     )
     return {
-        "stockout_risk_days": F.bround(days, 1),
+        "stockout_risk_days": half_even(days, 1),
         "is_critical": F.coalesce((days <= critical_days) & (days >= 0), F.lit(False)),
         "status_label": label,
     }
@@ -92,7 +97,7 @@ def inventory_risk_levels(stock: DataFrame, averages: DataFrame, critical_days:
         .when(days <= critical_days * 2, "Medium").otherwise("Low")
     )
     return left.join(right, "product_id").withColumns({
-        "days_until_stockout": F.bround(days, 2),
+        "days_until_stockout": half_even(days, 2),
         "stockout_risk": risk,
         "alert_required": risk.isin("High", "Critical"),
     })

@@ -359,7 +359,7 @@ STATUS = """judged AS (
               WHEN avg_daily_quantity > 0 THEN current_stock / avg_daily_quantity END AS days
   FROM stock s LEFT JOIN averages a ON a.product = s.product_id),
 status AS (
-  SELECT product, current_stock, demand AS avg_daily_sales, round_even(days, 1) AS stockout_risk_days,
+  SELECT product, current_stock, demand AS avg_daily_sales, round_even(days * 10, 0) / 10 AS stockout_risk_days,
          coalesce(days <= 5 AND days >= 0, false) AS is_critical,
          CASE WHEN current_stock > 0 AND demand = 0 THEN 'No Sales' WHEN current_stock <= 0 THEN 'Out of Stock'
               WHEN days <= 5 THEN 'Critical Low Stock' ELSE 'Good Stock' END AS status_label
@@ -368,7 +368,7 @@ ORACLE["inventory_status_labels"] = with_(SALES, PRODUCT_DAYS, AVERAGES, STOCK,
 
 RISK = """risk AS (
   SELECT s.product_id, product_name, current_stock, avg_daily_quantity AS avg_daily_sales,
-         round_even(current_stock / nullif(avg_daily_quantity, 0), 2) AS days_until_stockout,
+         round_even(current_stock / nullif(avg_daily_quantity, 0) * 100, 0) / 100 AS days_until_stockout,
          CASE WHEN avg_daily_quantity = 0 THEN 'Low' WHEN current_stock / avg_daily_quantity <= 0 THEN 'Critical'
               WHEN current_stock / avg_daily_quantity <= 7 THEN 'High' WHEN current_stock / avg_daily_quantity <= 14 THEN 'Medium'
               ELSE 'Low' END AS stockout_risk
@@ -459,7 +459,7 @@ CENTRE = f"""centre_status AS (
   SELECT a.product, current_stock, avg_daily_quantity AS avg_daily_sales, a.avg_daily_sales AS money,
          CASE WHEN current_stock <= 0 AND avg_daily_quantity > 0 THEN 0 WHEN avg_daily_quantity > 0 THEN current_stock / avg_daily_quantity END AS days
   FROM averages a LEFT JOIN snapshot s ON s.product = a.product),
-critical AS (SELECT *, round_even(days, 1) AS stockout_risk_days FROM centre_status WHERE days <= 1 AND days >= 0),
+critical AS (SELECT *, round_even(days * 10, 0) / 10 AS stockout_risk_days FROM centre_status WHERE days <= 1 AND days >= 0),
 centre AS (
   SELECT CAST(d AS DATE) AS alert_date, 'Stockout Risk' AS type, 'Critical' AS severity, 'New' AS status, product, {STOCKOUT_TEXT}
   FROM critical, latest

@@ -28,7 +28,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 
 # Thresholds suited to the value range of the order tables.
-SLOW_SALES = 20_000.0
+SLOW_SALES = 45_000.0
 SLOW_RATE = 1_000.0
 PEAK_SHARE = 5.0
 

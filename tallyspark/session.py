@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app_name: str = "tallyspark", master: str | None = None, **conf: str) -> SparkSession:
@@ -24,6 +24,18 @@ def build_session(app_name: str = "tallyspark", master: str | None = None, **con
     return builder.getOrCreate()
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """Compute a rollup once and keep it in the checkpoint folder.
+
+    For small aggregates that many branches of one plan start from: the raw table
+    is then read once, and a lost executor costs a re-read of the stored result.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
