@@ -11,33 +11,32 @@ from pyspark.sql import types as T
 
 AsOf = dt.date | dt.datetime | str | Column | None
 
-# Text shapes accepted as dates and the format each is read with.
-ISO_SHAPE = r"^\d{4}-\d{1,2}-\d{1,2}"
+# Other accepted date shapes and their ISO rewriting (month before day with slashes).
+ISO_TEXT = r"^\d{4}-\d{1,2}-\d{1,2}.*$"
 DATE_SHAPES = {
-    r"^\d{1,2}/\d{1,2}/\d{4}$": "M/d/yyyy",
-    r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}$": "M/d/yyyy H:mm",
-    r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}$": "M/d/yyyy H:mm:ss",
-    r"^\d{4}/\d{1,2}/\d{1,2}$": "yyyy/M/d",
-    r"^\d{1,2}-\d{1,2}-\d{4}$": "d-M-yyyy",
-    r"^\d{1,2}\.\d{1,2}\.\d{4}$": "d.M.yyyy",
-    r"^\d{8}$": "yyyyMMdd",
+    r"^(\d{1,2})/(\d{1,2})/(\d{4})": "$3-$1-$2",
+    r"^(\d{4})/(\d{1,2})/(\d{1,2})": "$1-$2-$3",
+    r"^(\d{1,2})[-.](\d{1,2})[-.](\d{4})$": "$3-$2-$1",
+    r"^(\d{4})(\d{2})(\d{2})$": "$1-$2-$3",
 }
 
 
 def to_moment(df: DataFrame, name: str, shapes: Mapping[str, str] = DATE_SHAPES) -> Column:
     """Coerce ``df[name]`` to TIMESTAMP_NTZ; unreadable values become NULL.
 
-    The shape is matched before a format is tried, so junk text costs no parse attempts.
+    ISO text is cast at once.  Anything else is rewritten to ISO shape by shape,
+    and only a full date is cast: a bare number never reads as a year.
     """
     field = df.schema[name].dataType
     col = F.col(name)
     if isinstance(field, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return col.cast("timestamp_ntz")
     text = F.trim(col.cast("string"))
-    moment = F.when(text.rlike(ISO_SHAPE), text.try_cast("timestamp_ntz"))
-    for shape, pattern in shapes.items():
-        moment = moment.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(pattern)).cast("timestamp_ntz"))
-    return moment
+    rewritten = text
+    for shape, iso in shapes.items():
+        rewritten = F.regexp_replace(rewritten, shape, iso)
+    slow = F.regexp_extract(rewritten, ISO_TEXT, 0).try_cast("timestamp_ntz")
+    return F.when(text.rlike(ISO_TEXT), text.try_cast("timestamp_ntz")).otherwise(slow)
 
 
 def day(name: str) -> Column:
