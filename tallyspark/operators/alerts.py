@@ -341,11 +341,13 @@ def alert_rollup(alerts: DataFrame) -> DataFrame:
     pairs = alerts.groupBy("alert_type", "severity").agg(F.count(F.lit(1)).alias("n"))
     t, s = F.col("alert_type"), F.col("severity")
     level = F.grouping_id()
-    return pairs.groupingSets([[t, s], [t], [s], []], t, s).agg(
-        F.when(level == 3, "total").when(level == 1, "by_type").when(level == 2, "by_severity")
-        .otherwise("by_type_severity").alias("level"),
-        F.coalesce(F.sum("n"), F.lit(0)).alias("alerts"),
-    ).select("level", "alert_type", "severity", "alerts")
+    detail = pairs.groupingSets([[t, s], [t], [s]], t, s).agg(
+        F.when(level == 1, "by_type").when(level == 2, "by_severity").otherwise("by_type_severity").alias("level"),
+        F.sum("n").alias("alerts"),
+    )
+    # The total is a plain aggregate, which has its row of 0 even without alerts.
+    grand = pairs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("alerts")).withColumn("level", F.lit("total"))
+    return detail.unionByName(grand, allowMissingColumns=True).select("level", "alert_type", "severity", "alerts")
 
 
 def alert_summary(alerts: DataFrame, k: int = 5) -> DataFrame:
