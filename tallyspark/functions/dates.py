@@ -57,13 +57,16 @@ def as_of_moment(df: DataFrame, date: str, as_of: AsOf = None) -> Column:
     return F.lit(str(as_of)).cast("timestamp_ntz")
 
 
-def days_before(moment: Column, days: int) -> Column:
-    return moment - F.make_dt_interval(F.lit(days))
+def cutoff(df: DataFrame, date: str, days: int, as_of: AsOf = None) -> Column:
+    """``days`` before ``as_of``, in the type of the date column.
 
-
-def as_comparable(df: DataFrame, date: str, moment: Column) -> Column:
-    """Cast a moment to the type of the date column so the comparison needs no cast on the column."""
-    return moment.cast(df.schema[date].dataType)
+    The subtraction happens inside the subquery (or folds into the literal), so
+    the scan compares its bare column with one value and can skip row groups.
+    """
+    kind, span = df.schema[date].dataType, F.make_dt_interval(F.lit(days))
+    if as_of is None:
+        return df.select((F.max(F.col(date)).cast("timestamp_ntz") - span).cast(kind).alias("cutoff")).scalar()
+    return (as_of_moment(df, date, as_of) - span).cast(kind)
 
 
 def weekday(col: Column) -> Column:

@@ -215,8 +215,12 @@ def filter_alerts_page(
 
 
 def sort_alerts_page(alerts: DataFrame) -> DataFrame:
-    """Most severe first, then latest first."""
-    return alerts.orderBy(F.desc(_rank(F.col("severity"), PAGE_SEVERITY_RANK, 0)), F.desc("alert_date"))
+    """Most severe first, then latest first.
+
+    Type and product break ties, which also spreads the sort: severity and date
+    alone would send most alerts of a day to one range.
+    """
+    return alerts.orderBy(F.desc(_rank(F.col("severity"), PAGE_SEVERITY_RANK, 0)), F.desc("alert_date"), "type", "product")
 
 
 def alert_groups(alerts: DataFrame) -> DataFrame:
@@ -325,11 +329,12 @@ def valid_alerts(alerts: DataFrame) -> DataFrame:
 
 def sort_alerts_module(alerts: DataFrame, sort_by: str = "severity", ascending: bool = False) -> DataFrame:
     """By severity (most severe first unless ``ascending``) or by any field, largest first by default."""
+    ties = [c for c in ("alert_type", "product_id") if c in alerts.columns and c != sort_by]
     if sort_by == "severity":
         rank = _rank(F.coalesce(F.col("severity"), F.lit("Low")), MODULE_SEVERITY_RANK, 4)
-        return alerts.orderBy(F.desc(rank) if ascending else F.asc(rank))
+        return alerts.orderBy(F.desc(rank) if ascending else F.asc(rank), *ties)
     key = F.col(sort_by) if sort_by in alerts.columns else F.lit("")
-    return alerts.orderBy(F.asc_nulls_first(key) if ascending else F.desc_nulls_last(key))
+    return alerts.orderBy(F.asc_nulls_first(key) if ascending else F.desc_nulls_last(key), *ties)
 
 
 def alert_rollup(alerts: DataFrame) -> DataFrame:

@@ -130,20 +130,29 @@ def ar_candidates(
         ]
     stats = rows.groupBy(*keys).agg(*moments).filter(F.col("n_rows") >= min_rows)
     m = F.col("m")
+    forms = [(d, lag7) for d in variables for lag7 in (False, True)]
+
+    def phis(d: int, lag7: bool) -> list[Column]:
+        saa, sbb, sab, sza, szb = (F.col(f"{s}{d}") for s in ("saa", "sbb", "sab", "sza", "szb"))
+        tag = f"{d}{int(lag7)}"
+        if not lag7:
+            return [F.when(saa > 0, ratio(sza, saa)).alias(f"p1_{tag}"), F.lit(0.0).alias(f"p7_{tag}")]
+        det = saa * sbb - sab * sab
+        usable = det > F.lit(1e-9) * saa * sbb
+        return [
+            F.when(usable, ratio(sza * sbb - szb * sab, det)).alias(f"p1_{tag}"),
+            F.when(usable, ratio(szb * saa - sza * sab, det)).alias(f"p7_{tag}"),
+        ]
+
+    def criterion(d: int, lag7: bool) -> Column:
+        tag, terms = f"{d}{int(lag7)}", 3 if lag7 else 2
+        error = F.col(f"szz{d}") - F.col(f"p1_{tag}") * F.col(f"sza{d}") - F.col(f"p7_{tag}") * F.col(f"szb{d}")
+        return F.when(m >= terms + 2, m * F.ln(F.greatest(error, F.lit(1e-12))) + 2 * terms).alias(f"aic_{tag}")
 
     def candidate(d: int, lag7: bool) -> Column:
-        saa, sbb, sab, sza, szb, szz = (F.col(f"{s}{d}") for s in ("saa", "sbb", "sab", "sza", "szb", "szz"))
-        if lag7:
-            det = saa * sbb - sab * sab
-            usable = det > F.lit(1e-9) * saa * sbb
-            phi1 = F.when(usable, ratio(sza * sbb - szb * sab, det))
-            phi7 = F.when(usable, ratio(szb * saa - sza * sab, det))
-        else:
-            phi1, phi7 = F.when(saa > 0, ratio(sza, saa)), F.lit(0.0)
-        error = szz - phi1 * sza - phi7 * szb
-        terms = 3 if lag7 else 2
-        aic = F.when(m >= terms + 2, m * F.ln(F.greatest(error, F.lit(1e-12))) + 2 * terms)
-        return F.when(aic.isNotNull(), F.struct(
+        tag = f"{d}{int(lag7)}"
+        phi1, phi7, aic = F.col(f"p1_{tag}"), F.col(f"p7_{tag}"), F.col(f"aic_{tag}")
+        return F.when((phi1 + aic).isNotNull(), F.struct(
             aic.alias("aic"), F.lit(f"d{d}_lag1{'_7' if lag7 else ''}").alias("form"), F.lit(d).alias("d"),
             (F.col(f"z{d}") - phi1 * F.col(f"a{d}") - phi7 * F.col(f"b{d}")).alias("c"), phi1.alias("phi1"), phi7.alias("phi7"),
         ))
@@ -153,9 +162,11 @@ def ar_candidates(
         F.lit("mean").alias("form"), F.lit(0).alias("d"),
         F.when(m >= 3, F.col("z0")).otherwise(F.col("mean_y")).alias("c"), F.lit(0.0).alias("phi1"), F.lit(0.0).alias("phi7"),
     )
-    options = F.array_compact(F.array(candidate(0, False), candidate(0, True), candidate(1, False), candidate(1, True), mean_only))
+    fitted = stats.select("*", *[c for f in forms for c in phis(*f)])
+    judged = fitted.select("*", *[criterion(*f) for f in forms])
+    options = F.array_compact(F.array(*[candidate(*f) for f in forms], mean_only))
     recent = F.array(*[F.coalesce(F.col(f"r{k}"), F.lit(0.0)) for k in range(7, -1, -1)])
-    return stats.select(*keys, "last_date", "n_rows", "m", options.alias("candidates"), recent.alias("recent"))
+    return judged.select(*keys, "last_date", "n_rows", "m", options.alias("candidates"), recent.alias("recent"))
 
 
 def ar_coefficients(series: DataFrame, keys: Sequence[str] = ("product",), date: str = "date", sales: str = "sales") -> DataFrame:
@@ -314,7 +325,8 @@ def backtest(
     if model not in MODELS:
         raise ValueError(f"model must be one of {sorted(MODELS)}")
     rows = _origins(series, window, horizon, step, keys, date, sales)
-    by_origin = [*keys, "_origin"]
+    # The origin leads, as its short integers decide most comparisons when sorting.
+    by_origin = ["_origin", *keys]
     if model == "trend_seasonal":
         # Test days travel with their training rows as days to predict, so nothing is joined.
         blind = rows.select(*by_origin, "date", F.when(~F.col("_test"), F.col("y")).alias("y"),

@@ -73,16 +73,20 @@ def profile_columns(df: DataFrame, approximate_distinct: bool = False) -> DataFr
     pairs = candidates(df)
     if not pairs:
         raise ValueError("No column name matches a known role")
+    values: list[Column] = []
     measures: list[Column] = [F.count(F.lit(1)).alias("n")]
     for name, role, position in pairs:
         tag = f"{role}_{position}"
+        value = F.col(f"v_{tag}")
         if role == "product":
-            distinct = F.approx_count_distinct(name, 0.01) if approximate_distinct else F.count_distinct(F.col(name))
-            measures += [F.count(name).alias(f"p_{tag}"), distinct.alias(f"d_{tag}")]
+            values.append(F.col(name).alias(f"v_{tag}"))
+            distinct = F.approx_count_distinct(value, 0.01) if approximate_distinct else F.count_distinct(value)
+            measures += [F.count(value).alias(f"p_{tag}"), distinct.alias(f"d_{tag}")]
         elif role == "date":
-            measures.append(F.count(to_moment(df, name)).alias(f"p_{tag}"))
+            values.append(to_moment(df, name).alias(f"v_{tag}"))
+            measures.append(F.count(value).alias(f"p_{tag}"))
         else:
-            value = to_number(df, name)
+            values.append(to_number(df, name).alias(f"v_{tag}"))
             signed = value > 0 if role == "sales" else value >= 0
             measures += [F.count(value).alias(f"p_{tag}"), F.count_if(signed).alias(f"s_{tag}")]
 
@@ -107,7 +111,7 @@ def profile_columns(df: DataFrame, approximate_distinct: bool = False) -> DataFr
     # The window runs over the profile, which has one row per candidate column.
     first_hit = F.min(F.when(F.col("passes"), F.col("position"))).over(W.partitionBy("role"))
     return (
-        df.agg(*measures)
+        df.select(*values).agg(*measures)
         .select(F.inline(F.array(*rows)))
         .withColumn("selected", F.coalesce(F.col("position") == first_hit, F.lit(False)))
     )

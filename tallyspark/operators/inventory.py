@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.functions.dates import AsOf, as_comparable, as_of_moment, day, days_before
+from tallyspark.functions.dates import AsOf, as_of_moment, cutoff, day
 from tallyspark.functions.numeric import half_even, normal_quantile, ratio, to_number
 from tallyspark.operators.rollups import product_days
 from tallyspark.schemas import require_columns
@@ -124,7 +124,7 @@ def slow_movers(
     if method not in ("sales_rate", "quantity_rate", "days_since_sale"):
         raise ValueError("method must be 'sales_rate', 'quantity_rate', or 'days_since_sale'")
     end = as_of_moment(df, date, as_of)
-    recent = df.filter(F.col(date) >= as_comparable(df, date, days_before(end, window_days)))
+    recent = df.filter(F.col(date) >= cutoff(df, date, window_days, as_of))
     usable = recent.select(
         F.col(product).cast("string").alias("product_id"), day(date).alias("date"),
         F.col(sales).alias("sales"), F.col(quantity).alias("quantity"),
@@ -164,9 +164,8 @@ def zero_velocity_products(
 ) -> DataFrame:
     """Products without a sale in the window: all products minus active ones, as one aggregate."""
     require_columns(df, [product, date])
-    cutoff = as_comparable(df, date, days_before(as_of_moment(df, date, as_of), window_days))
     last = df.groupBy(F.col(product).cast("string").alias("product_id")).agg(F.max(date).alias("_last"))
-    return last.filter(F.col("_last").isNull() | (F.col("_last") < cutoff)).select(
+    return last.filter(F.col("_last").isNull() | (F.col("_last") < cutoff(df, date, window_days, as_of))).select(
         "product_id", F.lit("Zero Velocity").alias("alert_type"), F.lit("Critical").alias("severity"),
         F.lit(window_days).alias("days_without_sale"), F.lit(window_days).alias("threshold_used"),
     )
@@ -178,8 +177,7 @@ def stagnant_inventory(
 ) -> DataFrame:
     """Products that sold in the window but no more than ``max_quantity``."""
     require_columns(df, [product, quantity, date])
-    cutoff = as_comparable(df, date, days_before(as_of_moment(df, date, as_of), window_days))
-    sold = df.filter(F.col(date) >= cutoff).groupBy(F.col(product).cast("string").alias("product_id")).agg(
+    sold = df.filter(F.col(date) >= cutoff(df, date, window_days, as_of)).groupBy(F.col(product).cast("string").alias("product_id")).agg(
         F.coalesce(F.sum(quantity).cast("double"), F.lit(0.0)).alias("_sold")
     )
     return sold.filter(F.col("_sold") <= max_quantity).select(
