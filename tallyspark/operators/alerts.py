@@ -17,8 +17,8 @@ from tallyspark.functions.dates import AsOf, as_of_moment
 from tallyspark.functions.numeric import fixed
 from tallyspark.operators.anomalies import rolling_zscore
 from tallyspark.operators.inventory import status_columns, stock_profile, with_current_stock
-from tallyspark.operators.rollups import daily_sales
 from tallyspark.schemas import MODULE_ALERT_CORE, require_columns, with_missing_columns
+from tallyspark.session import settle
 
 # Severity ranks of the two flavours, and of combined inventory alerts.
 PAGE_SEVERITY_RANK = {"Critical": 5, "High": 4, "Medium": 3, "Low": 2, "Informational": 1}
@@ -143,17 +143,23 @@ def alert_centre(
 
     Every product is profiled once and fans out into its stockout, low-stock and
     slow-mover alerts; the daily totals add the sales anomalies.  The raw table
-    is read for those two rollups only.  Stock readings come from ``stock``
-    (``product, current_stock``) or else from the sales rows.
+    is read for those two rollups only: the daily one, bounded by the calendar,
+    is computed once and stored, as the latest date and the stock facts also
+    come from it.  Stock readings come from ``stock`` (``product,
+    current_stock``) or else from the sales rows.
     """
     require_columns(sales, ["date", "product", "sales", "quantity"])
-    when = as_of_moment(sales, "date", as_of)
+    readings = [F.count("current_stock").alias("known")] if "current_stock" in sales.columns else [F.lit(0).alias("known")]
+    daily = settle(sales.groupBy(F.to_date("date").alias("date")).agg(
+        F.sum("sales").alias("sales"), F.sum("quantity").alias("quantity"), F.max("date").alias("latest"), *readings,
+    ))
+    when = as_of_moment(daily, "latest", as_of)
     profile = stock_profile(sales)
     if stock is not None:
         known = stock.select("product", F.col("current_stock").cast("double").alias("current_stock"))
         products = profile.drop("last_stock").join(known, "product", "full")
     else:
-        products = with_current_stock(profile, sales)
+        products = with_current_stock(profile, daily.agg(F.sum("known").alias("known"), F.sum("quantity").alias("moved")))
     on_hand, demand = F.col("current_stock"), F.coalesce(F.col("avg_daily_quantity"), F.lit(0.0))
     status = status_columns(on_hand, demand, critical_days)
     # Demand in units judges the stock; average sales judge the slow movers.
@@ -170,7 +176,7 @@ def alert_centre(
         "_stockout", "_low", F.when(F.col("avg_daily_sales") < slow_threshold, _slow_struct(when)).alias("_slow"),
     )
     per_product = by_sales.select(F.inline(F.array_compact(F.array("_stockout", "_low", "_slow"))))
-    flagged = rolling_zscore(daily_sales(sales), threshold=z_threshold)
+    flagged = rolling_zscore(daily, threshold=z_threshold)
     return per_product.unionByName(anomaly_alerts_page(flagged, currency))
 
 

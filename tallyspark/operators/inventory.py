@@ -37,22 +37,26 @@ def stock_snapshot(df: DataFrame, product: str = "product", date: str = "date",
     of average quantity (``fallback`` where that is unknown), or 0 when nothing
     was ever sold.
     """
-    profile = with_current_stock(stock_profile(df, product, date), df, cover_days, fallback)
+    profile = with_current_stock(stock_profile(df, product, date), stock_facts(df), cover_days, fallback)
     return profile.select("product", "current_stock").filter(F.col("current_stock").isNotNull())
 
 
-def with_current_stock(profile: DataFrame, source: DataFrame, cover_days: int = 7, fallback: float = 50.0) -> DataFrame:
+def stock_facts(df: DataFrame) -> DataFrame:
+    """Number of stock readings and quantity moved: one row of column totals."""
+    has = set(df.columns)
+    return df.agg(
+        (F.count("current_stock") if "current_stock" in has else F.max(F.lit(0))).alias("known"),
+        (F.sum("quantity") if "quantity" in has else F.max(F.lit(0.0))).alias("moved"),
+    )
+
+
+def with_current_stock(profile: DataFrame, facts: DataFrame, cover_days: int = 7, fallback: float = 50.0) -> DataFrame:
     """Add ``current_stock`` to a stock profile: the last reading, or the assumed cover if nobody has one.
 
-    Whether anybody has one is asked of the ``source`` rows: two column totals
-    without a shuffle, instead of a second pass over the profile.
+    Whether anybody has one is told by ``facts`` (one row of ``stock_facts``), not by a second pass over the profile.
     """
     quantity = F.col("avg_daily_quantity") if "avg_daily_quantity" in profile.columns else F.lit(None).cast("double")
-    has = set(source.columns)
-    facts = source.select(F.struct(
-        (F.count("current_stock") if "current_stock" in has else F.lit(0)).alias("known"),
-        (F.coalesce(F.sum("quantity").cast("double"), F.lit(0.0)) if "quantity" in has else F.max(F.lit(0.0))).alias("moved"),
-    ).alias("f")).scalar()
+    facts = facts.select(F.struct("known", F.coalesce(F.col("moved").cast("double"), F.lit(0.0)).alias("moved")).alias("f")).scalar()
     assumed = F.when(facts["moved"] > 0, F.coalesce(quantity * cover_days, F.lit(fallback))).otherwise(F.lit(0.0))
     return profile.withColumn("current_stock", F.when(facts["known"] > 0, F.col("last_stock")).otherwise(assumed))
 
