@@ -106,7 +106,10 @@ def ar_candidates(
     and the recent values needed to roll forward.  Coefficients are closed forms
     of population covariances, so fitting is one aggregate.
     """
-    filled = fill_days(_daily(series, keys, date, sales), keys, "date", "y")
+    daily = _daily(series, keys, date, sales)
+    # The minimum counts the days with data, before gaps are filled.
+    sized = daily.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(*keys))).filter(F.col("_n") >= min_rows)
+    filled = fill_days(sized, keys, "date", "y")
     ordered = W.partitionBy(*keys).orderBy("date")
     lags = {f"l{k}": F.lag("y", k).over(ordered) for k in range(1, 9)}
     rows = filled.withColumns(lags).withColumn("_newest", F.lead("date").over(ordered).isNull())
@@ -128,7 +131,7 @@ def ar_candidates(
             F.var_pop(a).alias(f"saa{d}"), F.var_pop(b).alias(f"sbb{d}"), F.covar_pop(a, b).alias(f"sab{d}"),
             F.covar_pop(zz, a).alias(f"sza{d}"), F.covar_pop(zz, b).alias(f"szb{d}"),
         ]
-    stats = rows.groupBy(*keys).agg(*moments).filter(F.col("n_rows") >= min_rows)
+    stats = rows.groupBy(*keys).agg(*moments)
     m = F.col("m")
     forms = [(d, lag7) for d in variables for lag7 in (False, True)]
 
@@ -350,7 +353,9 @@ def _origins(
     ordered = W.partitionBy(*keys).orderBy("date")
     position = F.row_number().over(ordered) - 1
     earlier = F.array(*[F.datediff("date", F.lag("date", j).over(ordered)) for j in range(1, horizon + 1)])
-    rows = _daily(series, keys, date, sales).select(
+    # An unreadable value counts as a day without sales here.
+    known = series.withColumn(sales, F.coalesce(F.col(sales), F.lit(0)))
+    rows = _daily(known, keys, date, sales).select(
         *keys, "date", "y", position.alias("_r"), F.count(F.lit(1)).over(W.partitionBy(*keys)).cast("int").alias("_n"),
         earlier.alias("_gaps"),
     ).filter(F.col("_n") >= window + horizon)

@@ -34,6 +34,20 @@ def test_short_series(days):
     assert fc.holt_winters(days([5] * 13, product="a"), 3).count() == 0
 
 
+def test_autoregression_counts_days_with_data(spark):
+    sparse = [("a", dt.date(2024, 1, 1 + 7 * i), 5.0) for i in range(4)]
+    df = spark.createDataFrame(sparse, "product string, date date, sales double")
+    assert fc.autoregressive(df, 3).count() == 0
+
+
+def test_backtest_reads_null_as_zero(days):
+    values = WEEK * 5
+    holes = [None if i == 30 else v for i, v in enumerate(values)]
+    zeros = [0 if i == 30 else v for i, v in enumerate(values)]
+    a, b = (fc.backtest(days(v, product="a"), window=21, horizon=7).first() for v in (holes, zeros))
+    assert a == b
+
+
 def test_autoregression_recovers_process(days):
     y = [50.0]
     for _ in range(60):
