@@ -254,18 +254,21 @@ def anomaly_context(spark, d):
     return shown(an.anomaly_context(an.detect_anomalies(daily, "iqr"), daily))
 
 
+def _festivals(spark: SparkSession) -> DataFrame:
+    rows = [F.struct(F.lit(day).alias("date"), F.lit(name).alias("name")) for day, name in FESTIVALS]
+    return spark.range(1).select(F.inline(F.array(*rows)))
+
+
 @register
 def festival_windows(spark, d):
-    calendar = spark.createDataFrame(FESTIVALS, "date string, name string")
-    return shown(an.festival_windows(_daily(spark, d), calendar))
+    return shown(an.festival_windows(_daily(spark, d), _festivals(spark)))
 
 
 @register
 def upcoming_festivals(spark, d):
-    calendar = spark.createDataFrame(FESTIVALS, "date string, name string")
     orders = catalog.table(spark, d, "orders")
     latest = orders.select(F.max("o_orderdate").alias("d")).scalar()
-    return shown(an.upcoming_festivals(calendar, latest))
+    return shown(an.upcoming_festivals(_festivals(spark), latest))
 
 
 # --- features -------------------------------------------------------------------------------------------
