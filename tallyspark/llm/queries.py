@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import language, token_counts
+from tallyspark.llm import language, near_dedup, token_counts
 from tallyspark.llm.textkit import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,3 +37,8 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language.train(docs.where(~language.held_out()).select("text", "lang"))
     out = language.predict(docs.select("doc_id", "text"), model, spans=False)
     return out.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@register
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(read(spark, sf_dir, "documents"))
