@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import decontaminate, language, near_dedup, token_counts
+from tallyspark.llm import bpe, decontaminate, language, near_dedup, token_counts
 from tallyspark.llm.textkit import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,3 +47,8 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("rk")
+
+
+@register
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), keep_ids=False)
