@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import bpe, decontaminate, language, near_dedup, token_counts, topk
+from tallyspark.llm import bpe, decontaminate, language, near_dedup, substrings, token_counts, topk
 from tallyspark.llm.textkit import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,3 +70,8 @@ WITH ints AS (
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM scored QUALIFY rank <= 5
 """
+
+
+@register
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(read(spark, sf_dir, "documents"), keep_text=False).drop("spans")

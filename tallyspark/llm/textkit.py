@@ -39,9 +39,9 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The UTF-8 bytes of a string column and the n + 1 offsets of its values; null reads as empty."""
-    column = column.fill_null("") if column.null_count else column
-    column = column.cast(pa.large_string())
+    """The bytes of a string or binary column and the n + 1 offsets of its values; null reads as empty."""
+    column = column.cast(pa.large_binary())
+    column = column.fill_null(b"") if column.null_count else column
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     if column.buffers()[2] is None or not len(column):
         return np.zeros(0, np.uint8), np.zeros(len(column) + 1, np.int64)
