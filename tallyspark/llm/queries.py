@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import bpe, decontaminate, language, near_dedup, substrings, token_counts, topk
+from tallyspark.llm import bpe, decontaminate, language, near_dedup, private_data, substrings, token_counts, topk
 from tallyspark.llm.textkit import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,3 +75,8 @@ FROM scored QUALIFY rank <= 5
 @register
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(read(spark, sf_dir, "documents"), keep_text=False).drop("spans")
+
+
+@register
+def op7_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private_data.report(private_data.find(read(spark, sf_dir, "documents")))
