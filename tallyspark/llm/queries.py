@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import bpe, decontaminate, language, near_dedup, private_data, substrings, token_counts, topk
+from tallyspark.llm import bpe, decontaminate, language, licences, lm_score, near_dedup, private_data, substrings, token_counts, topk
 from tallyspark.llm.textkit import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,3 +80,39 @@ def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op7_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private_data.report(private_data.find(read(spark, sf_dir, "documents")))
+
+
+@register
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lm_score.scores(read(spark, sf_dir, "documents"))
+    return out.withColumn("lm_score", F.round("lm_score", 4))
+
+
+# Words, counts without the text's own, and backoff as in lm_score, in plain joins.
+ORACLE["op6_lm_score"] = r"""
+WITH texts AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9\x{80}-\x{10FFFF}]+') AS w FROM documents),
+words AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM texts),
+pairs AS (SELECT a.r, a.i, a.word, b.word AS before FROM words a LEFT JOIN words b ON a.r = b.r AND a.i = b.i + 1),
+c1 AS (SELECT word, count(*) AS n FROM words GROUP BY 1), o1 AS (SELECT r, word, count(*) AS n FROM words GROUP BY ALL),
+c2 AS (SELECT before, word, count(*) AS n FROM pairs WHERE before IS NOT NULL GROUP BY ALL), o2 AS (SELECT r, before, word, count(*) AS n FROM pairs WHERE before IS NOT NULL GROUP BY ALL),
+size AS (SELECT r, count(*) AS n FROM words GROUP BY 1), every AS (SELECT count(*) AS n FROM words),
+judged AS (
+  SELECT p.r, p.before, c1.n - o1.n AS uni, coalesce(c2.n - o2.n, 0) AS bi, b1.n - bo.n AS ctx, every.n - size.n AS others
+  FROM pairs p JOIN c1 USING (word) JOIN o1 ON o1.r = p.r AND o1.word = p.word JOIN size ON size.r = p.r CROSS JOIN every
+  LEFT JOIN c2 ON c2.before = p.before AND c2.word = p.word LEFT JOIN o2 ON o2.r = p.r AND o2.before = p.before AND o2.word = p.word
+  LEFT JOIN c1 b1 ON b1.word = p.before LEFT JOIN o1 bo ON bo.r = p.r AND bo.word = p.before
+), valued AS (
+  SELECT r, bi = 0 AND before IS NOT NULL AS cut,
+    CASE WHEN bi > 0 THEN bi / ctx ELSE (CASE WHEN before IS NULL THEN 1 ELSE 0.4 END) * (CASE WHEN uni > 0 THEN uni / others ELSE 1 / (others + 1) END) END AS v
+  FROM judged
+), summed AS (SELECT r, count(*) AS n, count(*) FILTER (cut) AS cuts, avg(ln(v)) AS score FROM valued GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(cuts, 0) AS n_backoff, round(score, 4) AS lm_score FROM texts LEFT JOIN summed USING (r)
+"""
+
+
+@register
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(read(spark, sf_dir, "documents"))
+
+
+ORACLE["op8_licences"] = licences.oracle()
