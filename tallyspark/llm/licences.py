@@ -72,8 +72,8 @@ RULES = [
     ("proprietary", "reserved"),
 ]
 CUES = "licen|permi|copyright|warrant|redistribut|free software|all rights reserved|unencumbered"
-# Ends of sentences: line breaks, and marks before white space or a quote; a colon or semicolon counts as one.
-BREAK = r"[\r\n]+|[.!?;:](?=[\s\"'*)]|$)"
+# Ends of sentences: line breaks, and marks before white space or a quote; a semicolon counts as one.
+BREAK = r"[\r\n]+|[.!?;](?=[\s\"'*)]|$)"
 
 
 def normal(sentence: str) -> str:
@@ -81,11 +81,11 @@ def normal(sentence: str) -> str:
 
 
 def table(sentences: dict[str, str]) -> dict[str, str]:
-    """Normalised sentence to identifier; a known sentence with breaks inside counts by its last part."""
+    """Normalised sentence to identifier; a known sentence with breaks inside counts by its longest part."""
     out = {}
     for name, text in sentences.items():
         parts = [p for p in map(normal, re.split(BREAK, text)) if p]
-        out[parts[-1] if not name.startswith(("spdx", "gpl2-free", "gpl3-free", "mpl2")) else max(parts, key=len)] = name
+        out[max(parts, key=len)] = name
     return out
 
 
@@ -131,7 +131,7 @@ def oracle() -> str:
 WITH known(sentence, name) AS (VALUES {values}),
 cut AS (
   SELECT doc_id, rowid_, unnest(parts) AS part, generate_subscripts(parts, 1) AS i
-  FROM (SELECT doc_id, row_number() OVER () AS rowid_, regexp_split_to_array(regexp_replace(coalesce(text, ''), '[.!?;:]([\\s"''*)]|$)', chr(10) || '\\1', 'g'), '[\\r\\n]+') AS parts FROM documents)
+  FROM (SELECT doc_id, row_number() OVER () AS rowid_, regexp_split_to_array(regexp_replace(coalesce(text, ''), '[.!?;]([\\s"''*)]|$)', chr(10) || '\\1', 'g'), '[\\r\\n]+') AS parts FROM documents)
 ), named AS (
   SELECT c.doc_id, c.rowid_, string_agg(k.name, ',' ORDER BY c.i) AS ids, count(k.name) AS n
   FROM cut c LEFT JOIN known k ON k.sentence = trim(regexp_replace(lower(c.part), '[^a-z0-9]+', ' ', 'g')) GROUP BY ALL
