@@ -3,7 +3,7 @@
 Tokens are the words of a text (runs of letters, digits and non-ASCII characters; a point or comma
 between digits belongs to the number). A template replaces three kinds of token by typed placeholders:
 numbers (digits, or one of NUMBER_WORDS), units (one of UNITS after a number) and names (a capitalised
-word that does not follow the end of a sentence or the start of the text). Case is folded for ASCII and
+word with small letters that does not follow the end of a sentence or the start of the text). Case is folded for ASCII and
 Latin-1 letters.
 
 Windows of ``window`` template tokens are hash-joined with those of the benchmark; windows with fewer
@@ -93,7 +93,8 @@ class Templates:
             capital |= (raw[start] == 0xC3) & latin[after]
         unit = np.zeros(len(start), bool)
         unit[1:] = number[:-1] & follows[1:] & _within(self.value, _set(UNITS))[1:]
-        name = capital & follows & ~stops & ~number & ~unit
+        small = np.concatenate([[0], np.cumsum(((raw >= 97) & (raw <= 122)) | ((raw >= 0x80) & (raw != 0xC3) & ~latin))])
+        name = capital & (small[end] > small[start]) & follows & ~stops & ~number & ~unit
         self.slot = number | unit | name
         self.token = np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, self.value)))
 
