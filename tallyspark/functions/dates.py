@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,32 +10,76 @@ from pyspark.sql import types as T
 
 AsOf = dt.date | dt.datetime | str | Column | None
 
-# Other accepted date shapes and their ISO rewriting (month before day with slashes).
+# Accepted date shapes and their ISO rewriting; two-digit years from 69 on are of the 20th century.
 ISO_TEXT = r"^\d{4}-\d{1,2}-\d{1,2}.*$"
-DATE_SHAPES = {
-    r"^(\d{1,2})/(\d{1,2})/(\d{4})": "$3-$1-$2",
-    r"^(\d{4})/(\d{1,2})/(\d{1,2})": "$1-$2-$3",
-    r"^(\d{1,2})[-.](\d{1,2})[-.](\d{4})$": "$3-$2-$1",
+_TIME = r"(?:,?[T ]+(.*))?$"
+_SEP = "[-/. ]"
+YEAR_FIRST = {
+    rf"^(\d{{4}})[/.](\d{{1,2}})[/.](\d{{1,2}}){_TIME}": "$1-$2-$3 $4",
     r"^(\d{4})(\d{2})(\d{2})$": "$1-$2-$3",
 }
+YEAR_LAST = {
+    rf"^(\d{{1,2}}){_SEP}(\d{{1,2}}){_SEP}(\d{{4}}){_TIME}": "$3-{}-{} $4",
+    rf"^(\d{{1,2}}){_SEP}(\d{{1,2}}){_SEP}([0-5]\d|6[0-8]){_TIME}": "20$3-{}-{} $4",
+    rf"^(\d{{1,2}}){_SEP}(\d{{1,2}}){_SEP}(69|[7-9]\d){_TIME}": "19$3-{}-{} $4",
+}
+NAMED_MONTH = {
+    rf"^(\d{{1,2}})(?:st|nd|rd|th)?{_SEP}([A-Za-z]{{3,9}})\.?,?{_SEP}(\d{{4}}){_TIME}": "$3-$2-$1 $4",
+    rf"^([A-Za-z]{{3,9}})\.?{_SEP}(\d{{1,2}})(?:st|nd|rd|th)?,?{_SEP}(\d{{4}}){_TIME}": "$3-$1-$2 $4",
+}
+MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
+
+
+def _rewritten(text: Column, shapes: dict[str, str]) -> Column:
+    for shape, iso in shapes.items():
+        text = F.regexp_replace(text, shape, iso)
+    return text
+
+
+def _numbered_month(iso: Column) -> Column:
+    """The month's name after the year replaced by its number; 0 is no month."""
+    names = F.array(*[F.lit(m) for m in MONTHS])
+    number = F.array_position(names, F.lower(F.substring(iso, 6, 3))).cast("string")
+    return F.regexp_replace(iso, F.lit("(?<=^.{5})[A-Za-z]+"), number)
 
 
-def to_moment(df: DataFrame, name: str, shapes: Mapping[str, str] = DATE_SHAPES) -> Column:
+def to_moment(df: DataFrame, name: str, day_first: bool | Column = False) -> Column:
     """Coerce ``df[name]`` to TIMESTAMP_NTZ; unreadable values become NULL.
 
-    ISO text is cast at once.  Anything else is rewritten to ISO shape by shape,
-    and only a full date is cast: a bare number never reads as a year.
+    ISO text is cast at once. Other text is rewritten to ISO by its shape: compact dates, year first, year
+    last (month before day for every separator, or with ``day_first`` the other way round), month names,
+    two-digit years; times run on 12 or 24 hours. A bare number never reads as a year.
     """
     field = df.schema[name].dataType
     col = F.col(name)
     if isinstance(field, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return col.cast("timestamp_ntz")
     text = F.trim(col.cast("string"))
-    rewritten = text
-    for shape, iso in shapes.items():
-        rewritten = F.regexp_replace(rewritten, shape, iso)
-    slow = F.regexp_extract(rewritten, ISO_TEXT, 0).try_cast("timestamp_ntz")
-    return F.when(text.rlike(ISO_TEXT), text.try_cast("timestamp_ntz")).otherwise(slow)
+
+    def year_last(first: bool) -> Column:
+        return _rewritten(text, {k: v.format(*(("$2", "$1") if first else ("$1", "$2"))) for k, v in YEAR_LAST.items()})
+
+    ordered = F.when(day_first, year_last(True)).otherwise(year_last(False)) if isinstance(day_first, Column) else year_last(day_first)
+    iso = F.trim(
+        F.when(text.rlike(rf"^\d{{1,2}}{_SEP}\d"), ordered)
+        .when(text.rlike("[A-Za-z]{3}"), _numbered_month(_rewritten(text, NAMED_MONTH)))
+        .otherwise(_rewritten(text, YEAR_FIRST))
+    )
+    whole = F.regexp_extract(iso, ISO_TEXT, 0)
+    noon = F.try_to_timestamp(F.regexp_replace(F.upper(whole), r" *([AP])\.?M\.?$", " $1M"), F.lit("y-M-d h:m[:s] a")).cast("timestamp_ntz")
+    slow = F.when(whole.rlike(r"(?i)[ap]\.?m\.?$"), noon).otherwise(whole.try_cast("timestamp_ntz"))
+    return F.when(text.rlike(ISO_TEXT) & ~text.rlike(r"(?i)[ap]\.?m\.?$"), text.try_cast("timestamp_ntz")).otherwise(slow)
+
+
+def reads_day_first(df: DataFrame, name: str) -> Column:
+    """Whether more values of the column read as dates with the day first than with the month first.
+
+    One scalar subquery over the column; typed columns need none.
+    """
+    if not isinstance(df.schema[name].dataType, T.StringType):
+        return F.lit(False)
+    counts = F.count(to_moment(df, name, True)) > F.count(to_moment(df, name, False))
+    return df.select(counts.alias("day_first")).scalar()
 
 
 def day(name: str) -> Column:

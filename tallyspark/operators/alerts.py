@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.functions.dates import AsOf, as_of_moment
@@ -18,7 +18,7 @@ from tallyspark.functions.numeric import fixed
 from tallyspark.operators.anomalies import rolling_zscore
 from tallyspark.operators.inventory import status_columns, stock_profile, with_current_stock
 from tallyspark.schemas import MODULE_ALERT_CORE, require_columns, with_missing_columns
-from tallyspark.session import settle
+from tallyspark.session import keep
 
 # Severity ranks of the two flavours, and of combined inventory alerts.
 PAGE_SEVERITY_RANK = {"Critical": 5, "High": 4, "Medium": 3, "Low": 2, "Informational": 1}
@@ -144,13 +144,13 @@ def alert_centre(
     Every product is profiled once and fans out into its stockout, low-stock and
     slow-mover alerts; the daily totals add the sales anomalies.  The raw table
     is read for those two rollups only: the daily one, bounded by the calendar,
-    is computed once and stored, as the latest date and the stock facts also
+    is computed once and held, as the latest date and the stock facts also
     come from it.  Stock readings come from ``stock`` (``product,
     current_stock``) or else from the sales rows.
     """
     require_columns(sales, ["date", "product", "sales", "quantity"])
     readings = [F.count("current_stock").alias("known")] if "current_stock" in sales.columns else [F.lit(0).alias("known")]
-    daily = settle(sales.groupBy(F.to_date("date").alias("date")).agg(
+    daily = keep(sales.groupBy(F.to_date("date").alias("date")).agg(
         F.sum("sales").alias("sales"), F.sum("quantity").alias("quantity"), F.max("date").alias("latest"), *readings,
     ))
     when = as_of_moment(daily, "latest", as_of)
@@ -287,10 +287,10 @@ def stockout_alerts(status: DataFrame) -> DataFrame:
 
 
 def merge_alerts(*tables: DataFrame) -> DataFrame:
-    """Concatenation by name; duplicates stay, absent columns read null."""
+    """Concatenation by name; duplicates stay, absent columns read null.  No table gives an empty one."""
     frames = [t for t in tables if isinstance(t, DataFrame)]
     if not frames:
-        raise ValueError("no alert table given")
+        return SparkSession.active().createDataFrame([], ", ".join(f"{c} string" for c in ("alert_type", "severity", "product_id", "product_name")))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
@@ -362,18 +362,18 @@ def alert_rollup(alerts: DataFrame) -> DataFrame:
 
 
 def alert_summary(alerts: DataFrame, k: int = 5) -> DataFrame:
-    """Summary text, counts per severity, and the k most severe alerts as an array of structs."""
+    """Summary text, counts per severity, and the k most severe alerts, whole, as an array of structs."""
     severity = F.col("severity")
     counts = alerts.agg(
         F.count(F.lit(1)).alias("total_alerts"),
         *[F.count_if(severity == s).alias(f"{s.lower()}_count") for s in MODULE_SEVERITY_RANK],
     )
-    shown = [c for c in ("alert_type", "severity", "product_id") if c in alerts.columns]
+    ties = [c for c in ("alert_type", "product_id") if c in alerts.columns]
     rank = _rank(F.coalesce(severity, F.lit("Low")), MODULE_SEVERITY_RANK, 4)
-    best = alerts.select(*shown, rank.alias("_rank")).orderBy("_rank", *[c for c in shown if c != "severity"]).limit(k)
-    # At most k rows meet here, in order.
-    packed = best.agg(F.sort_array(F.collect_list(F.struct("_rank", *[F.col(c) for c in shown]))).alias("t"))
-    top = packed.select(F.transform("t", lambda a: F.struct(*[a[c].alias(c) for c in shown]))).scalar()
+    best = alerts.select(F.struct(*[F.col(c) for c in alerts.columns]).alias("alert"), F.struct(rank.alias("rank"), *ties).alias("place")).orderBy("place").limit(k)
+    # At most k rows meet here, in order; only their places are compared, so fields may be of any type.
+    in_order = F.array_sort("t", lambda a, b: F.when(a["place"] < b["place"], -1).when(a["place"] > b["place"], 1).otherwise(0))
+    top = best.agg(F.collect_list(F.struct("place", "alert")).alias("t")).select(F.transform(in_order, lambda x: x["alert"])).scalar()
     text = F.when(F.col("total_alerts") == 0, "No alerts found").otherwise(F.concat(
         F.lit("Found "), F.col("total_alerts").cast("string"), F.lit(" alerts"),
         F.when(F.col("critical_count") > 0, F.concat(F.lit(" including "), F.col("critical_count").cast("string"), F.lit(" critical")))

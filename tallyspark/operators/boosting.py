@@ -27,6 +27,7 @@ class BoostedForecast:
     metrics: DataFrame
     importances: dict[str, float]
     model: GBTRegressionModel
+    left_out: DataFrame
 
 
 def feature_columns(use_lags: bool = False) -> list[str]:
@@ -63,20 +64,22 @@ def boosted_forecast(
 ) -> BoostedForecast:
     """Fit on the first 80 % of each series, stop early on the rest, and predict the coming days (never below 0).
 
-    Training is distributed over the feature rows.  ``use_lags`` adds the lag
+    One model is fitted over all series that have ``min_rows`` usable days; the others are neither trained on
+    nor forecast, and ``left_out`` lists them.  Training is distributed over the feature rows.  ``use_lags`` adds the lag
     features to the fit; the coming days then see the recent mean in their place.
     """
     daily = _daily(series, keys, date, sales).withColumnRenamed("y", "sales")
     columns = feature_columns(use_lags)
-    rows = split_rows(ml_features(daily, keys).dropna(), keys)
+    usable = ml_features(daily, keys).dropna().withColumn("_rows", F.count(F.lit(1)).over(W.partitionBy(*keys)))
+    rows = split_rows(usable.filter(F.col("_rows") >= min_rows).drop("_rows"), keys)
     assembler = VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep")
     table = assembler.transform(rows).select(*keys, "date", "sales", "features", "is_validation")
     # Boosting passes over the rows once per round; executors that are lost recompute their part.
     table = table.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         n = table.count()
-        if n < min_rows:
-            raise ValueError(f"Need at least {min_rows} days of data for a boosted forecast, found {n}")
+        if not n:
+            raise ValueError(f"Need at least {min_rows} days of data in a series for a boosted forecast")
         model = GBTRegressor(
             labelCol="sales", featuresCol="features", maxIter=rounds, maxDepth=depth, stepSize=learning_rate,
             subsamplingRate=0.8, featureSubsetStrategy="0.9", validationIndicatorCol="is_validation", validationTol=1e-9,
@@ -93,6 +96,11 @@ def boosted_forecast(
         F.lit("GBT").alias("model_type"), F.lit(measured["mae"]).alias("mae"), F.lit(measured["rmse"]).alias("rmse"),
     )
     coming = future_features(daily, horizon, keys)
+    # Usable rows of every series, 0 where features are incomplete on all of them.
+    counts = daily.select(*keys).distinct().join(usable.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")), list(keys), "left") if keys else usable.agg(F.count(F.lit(1)).alias("n_rows"))
+    counts = counts.fillna(0, subset=["n_rows"])
+    if keys:
+        coming = coming.join(counts.filter(F.col("n_rows") >= min_rows), list(keys), "left_semi")
     if use_lags:
         coming = coming.withColumns({f"sales_lag_{k}": F.col("sales_rolling_mean_30") for k in (1, 7, 14, 30)})
     filled = coming.fillna(0.0, subset=[c for c in columns if c not in CALENDAR])
@@ -100,4 +108,4 @@ def boosted_forecast(
         *keys, F.col("date").alias("ds"), F.greatest(F.col("prediction"), F.lit(0.0)).alias("yhat"),
     )
     importances = dict(zip(columns, (float(v) for v in model.featureImportances.toArray()), strict=True))
-    return BoostedForecast(forecast, metrics, importances, model)
+    return BoostedForecast(forecast, metrics, importances, model, counts.filter(F.col("n_rows") < min_rows))

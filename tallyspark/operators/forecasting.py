@@ -216,7 +216,8 @@ def holt_winters_fit(
 ) -> DataFrame:
     """Additive trend, multiplicative weekly season: the grid point with the least one-step squared error per series.
 
-    Needs two full weeks.  The first week seeds level and season, the second the trend.
+    The first week seeds level and season, the second the trend.  A series of less than two weeks has no
+    season to fit: its level is the mean of its days, without trend, and its error and parameters are null.
     """
     filled = fill_days(_daily(series, keys, date, sales), keys, "date", "y")
     packed = F.transform(F.sort_array(F.collect_list(F.struct("date", "y"))), lambda p: p["y"])
@@ -265,7 +266,12 @@ def holt_winters_fit(
     points = F.array(*[
         F.struct(F.lit(a).alias("alpha"), F.lit(b).alias("beta"), F.lit(g).alias("gamma")) for a, b, g in grid
     ])
-    return ready.select(*keys, "last_date", F.array_min(F.transform(points, run)).alias("fit")).select(*keys, "last_date", "fit.*")
+    fitted = ready.select(*keys, "last_date", F.array_min(F.transform(points, run)).alias("fit")).select(*keys, "last_date", "fit.*")
+    unknown = [F.lit(None).cast("double").alias(c) for c in ("sse", "alpha", "beta", "gamma")]
+    short = arrays.filter(F.size("ys") < 2 * SEASON).select(
+        *keys, "last_date", *unknown, mean(ys).alias("level"), F.lit(0.0).alias("trend"), F.array_repeat(F.lit(1.0), SEASON).alias("seasons"),
+    )
+    return fitted.unionByName(short)
 
 
 def holt_winters(

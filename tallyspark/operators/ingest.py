@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyspark.functions.dates import to_moment
+from tallyspark.functions.dates import reads_day_first, to_moment
 from tallyspark.functions.numeric import ratio, to_number
 from tallyspark.schemas import require_columns
 
@@ -66,7 +66,9 @@ def candidates(df: DataFrame) -> list[tuple[str, str, int]]:
 def profile_columns(df: DataFrame, approximate_distinct: bool = False) -> DataFrame:
     """One row per (column, role) with parse, sign and distinct counts and the chosen column per role.
 
-    Every measure of every candidate comes from a single aggregate over one scan.
+    Every measure of every candidate comes from a single aggregate over one scan. A date column counts with
+    the order of day and month that reads more of it (``n_day_first``: with the day first). A product column
+    needs a value that is not a number (``n_numeric``: those that are).
     ``approximate_distinct`` swaps the exact distinct count of product candidates
     for a 1 % sketch on very wide key spaces.
     """
@@ -81,10 +83,12 @@ def profile_columns(df: DataFrame, approximate_distinct: bool = False) -> DataFr
         if role == "product":
             values.append(F.col(name).alias(f"v_{tag}"))
             distinct = F.approx_count_distinct(value, 0.01) if approximate_distinct else F.count_distinct(value)
-            measures += [F.count(value).alias(f"p_{tag}"), distinct.alias(f"d_{tag}")]
+            values.append(to_number(df, name).isNotNull().alias(f"n_{tag}"))
+            measures += [F.count(value).alias(f"p_{tag}"), distinct.alias(f"d_{tag}"), F.count_if(f"n_{tag}").alias(f"n_{tag}")]
         elif role == "date":
-            values.append(to_moment(df, name).alias(f"v_{tag}"))
-            measures.append(F.count(value).alias(f"p_{tag}"))
+            values += [to_moment(df, name).alias(f"v_{tag}"), to_moment(df, name, True).alias(f"f_{tag}")]
+            first = F.count(f"f_{tag}")
+            measures += [F.greatest(F.count(value), first).alias(f"p_{tag}"), first.alias(f"f_{tag}")]
         else:
             values.append(to_number(df, name).alias(f"v_{tag}"))
             signed = value > 0 if role == "sales" else value >= 0
@@ -98,7 +102,7 @@ def profile_columns(df: DataFrame, approximate_distinct: bool = False) -> DataFr
         signed = none if role in ("date", "product") else F.col(f"s_{tag}")
         distinct = F.col(f"d_{tag}") if role == "product" else none
         if role == "product":
-            passes = (distinct > 2) & (distinct < F.col("n") * DISTINCT_RATE)
+            passes = (distinct > 2) & (distinct < F.col("n") * DISTINCT_RATE) & (F.col(f"n_{tag}") < parsed)
         elif role == "date":
             passes = ratio(parsed, F.col("n")) > PARSE_RATE
         else:
@@ -106,7 +110,8 @@ def profile_columns(df: DataFrame, approximate_distinct: bool = False) -> DataFr
         rows.append(F.struct(
             F.lit(name).alias("column_name"), F.lit(role).alias("role"), F.lit(position).alias("position"),
             F.col("n").alias("n_rows"), parsed.alias("n_parsed"), signed.alias("n_signed"),
-            distinct.alias("n_distinct"), F.coalesce(passes, F.lit(False)).alias("passes"),
+            distinct.alias("n_distinct"), (F.col(f"f_{tag}") if role == "date" else none).alias("n_day_first"),
+            (F.col(f"n_{tag}") if role == "product" else none).alias("n_numeric"), F.coalesce(passes, F.lit(False)).alias("passes"),
         ))
     # The window runs over the profile, which has one row per candidate column.
     first_hit = F.min(F.when(F.col("passes"), F.col("position"))).over(W.partitionBy("role"))
@@ -173,11 +178,13 @@ def clean_sales(
     mapping: dict[str, str | None],
     number_type: str = "double",
     pandas_compat: bool = False,
+    day_first: bool | None = None,
 ) -> DataFrame:
     """Canonical sales table ``date, sales, quantity, product, current_stock``.
 
-    ``number_type`` may name a decimal type to keep money sums exact.  A null
-    product reads ``Unknown``, or ``nan`` with ``pandas_compat``.
+    ``number_type`` may name a wide decimal type to keep money sums exact; ``ingest_issues`` reports amounts
+    that it cannot hold.  A null product reads ``Unknown``, or ``nan`` with ``pandas_compat``.  Without
+    ``day_first`` the order of day and month is the one that reads more of the date column.
     """
     for role in ("date", "sales"):
         if not mapping.get(role):
@@ -197,8 +204,9 @@ def clean_sales(
         to_number(df, mapping["current_stock"])
         if mapping.get("current_stock") else F.lit(None).cast("double")
     )
+    order = reads_day_first(df, mapping["date"]) if day_first is None else day_first
     return df.select(
-        to_moment(df, mapping["date"]).alias("date"),
+        to_moment(df, mapping["date"], order).alias("date"),
         number("sales").alias("sales"),
         (number("quantity") if mapping.get("quantity") else number("sales")).alias("quantity"),
         product.alias("product"),
@@ -206,7 +214,7 @@ def clean_sales(
     ).filter(F.col("date").isNotNull())
 
 
-def validate_sales(df: DataFrame, number_type: str = "double") -> DataFrame:
+def validate_sales(df: DataFrame, number_type: str = "double", day_first: bool | None = None) -> DataFrame:
     """Fill in whatever a canonical-named table lacks: sales from quantity and back, product, stock."""
     require_columns(df, ["date"])
     if "sales" not in df.columns and "quantity" not in df.columns:
@@ -219,13 +227,23 @@ def validate_sales(df: DataFrame, number_type: str = "double") -> DataFrame:
         "product": "product" if "product" in has else None,
         "current_stock": "current_stock" if "current_stock" in has else None,
     }
-    return clean_sales(df, mapping, number_type)
+    return clean_sales(df, mapping, number_type, day_first=day_first)
 
 
-def ingest_issues(df: DataFrame, mapping: dict[str, str | None]) -> DataFrame:
-    """Rows ``severity, column_name, message, n_failed`` from one aggregate of failure counts."""
+def ingest_issues(df: DataFrame, mapping: dict[str, str | None], number_type: str = "double", day_first: bool | None = None) -> DataFrame:
+    """Rows ``severity, column_name, message, n_failed`` from one aggregate of failure counts.
+
+    ``info`` rows tell how many dates read with the month first and with the day first, where that differs.
+    ``number_type`` is the one that ``clean_sales`` is going to use; readable amounts that it cannot hold count.
+    """
     date_col, sales_col, qty_col = (mapping.get(r) for r in ("date", "sales", "quantity"))
-    dated = to_moment(df, date_col).isNotNull() if date_col else F.lit(True)
+    order = (reads_day_first(df, date_col) if day_first is None else F.lit(day_first)) if date_col else F.lit(False)
+    dated = to_moment(df, date_col, order).isNotNull() if date_col else F.lit(True)
+
+    def too_large(name: str | None) -> Column:
+        if not name:
+            return F.lit(0).cast("bigint")
+        return F.count_if(dated & to_number(df, name).isNotNull() & to_number(df, name, number_type).isNull())
 
     def bad(name: str | None) -> Column:
         if not name:
@@ -238,6 +256,10 @@ def ingest_issues(df: DataFrame, mapping: dict[str, str | None]) -> DataFrame:
         F.count_if(~dated).alias("bad_dates"),
         bad(sales_col).alias("bad_sales"),
         bad(qty_col).alias("bad_quantity"),
+        too_large(sales_col).alias("large_sales"),
+        too_large(qty_col).alias("large_quantity"),
+        (F.count(to_moment(df, date_col, False)) if date_col else F.lit(0).cast("bigint")).alias("month_first"),
+        (F.count(to_moment(df, date_col, True)) if date_col else F.lit(0).cast("bigint")).alias("day_first"),
     )
 
     def issue(severity: str, column: str | None, message: str, failed: Column, when: Column) -> Column:
@@ -257,6 +279,9 @@ def ingest_issues(df: DataFrame, mapping: dict[str, str | None]) -> DataFrame:
                            F.col("bad_dates"), F.col("bad_dates") == n))
         found.append(issue("warning", date_col, "Rows without a readable date are dropped",
                            F.col("bad_dates"), (F.col("bad_dates") > 0) & (F.col("bad_dates") < n)))
+        differ = F.col("month_first") != F.col("day_first")
+        found.append(issue("info", date_col, "Dates that read with the month first", F.col("month_first"), differ))
+        found.append(issue("info", date_col, "Dates that read with the day first", F.col("day_first"), differ))
     if not sales_col:
         found.append(issue("error", None, "A sales column is required", n, always))
     else:
@@ -265,4 +290,7 @@ def ingest_issues(df: DataFrame, mapping: dict[str, str | None]) -> DataFrame:
     if qty_col:
         found.append(issue("warning", qty_col, "Unreadable quantity values are treated as 0",
                            F.col("bad_quantity"), F.col("bad_quantity") > 0))
+    for name, counted in ((sales_col, "large_sales"), (qty_col, "large_quantity")):
+        if name:
+            found.append(issue("warning", name, "Values too large for the number type are treated as 0", F.col(counted), F.col(counted) > 0))
     return counts.select(F.inline(F.array_compact(F.array(*found))))

@@ -12,7 +12,7 @@ from tallyspark.functions.numeric import fixed, grouped
 from tallyspark.operators import kpis
 from tallyspark.operators.anomalies import rolling_band
 from tallyspark.operators.rollups import daily_sales, fill_days, hourly_sales, product_totals
-from tallyspark.session import settle
+from tallyspark.session import keep
 
 # Month -> (title, priority, impact) of the seasonal opportunities.
 SEASONS: dict[int, tuple[str, int, float]] = {
@@ -159,15 +159,15 @@ def generate_insights(sales: DataFrame, as_of: AsOf = None, currency: str = "₹
 
     All generators start from two rollups of the raw table: (day, hour) totals,
     bounded by the calendar, and per-product totals.  Each is computed once and
-    stored, so the raw table is read twice however many insights are drawn.
+    held, so the raw table is read twice however many insights are drawn.
     """
     columns, found = set(sales.columns), []
     dated = {"date", "sales"} <= columns
-    hourly = settle(hourly_sales(sales).select("date", "hour", "sales")) if dated else None
+    hourly = keep(hourly_sales(sales).select("date", "hour", "sales")) if dated else None
     if dated:
         found += trend_insights(hourly, as_of)
     if "product" in columns and columns & {"sales", "quantity"}:
-        totals = settle(product_totals(sales))
+        totals = keep(product_totals(sales))
         if "sales" not in columns:
             totals = totals.drop("profit")
         found += product_insights(totals, currency)

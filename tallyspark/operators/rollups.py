@@ -19,16 +19,16 @@ from tallyspark.schemas import require_columns
 
 
 def daily_sales(df: DataFrame, keys: Sequence[str] = (), date: str = "date", sales: str = "sales") -> DataFrame:
-    """Total per calendar day, and per key when keys are given."""
+    """Total per calendar day, and per key when keys are given; rows without a date belong to no day."""
     require_columns(df, [date, sales, *keys])
-    return df.groupBy(*keys, day(date).alias("date")).agg(F.sum(sales).alias("sales"))
+    return df.filter(F.col(date).isNotNull()).groupBy(*keys, day(date).alias("date")).agg(F.sum(sales).alias("sales"))
 
 
 def hourly_sales(df: DataFrame, date: str = "date", sales: str = "sales") -> DataFrame:
-    """Total per (day, hour): bounded by the calendar, whatever the number of rows."""
+    """Total per (day, hour): bounded by the calendar, whatever the number of rows; rows without a date are left out."""
     require_columns(df, [date, sales])
     moment = F.col(date)
-    return df.groupBy(day(date).alias("date"), F.hour(moment.cast("timestamp_ntz")).alias("hour")).agg(
+    return df.filter(moment.isNotNull()).groupBy(day(date).alias("date"), F.hour(moment.cast("timestamp_ntz")).alias("hour")).agg(
         F.sum(sales).alias("sales"), F.count(F.lit(1)).alias("n_rows")
     )
 

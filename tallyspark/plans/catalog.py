@@ -83,18 +83,34 @@ def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as an all-text upload with unreadable and missing values mixed in."""
+    """Line items as an all-text upload: dates in seven shapes with the day first, unreadable and missing values,
+    a numeric column that is named like a product, and some very large amounts."""
     number, flag = F.col("l_linenumber"), F.col("l_returnflag")
+
+    def shaped(pattern: str):
+        return F.date_format("l_shipdate", pattern)
+
+    dates = (
+        F.when((number == 7) & (flag == "N"), "unknown").when(number == 1, shaped("dd/MM/yyyy")).when(number == 2, shaped("dd-MM-yyyy HH:mm"))
+        .when(number == 3, F.concat(shaped("d/M/yyyy"), F.lit(" 03:05 PM"))).when(number == 4, shaped("MMM d, yyyy"))
+        .when(number == 5, shaped("d MMMM yyyy")).when(number == 6, shaped("d.M.yy")).otherwise(shaped("yyyy-MM-dd"))
+    )
+    large = (number == 1) & (F.col("l_orderkey") % 1000 == 1)
     return table(spark, sf_dir, "lineitem").select(
-        F.when((number == 7) & (flag == "N"), "unknown").otherwise(F.date_format("l_shipdate", "yyyy-MM-dd")).alias("order_date"),
-        F.col("l_partkey").cast("string").alias("item_code"),
-        F.when((number == 6) & (flag == "A"), "n/a").otherwise(F.col("l_extendedprice").cast(MONEY).cast("string")).alias("sale_amount"),
+        dates.alias("order_date"),
+        F.col("l_suppkey").cast("string").alias("item_price"),
+        F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("item_code"),
+        F.when((number == 6) & (flag == "A"), "n/a").when(large, "12345678901.557")
+        .otherwise(F.col("l_extendedprice").cast(MONEY).cast("string")).alias("sale_amount"),
         F.when((number == 5) & (flag == "R"), "12d").when((number == 4) & (flag == "R"), F.lit(None))
         .otherwise(F.col("l_quantity").cast("int").cast("string")).alias("qty"),
         F.when(number != 3, ((F.col("l_suppkey") % 50)).cast("string")).alias("stock_level"),
     )
 
 
+# Wide enough for any amount that an upload may hold, with room for its decimals.
+WIDE = "decimal(38,6)"
+
 UPLOAD_MAPPING = {
     "date": "order_date", "sales": "sale_amount", "quantity": "qty", "product": "item_code", "current_stock": "stock_level",
 }

@@ -52,19 +52,21 @@ AVERAGES = """averages AS (
 
 LATEST = "latest AS (SELECT max(date) AS d FROM sales)"
 
+# The upload as it was meant: dates are taken from the table and not read back from text.
 RAW = """raw AS (
-  SELECT CASE WHEN l_linenumber = 7 AND l_returnflag = 'N' THEN 'unknown' ELSE strftime(l_shipdate, '%Y-%m-%d') END AS order_date,
-         CAST(l_partkey AS VARCHAR) AS item_code,
-         CASE WHEN l_linenumber = 6 AND l_returnflag = 'A' THEN 'n/a'
+  SELECT CASE WHEN l_linenumber = 7 AND l_returnflag = 'N' THEN NULL ELSE date_trunc('day', l_shipdate) END AS moment,
+         l_linenumber, CAST(l_suppkey AS VARCHAR) AS item_price, 'P' || l_partkey AS item_code,
+         CASE WHEN l_linenumber = 6 AND l_returnflag = 'A' THEN 'n/a' WHEN l_linenumber = 1 AND l_orderkey % 1000 = 1 THEN '12345678901.557'
               ELSE CAST(CAST(l_extendedprice AS DECIMAL(12,2)) AS VARCHAR) END AS sale_amount,
          CASE WHEN l_linenumber = 5 AND l_returnflag = 'R' THEN '12d' WHEN l_linenumber = 4 AND l_returnflag = 'R' THEN NULL
               ELSE CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) END AS qty,
          CASE WHEN l_linenumber <> 3 THEN CAST(l_suppkey % 50 AS VARCHAR) END AS stock_level
   FROM lineitem)"""
 
+# Lines 1, 2, 3 and 6 write day before month; with the month first only days up to 12 can be read.
 PARSED = f"""parsed AS (
-  SELECT TRY_CAST(order_date AS TIMESTAMP) AS moment, item_code,
-         CASE WHEN regexp_matches(sale_amount, '{NUMBER}') THEN TRY_CAST(sale_amount AS DECIMAL(12,2)) END AS sale_amount,
+  SELECT moment, CASE WHEN l_linenumber NOT IN (1, 2, 3, 6) OR day(moment) <= 12 THEN moment END AS month_first, item_price, item_code,
+         CASE WHEN regexp_matches(sale_amount, '{NUMBER}') THEN TRY_CAST(sale_amount AS DECIMAL(38,6)) END AS sale_amount,
          CASE WHEN regexp_matches(qty, '{NUMBER}') THEN TRY_CAST(qty AS DECIMAL(12,2)) END AS qty,
          CASE WHEN regexp_matches(stock_level, '{NUMBER}') THEN TRY_CAST(stock_level AS DOUBLE) END AS stock_level
   FROM raw)"""
@@ -82,16 +84,18 @@ def day_text(col: str = "date") -> str:
 
 ORACLE["profile_columns"] = with_(RAW, PARSED, """facts AS (
   SELECT count(*) AS n, count(moment) AS date_ok, count(item_code) AS item_ok, count(DISTINCT item_code) AS items,
-         count(sale_amount) AS sale_ok, count(*) FILTER (sale_amount > 0) AS sale_pos,
+         count(DISTINCT item_price) AS prices, count(*) FILTER (CAST(item_price AS DOUBLE) > 0) AS price_pos, count(sale_amount) AS sale_ok, count(*) FILTER (sale_amount > 0) AS sale_pos,
          count(qty) AS qty_ok, count(*) FILTER (qty >= 0) AS qty_pos,
          count(stock_level) AS stock_ok, count(*) FILTER (stock_level >= 0) AS stock_pos
   FROM parsed)""", """profile AS (
-  SELECT 'order_date' AS column_name, 'date' AS role, 0 AS position, n AS n_rows, date_ok AS n_parsed,
-         CAST(NULL AS BIGINT) AS n_signed, CAST(NULL AS BIGINT) AS n_distinct, date_ok > 0.7 * n AS passes FROM facts
-  UNION ALL SELECT 'item_code', 'product', 1, n, item_ok, NULL, items, items > 2 AND items < 0.8 * n FROM facts
-  UNION ALL SELECT 'sale_amount', 'sales', 2, n, sale_ok, sale_pos, NULL, sale_ok > 0.7 * n AND sale_pos > 0.5 * n FROM facts
-  UNION ALL SELECT 'qty', 'quantity', 3, n, qty_ok, qty_pos, NULL, qty_ok > 0.7 * n AND qty_pos > 0.5 * n FROM facts
-  UNION ALL SELECT 'stock_level', 'current_stock', 4, n, stock_ok, stock_pos, NULL, stock_ok > 0.7 * n AND stock_pos > 0.5 * n
+  SELECT 'order_date' AS column_name, 'date' AS role, 0 AS position, n AS n_rows, date_ok AS n_parsed, CAST(NULL AS BIGINT) AS n_signed,
+         CAST(NULL AS BIGINT) AS n_distinct, date_ok AS n_day_first, CAST(NULL AS BIGINT) AS n_numeric, date_ok > 0.7 * n AS passes FROM facts
+  UNION ALL SELECT 'item_price', 'sales', 1, n, n, price_pos, NULL, NULL, NULL, price_pos > 0.5 * n FROM facts
+  UNION ALL SELECT 'item_price', 'product', 1, n, n, NULL, prices, NULL, n, FALSE FROM facts
+  UNION ALL SELECT 'item_code', 'product', 2, n, item_ok, NULL, items, NULL, 0, items > 2 AND items < 0.8 * n FROM facts
+  UNION ALL SELECT 'sale_amount', 'sales', 3, n, sale_ok, sale_pos, NULL, NULL, NULL, sale_ok > 0.7 * n AND sale_pos > 0.5 * n FROM facts
+  UNION ALL SELECT 'qty', 'quantity', 4, n, qty_ok, qty_pos, NULL, NULL, NULL, qty_ok > 0.7 * n AND qty_pos > 0.5 * n FROM facts
+  UNION ALL SELECT 'stock_level', 'current_stock', 5, n, stock_ok, stock_pos, NULL, NULL, NULL, stock_ok > 0.7 * n AND stock_pos > 0.5 * n
   FROM facts)""") + """
 SELECT *, passes AND position = min(CASE WHEN passes THEN position END) OVER (PARTITION BY role) AS selected FROM profile"""
 
@@ -100,16 +104,26 @@ SELECT {day_text('moment')} AS date, CAST(coalesce(sale_amount, 0) AS DOUBLE) AS
        coalesce(item_code, 'Unknown') AS product, stock_level AS current_stock
 FROM parsed WHERE moment IS NOT NULL"""
 
+ORACLE["validated_sales"] = with_(RAW, PARSED) + f"""
+SELECT {day_text('moment')} AS date, CAST(coalesce(sale_amount, 0) AS DOUBLE) AS sales, CAST(coalesce(sale_amount, 0) AS DOUBLE) AS quantity,
+       'All Products' AS product, CAST(NULL AS DOUBLE) AS current_stock
+FROM parsed WHERE moment IS NOT NULL"""
+
 ORACLE["ingest_issues"] = with_(RAW, PARSED, """facts AS (
   SELECT count(*) AS n, count(*) FILTER (moment IS NULL) AS bad_dates,
          count(*) FILTER (moment IS NOT NULL AND sale_amount IS NULL) AS bad_sales,
-         count(*) FILTER (moment IS NOT NULL AND qty IS NULL) AS bad_qty
+         count(*) FILTER (moment IS NOT NULL AND qty IS NULL) AS bad_qty,
+         count(*) FILTER (moment IS NOT NULL AND sale_amount >= 10000000000) AS large,
+         count(month_first) AS month_first, count(moment) AS day_first
   FROM parsed)""") + """
 SELECT 'error' AS severity, 'order_date' AS column_name, 'No value could be read as a date' AS message, bad_dates AS n_failed
 FROM facts WHERE bad_dates = n
 UNION ALL SELECT 'warning', 'order_date', 'Rows without a readable date are dropped', bad_dates FROM facts WHERE bad_dates BETWEEN 1 AND n - 1
 UNION ALL SELECT 'warning', 'sale_amount', 'Unreadable sales values are treated as 0', bad_sales FROM facts WHERE bad_sales > 0
-UNION ALL SELECT 'warning', 'qty', 'Unreadable quantity values are treated as 0', bad_qty FROM facts WHERE bad_qty > 0"""
+UNION ALL SELECT 'warning', 'qty', 'Unreadable quantity values are treated as 0', bad_qty FROM facts WHERE bad_qty > 0
+UNION ALL SELECT 'warning', 'sale_amount', 'Values too large for the number type are treated as 0', large FROM facts WHERE large > 0
+UNION ALL SELECT 'info', 'order_date', 'Dates that read with the month first', month_first FROM facts WHERE month_first <> day_first
+UNION ALL SELECT 'info', 'order_date', 'Dates that read with the day first', day_first FROM facts WHERE month_first <> day_first"""
 
 ORACLE["calendar_features"] = """
 SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS date, value, dayname(ts) AS day_of_week, CAST(hour(ts) AS INTEGER) AS hour,
@@ -121,7 +135,7 @@ SELECT o_orderkey, {day_text('o_orderdate')} AS o_orderdate, o_orderstatus, o_to
 
 ORACLE["audit_log"] = with_(RAW, PARSED) + """
 SELECT 'lineitem.parquet' AS filename, '2024-01-01' AS timestamp, count(*) AS rows_processed,
-       'order_date,item_code,sale_amount,qty,stock_level' AS original_columns, 'sale_amount' AS mapped_sales
+       'order_date,item_price,item_code,sale_amount,qty,stock_level' AS original_columns, 'sale_amount' AS mapped_sales
 FROM parsed WHERE moment IS NOT NULL"""
 
 # --- aggregates -----------------------------------------------------------------------------------------
@@ -518,7 +532,7 @@ ORACLE["alert_summary"] = with_(*MODULE_PARTS, """counts AS (
          count(*) FILTER (severity = 'High') AS high_count, count(*) FILTER (severity = 'Medium') AS medium_count,
          count(*) FILTER (severity = 'Low') AS low_count
   FROM module)""", """best AS (
-  SELECT alert_type || '/' || severity || '/' || product_id AS t,
+  SELECT concat_ws('/', alert_type, severity, product_id, product_name, CAST(CAST(current_stock AS INTEGER) AS VARCHAR), CAST(days_without_sale AS VARCHAR)) AS t,
          row_number() OVER (ORDER BY CASE severity WHEN 'Critical' THEN 0 WHEN 'High' THEN 1 WHEN 'Medium' THEN 2 WHEN 'Low' THEN 3 ELSE 4 END,
                             alert_type, product_id) AS r
   FROM module QUALIFY r <= 5)""") + """
@@ -555,7 +569,7 @@ INSIGHT_PARTS = (
 )
 SHOWN = "title, priority, round(impact, 4) AS impact, type"
 ORACLE["generated_insights"] = with_(*INSIGHT_PARTS) + f"SELECT {SHOWN} FROM found"
-ORACLE["ranked_insights"] = with_(*INSIGHT_PARTS) + f"SELECT {SHOWN} FROM (SELECT * FROM found ORDER BY priority, impact DESC, title LIMIT 10)"
+ORACLE["ranked_insights"] = with_(*INSIGHT_PARTS) + f"SELECT {SHOWN} FROM (SELECT * FROM found ORDER BY priority, impact DESC, title)"
 ORACLE["insight_sections"] = with_(*INSIGHT_PARTS, """placed AS (
   SELECT *, CASE WHEN priority = 1 THEN 'urgent' WHEN type = 'trend' THEN 'trends' WHEN type IN ('product', 'profit', 'inventory') THEN 'product_stock'
                  WHEN type IN ('timing', 'seasonal') THEN 'timing_seasonal' END AS section

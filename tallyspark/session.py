@@ -1,9 +1,8 @@
-"""Session defaults and the shared scratch location."""
+"""Session defaults and held rollups."""
 
 from __future__ import annotations
 
-import tempfile
-
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -26,26 +25,10 @@ def build_session(app_name: str = "tallyspark", master: str | None = None, **con
     return builder.getOrCreate()
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Compute a rollup once and keep it in the checkpoint folder.
-
-    For small aggregates that many branches of one plan start from: the raw table
-    is then read once, and a lost executor costs a re-read of the stored result.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors can reach, as named by ``spark.checkpoint.dir``.
+def keep(df: DataFrame) -> DataFrame:
+    """Hold a small rollup that many branches of one plan start from.
 
-    Only a local session without that setting falls back to a fresh temporary folder.
+    Nothing runs while the plan is built. The first use computes the rollup from the raw table; a lost
+    executor costs the recomputation of its part, and no folder is needed.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    return tempfile.mkdtemp(prefix="tallyspark-")
+    return df.persist(StorageLevel.MEMORY_AND_DISK)

@@ -167,3 +167,12 @@ def test_trend_section_keeps_three(spark):
     rows = [(f"t{i}", "d", "r", 2, float(i), "trend") for i in range(5)]
     kept = ins.insight_sections(spark.createDataFrame(rows, INSIGHT_SCHEMA)).collect()
     assert sorted(r["title"] for r in kept) == ["t2", "t3", "t4"]
+
+
+def test_merging_nothing_gives_an_empty_table(spark):
+    assert al.merge_alerts().count() == 0
+
+
+def test_summary_keeps_whole_alerts(module_alerts):
+    top = al.alert_summary(module_alerts, k=2).first()["top_alerts"]
+    assert len(top) == 2 and set(top[0].asDict()) == set(module_alerts.columns)

@@ -28,10 +28,11 @@ def test_trend_seasonal_week(days):
 def test_short_series(days):
     one = days([5], product="a")
     for model in fc.MODELS:
-        assert fc.forecast(one, model, 3).count() == 0
+        # Smoothing falls back to the mean; the other models have nothing to fit on one day.
+        assert fc.forecast(one, model, 3).count() == (3 if model == "holt_winters" else 0)
     assert fc.trend_seasonal(days([5, 5], product="a"), 3).count() == 5
     assert fc.autoregressive(days([4, 6, 5, 5, 5], product="a"), 2).select("yhat").distinct().first()[0] == 5.0
-    assert fc.holt_winters(days([5] * 13, product="a"), 3).count() == 0
+    assert fc.holt_winters(days([5] * 13, product="a"), 3).select("yhat").distinct().first()[0] == 5.0
 
 
 def test_autoregression_counts_days_with_data(spark):
@@ -148,3 +149,16 @@ def test_boosting(days):
     assert 0 <= metrics["mae"] <= metrics["rmse"]
     with pytest.raises(ValueError, match="at least 50"):
         boosted_forecast(days(values[:60], product="a"), 7, ["product"])
+
+
+def test_boosted_forecast_leaves_out_short_series(days):
+    long = days([100.0 + i % 7 for i in range(120)], product="a")
+    result = boosted_forecast(long.unionByName(days([5.0] * 40, product="b")), 3, ["product"], rounds=2)
+    assert {r["product"] for r in result.forecast.collect()} == {"a"}
+    assert [r["product"] for r in result.left_out.collect()] == ["b"]
+
+
+def test_short_series_are_forecast_by_their_mean(days):
+    for n in (1, 2, 13, 14):
+        rows = fc.holt_winters(days([2.0, 4.0] * 7, product="a").orderBy("date").limit(n), 3).collect()
+        assert len(rows) == 3 and (n == 14 or all(abs(r["yhat"] - (2.0 if n == 1 else 3.0 - (n % 2) / n)) < 1e-9 for r in rows))

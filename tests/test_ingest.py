@@ -33,10 +33,46 @@ def test_text_coercion(spark):
     )
     day = dt.datetime(2024, 1, 5)
     assert [r[0] for r in df.select(to_moment(df, "x")).collect()] == [
-        day, dt.datetime(2024, 1, 5, 9, 5), None, day, day, None, None, None, None,
+        day, dt.datetime(2024, 1, 5, 9, 5), None, dt.datetime(2024, 5, 1), day, None, None, None, None,
     ]
 
 
+def test_date_shapes(spark):
+    d = dt.datetime
+    cases = {  # text: read with the month first, with the day first
+        "25/12/2024": (None, d(2024, 12, 25)), "25-12-2024 10:30": (None, d(2024, 12, 25, 10, 30)),
+        "01/05/2024 03:00 PM": (d(2024, 1, 5, 15), d(2024, 5, 1, 15)), "05-01-2024": (d(2024, 5, 1), d(2024, 1, 5)),
+        "05.01.2024": (d(2024, 5, 1), d(2024, 1, 5)), "1/5/24": (d(2024, 1, 5), d(2024, 5, 1)), "1/5/70": (d(1970, 1, 5), d(1970, 5, 1)),
+    }
+    cases |= {t: (v, v) for t, v in {
+        "Jan 5, 2024": d(2024, 1, 5), "05-Jan-2024": d(2024, 1, 5), "5 January 2024": d(2024, 1, 5), "Sept 3 2024 12:05 am": d(2024, 9, 3, 0, 5),
+        "2024/1/5 7:08:09": d(2024, 1, 5, 7, 8, 9), "2024-01-05T10:00:00": d(2024, 1, 5, 10), "2024-01-05 10:00:00.25": d(2024, 1, 5, 10, 0, 0, 250000),
+        "20241231": d(2024, 12, 31), "5 Foo 2024": None, "31/02/2024": None, "1/5/2024 13:00 PM": None, "1/5/2024 x": None, "": None, "2024": None,
+    }.items()}
+    df = spark.createDataFrame([(t,) for t in cases], "x string")
+    rows = df.select("x", to_moment(df, "x").alias("m"), to_moment(df, "x", True).alias("f")).collect()
+    assert {r.x: (r.m, r.f) for r in rows} == cases
+
+
+def test_day_first_is_chosen_by_the_column(spark):
+    df = spark.createDataFrame([("03/04/2024", "1"), ("25/04/2024", "2"), ("26/04/2024", "99999999999.5")], "date string, sales string")
+    dates = {r["date"] for r in ingest.clean_sales(df, {"date": "date", "sales": "sales"}, "decimal(38,6)").collect()}
+    assert dates == {dt.datetime(2024, 4, 3), dt.datetime(2024, 4, 25), dt.datetime(2024, 4, 26)}
+    assert ingest.validate_sales(df, day_first=False).count() == 1
+    found = {r["message"]: r["n_failed"] for r in ingest.ingest_issues(df, {"date": "date", "sales": "sales"}, "decimal(12,2)").collect()}
+    assert found == {
+        "Dates that read with the month first": 1, "Dates that read with the day first": 3,
+        "Values too large for the number type are treated as 0": 1,
+    }
+
+
+def test_numeric_columns_are_no_products(spark):
+    rows = [(f"2024-01-{i + 1:02d}", str(i % 5), f"P{i % 4}", str(i + 1)) for i in range(20)]
+    df = spark.createDataFrame(rows, "order_date string, items_sold string, product string, amount string")
+    found = ingest.detect_columns(df)
+    assert found["product"] == "product" and found["quantity"] == "items_sold"
+
+
 def test_nan_is_null(spark):
     df = spark.createDataFrame([(float("nan"),), (1.0,)], "x double")
     assert [r[0] for r in df.select(to_number(df, "x")).collect()] == [None, 1.0]
