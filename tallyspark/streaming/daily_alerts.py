@@ -16,16 +16,24 @@ from tallyspark.operators.alerts import anomaly_alerts_page
 from tallyspark.operators.anomalies import rolling_zscore
 from tallyspark.schemas import require_columns
 
+# Days before a day that the z-score rule reads.
+LOOK_BACK = 7
+
 
 def daily_totals(stream: DataFrame, date: str = "date", sales: str = "sales", lateness: str = "1 day") -> DataFrame:
-    """Total per calendar day; rows later than ``lateness`` are dropped by the watermark."""
+    """Total per calendar day of the session's time zone; rows later than ``lateness`` are dropped by the watermark.
+
+    Windows are cut in UTC, so moments are first moved to the UTC moment that shows the local time.
+    """
     require_columns(stream, [date, sales])
-    moments = stream.select(F.col(date).cast("timestamp").alias("moment"), F.col(sales).cast("double").alias("sales"))
+    zone = stream.sparkSession.conf.get("spark.sql.session.timeZone")
+    local = F.from_utc_timestamp(F.col(date).cast("timestamp"), zone)
+    moments = stream.select(local.alias("moment"), F.col(sales).cast("double").alias("sales"))
     return (
         moments.withWatermark("moment", lateness)
         .groupBy(F.window("moment", "1 day").alias("w"))
         .agg(F.sum("sales").alias("sales"))
-        .select(F.to_date("w.start").alias("date"), "sales")
+        .select(F.date_from_unix_date(F.floor(F.unix_seconds("w.start") / 86400).cast("int")).alias("date"), "sales")
     )
 
 
@@ -38,11 +46,16 @@ def start_daily_alerts(
     ``once`` processes what is available and stops.
     """
     def judge(batch: DataFrame, batch_id: int) -> None:
+        if batch.isEmpty():  # no day closed: nothing to store or judge
+            return
         batch.write.mode("overwrite").parquet(f"{totals_path}/batch_id={batch_id}")
-        # One row per day so far: small enough to judge in full.
-        history = batch.sparkSession.read.parquet(totals_path).filter(F.col("batch_id") <= batch_id)
-        days = history.filter(F.col("batch_id") == batch_id).select("date")
-        flagged = rolling_zscore(history.select("date", "sales"), threshold=z_threshold).join(days, "date", "left_semi")
+        history = batch.sparkSession.read.parquet(totals_path)
+        days = history.filter(F.col("batch_id") == batch_id).select("date", "sales")
+        # The rule looks back a week, so the last stored days before the batch are all it needs.
+        first = days.agg(F.min("date").alias("first")).scalar()
+        before = history.filter((F.col("batch_id") < batch_id) & (F.col("date") < first)).select("date", "sales")
+        series = before.orderBy(F.desc("date")).limit(LOOK_BACK).unionByName(days)
+        flagged = rolling_zscore(series, threshold=z_threshold).join(days.select("date"), "date", "left_semi")
         anomaly_alerts_page(flagged).write.mode("overwrite").parquet(f"{alerts_path}/batch_id={batch_id}")
 
     writer = (

@@ -1,6 +1,6 @@
 import datetime as dt
 
-from tallyspark.streaming.daily_alerts import start_daily_alerts
+from tallyspark.streaming.daily_alerts import daily_totals, start_daily_alerts
 
 
 def test_stream_raises_the_batch_alerts(spark, tmp_path):
@@ -18,3 +18,13 @@ def test_stream_raises_the_batch_alerts(spark, tmp_path):
     assert {r["sales"] for r in days.collect()} == {200.0, 1000.0}
     found = spark.read.parquet(alerts).collect()
     assert [(r["type"], r["alert_date"]) for r in found] == [("High Sales Anomaly", dt.datetime(2024, 1, 9))]
+
+
+def test_days_follow_the_session_zone(spark):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+        rows = spark.sql("SELECT timestamp'2024-01-02 01:00:00' AS date, 5.0D AS sales UNION ALL SELECT timestamp'2024-01-02 23:00:00', 7.0D")
+        assert [(str(r["date"]), r["sales"]) for r in daily_totals(rows).collect()] == [("2024-01-02", 12.0)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
