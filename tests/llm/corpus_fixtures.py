@@ -1,10 +1,7 @@
-import os
-import sys
+"""Fixture shared by the tests of the training-data operators."""
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
-
 
 @pytest.fixture(scope="session")
 def texts(spark):

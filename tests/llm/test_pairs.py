@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from corpus_fixtures import texts  # noqa: F401
 from tallyspark.llm import near_dedup, runindex, substrings, topk
 from tallyspark.llm.components import components
 

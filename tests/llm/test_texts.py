@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corpus_fixtures import texts  # noqa: F401
 from tallyspark.llm import bpe, decontaminate, language, licences, lm_score, private_data, token_counts
 from tallyspark.llm.queries import tokenizer
 
