@@ -117,9 +117,12 @@ def slow_movers_page(df: DataFrame, threshold: float = 1.0, product: str = "prod
 
 def slow_movers(
     df: DataFrame, method: str = "sales_rate", threshold: float = 10.0, window_days: int = 30, as_of: AsOf = None,
-    product: str = "product_id", date: str = "date", sales: str = "sales", quantity: str = "quantity",
+    product: str = "product_id", date: str = "date", sales: str = "sales", quantity: str = "quantity", n_rows: str | None = None,
 ) -> DataFrame:
-    """Slow-moving products of the last ``window_days`` by sales rate, quantity rate or days since last sale."""
+    """Slow-moving products of the last ``window_days`` by sales rate, quantity rate or days since last sale.
+
+    ``n_rows`` names the row count of a table that is already summed up per product and day.
+    """
     require_columns(df, [product, date, sales, quantity])
     if window_days <= 0:
         raise ValueError("days_threshold must be positive")
@@ -131,12 +134,12 @@ def slow_movers(
     recent = df.filter(F.col(date) >= cutoff(df, date, window_days, as_of))
     usable = recent.select(
         F.col(product).cast("string").alias("product_id"), day(date).alias("date"),
-        F.col(sales).alias("sales"), F.col(quantity).alias("quantity"),
+        F.col(sales).alias("sales"), F.col(quantity).alias("quantity"), (F.col(n_rows) if n_rows else F.lit(1)).alias("n_rows"),
     ).dropna(subset=["sales", "quantity"])
     stats = usable.groupBy("product_id").agg(
         F.sum("sales").cast("double").alias("total_sales"),
         F.sum("quantity").cast("double").alias("_quantity"),
-        F.count(F.lit(1)).alias("days_active"),
+        F.sum("n_rows").cast("bigint").alias("days_active"),
         F.max("date").alias("_last"), F.min("date").alias("_first"),
     )
     today = F.to_date(end)

@@ -21,6 +21,7 @@ from tallyspark.operators import forecasting as fc
 from tallyspark.operators import ingest, insights, inventory, kpis, rollups, series
 from tallyspark.operators.boosting import boosted_forecast
 from tallyspark.plans import catalog
+from tallyspark.session import keep
 from tallyspark.sources.audit import audit_entry
 from tallyspark.sources.files import export_safe
 
@@ -478,13 +479,17 @@ def product_list(spark, d):
 
 
 def _module_alerts(spark, d):
-    sales = catalog.sales_by_part_id(spark, d)
+    """All module alerts from one rollup per product and day, which is held: the raw table is read once."""
+    days = keep(rollups.product_days(catalog.sales_by_part(spark, d))).withColumnRenamed("product", "product_id")
+    stock = catalog.stock_by_part(spark, d)
+    averages = rollups.avg_daily_by_product(days.select("product_id", "date", "quantity"), "product_id")
+    averages = averages.select(F.col("product").alias("product_id"), F.col("avg_daily_quantity").alias("avg_daily_sales"))
     return al.merge_alerts(
-        al.low_stock_alerts(catalog.stock_by_part(spark, d), 30),
-        al.stockout_alerts(_risk(spark, d)),
-        inventory.slow_movers(sales, "sales_rate", SLOW_RATE),
-        inventory.zero_velocity_products(sales),
-        inventory.stagnant_inventory(sales),
+        al.low_stock_alerts(stock, 30),
+        al.stockout_alerts(inventory.inventory_risk_levels(stock, averages)),
+        inventory.slow_movers(days, "sales_rate", SLOW_RATE, n_rows="n_rows"),
+        inventory.zero_velocity_products(days),
+        inventory.stagnant_inventory(days),
     )
 
 
