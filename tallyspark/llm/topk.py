@@ -5,14 +5,14 @@ every (query, vector) with the inner product of that block, and the score of a v
 lists. Lists are spread over shards of vectors; queries come in blocks. A cell is one (list, shard, block
 of queries), the unit of work of one task, and is bounded by ``shard`` and ``block`` rows.
 
-1. Every cell gives the k best entries of each query, and the lowest score it has. Per query and list the
-   lowest score is the floor; scores over their floor are never negative. A vector's known part (floors
-   for lists that did not name it) is a lower bound of its score, so the k-th largest of these is one too.
-2. The cutoff: a vector that stays below floor + (k-th bound - sum of floors) / lists in every list cannot
+1. Every cell gives the ``heads`` best entries of each query, and the lowest score it has. Per query and
+   list the lowest score is the floor; scores over their floor are never negative. The named vectors get
+   their whole scores, and the k-th largest of these is a bound that the result reaches or passes.
+2. The cutoff: a vector that stays below floor + (bound - sum of floors) / lists in every list cannot
    reach the bound. The cutoffs join the cells again, which give every entry that reaches its cutoff.
 3. Entries of one vector are added up. With the cutoff as upper bound of a missing list, vectors that
-   still cannot reach the k-th best known sum go; the missing scores of the others are computed from their
-   blocks, and the k best whole sums are the result.
+   still cannot reach the bound go; the missing scores of the others are computed from their blocks, and
+   the k best whole sums are the result.
 
 Scores are integers: components are floored after scaling. Sums that might leave the exact range of
 doubles are added as 64-bit integers; scores must fit those. Ties go to the smaller id. A vector without
@@ -32,6 +32,9 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm.textkit import settle
 
+# Queries whose scores one numpy pass holds.
+QUERIES = 64
+
 
 def integers(vectors: DataFrame, scale: int) -> DataFrame:
     """``vec_id, v``: one row an id, components floor(scale * x) as long; vectors that take no part are left out."""
@@ -43,24 +46,28 @@ def integers(vectors: DataFrame, scale: int) -> DataFrame:
 
 
 def matrix(rows: pd.Series) -> np.ndarray:
-    out = np.zeros((len(rows), max((len(r) for r in rows), default=0)), np.int64)
-    for i, r in enumerate(rows):
-        out[i, : len(r)] = r
+    size = rows.str.len().to_numpy(np.int64) if len(rows) else np.zeros(0, np.int64)
+    out = np.zeros((len(rows), size.max(initial=0)), np.int64)
+    if size.sum():
+        out[np.arange(out.shape[1]) < size[:, None]] = np.concatenate(rows.to_list())
     return out
 
 
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact a @ b.T of integer matrices, as doubles are exact or else as 64-bit integers."""
+    """Exact a @ b.T of integer matrices: as floats where they hold every sum, else as 64-bit integers."""
     width = min(a.shape[1], b.shape[1])
     a, b = a[:, :width], b[:, :width]
     bound = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(width, 1)
+    if bound < 2.0**24:
+        return a.astype(np.float32) @ b.astype(np.float32).T
     if bound < 2.0**53:
-        return (a.astype(float) @ b.astype(float).T).astype(np.int64)
+        return a.astype(float) @ b.astype(float).T
     return a @ b.T
 
 
-def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, lists: int = 2, shard: int = 16384, block: int = 2048) -> DataFrame:
+def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, lists: int = 2, shard: int = 16384, block: int = 2048, heads: int = 20) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the k best other vectors for each query (ids divisible by ``every``)."""
+    heads = max(heads, k)
     spark = vectors.sparkSession
     whole = settle(integers(vectors, scale))
     size = whole.agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("q"), F.max(F.size("v")).alias("d")).first()
@@ -80,36 +87,47 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, lis
     offered = pieces.withColumn("shard", spread).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     cell = ["list", "shard", "block"]
 
-    def heads(key, asked: pd.DataFrame, offered: pd.DataFrame) -> pd.DataFrame:
+    def named(key, asked: pd.DataFrame, offered: pd.DataFrame) -> pd.DataFrame:
         ids = offered["vec_id"].to_numpy(np.int64)
         order = np.argsort(ids)
-        ids, scores = ids[order], product(matrix(asked["part"]), matrix(offered["part"]))[:, order]
+        ids, right, left = ids[order], matrix(offered["part"])[order], matrix(asked["part"])
         out = []
-        for i, query in enumerate(asked["query_id"]):
-            other = ids != query
-            mine, score = ids[other], scores[i][other]
-            if not len(mine):
-                continue
-            edge = np.partition(score, len(score) - k)[len(score) - k] if len(score) > k else score.min()
-            at = np.flatnonzero(score >= edge)
-            at = at[np.argsort(-score[at], kind="stable")][:k]
-            out.append((key[0], query, mine[at].tolist(), score[at].tolist(), int(score.min())))
+        for at in range(0, len(asked), QUERIES):
+            scores = product(left[at : at + QUERIES], right)
+            for query, score in zip(asked["query_id"][at : at + QUERIES], scores, strict=True):
+                mine = np.flatnonzero(ids != query)
+                if not len(mine):
+                    continue
+                low, score = score[mine].min(), score[mine]
+                best = np.argpartition(-score, heads)[:heads] if len(score) > heads else np.arange(len(score))
+                out.append((key[0], query, ids[mine[best]].tolist(), score[best].astype(np.int64).tolist(), int(low)))
         return pd.DataFrame(out, columns=["list", "query_id", "ids", "scores", "low"])
 
-    first = settle(
-        asked.groupBy(*cell).cogroup(offered.groupBy(*cell)).applyInPandas(heads, "list int, query_id long, ids array<long>, scores array<long>, low long")
-    )
+    of_vector = pieces.select("vec_id", "list", F.col("part").alias("mine"))
+    of_query = queries.select("query_id", F.col("qlist").alias("list"), F.col("qpart").alias("wanted"))
+    dot = F.aggregate(F.zip_with("mine", "wanted", lambda x, y: F.coalesce(x * y, F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, x: s + x)
+    every_list = F.sequence(F.lit(0), F.lit(lists - 1))
+
+    def resolved(lacking: DataFrame) -> DataFrame:
+        """The scores of ``query_id, vec_id, list`` rows, added up."""
+        both = lacking.join(of_vector, ["vec_id", "list"]).join(of_query, ["query_id", "list"])
+        return both.groupBy("query_id", "vec_id").agg(F.sum(dot).alias("rest"))
+
+    first = settle(asked.groupBy(*cell).cogroup(offered.groupBy(*cell)).applyInPandas(named, "list int, query_id long, ids array<long>, scores array<long>, low long"))
     floors = first.groupBy("query_id", "list").agg(F.min("low").alias("floor"))
-    # Entries of all shards; each list's own k best are among them, and more entries only raise the bound.
-    named = first.select("query_id", "list", F.inline(F.arrays_zip(F.col("ids").alias("vec_id"), F.col("scores").alias("score"))))
-    over = named.join(floors, ["query_id", "list"]).groupBy("query_id", "vec_id").agg(F.sum(F.col("score") - F.col("floor")).alias("known"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("known"), "vec_id")
-    bound = over.withColumn("n", F.row_number().over(best)).where(F.col("n") == k).select("query_id", F.col("known").alias("bound"))
-    # Whole numbers: an excess reaches bound / lists if and only if it reaches the next whole number. Without k vectors nothing is cut.
+    heard = first.select("query_id", "list", F.inline(F.arrays_zip(F.col("ids").alias("vec_id"), F.col("scores").alias("score"))))
+    heard = heard.groupBy("query_id", "vec_id").agg(F.sum("score").alias("seen"), F.collect_set("list").alias("have"))
+    rest = resolved(heard.select("query_id", "vec_id", F.explode(F.array_except(every_list, "have")).alias("list")))
+    sums = heard.join(rest, ["query_id", "vec_id"], "left").select("query_id", (F.col("seen") + F.coalesce("rest", F.lit(0).cast("long"))).alias("known"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("known"))
+    bound = sums.withColumn("n", F.row_number().over(best)).where(F.col("n") == k).select("query_id", F.col("known").alias("bound"))
+    # Whole numbers: an excess reaches its share if and only if it reaches the next whole number. Without k vectors nothing is cut.
+    base = floors.groupBy("query_id").agg(F.sum("floor").alias("base"))
+    share = F.col("bound") - F.col("base")
     cutoffs = settle(
-        floors.join(bound, "query_id", "left")
-        .select("query_id", "list", "floor", F.coalesce(F.ceil(F.expr(f"bound / {lists}D")), F.lit(0)).cast("long").alias("excess"))
-        .select("query_id", "list", "floor", (F.col("floor") + F.col("excess")).alias("cutoff"))
+        floors.join(base, "query_id").join(bound, "query_id", "left")
+        .select("query_id", "list", "bound", (F.col("floor") + F.coalesce(share.try_cast("decimal(38,0)") / lists, F.lit(0))).alias("edge"))
+        .select("query_id", "list", "bound", F.ceil("edge").cast("long").alias("cutoff"))
     )
     told = queries.join(cutoffs.select("query_id", F.col("list").alias("qlist"), "cutoff"), ["query_id", "qlist"]).select(
         "query_id", F.col("qlist").alias("list"), F.col("qpart").alias("part"), F.col("block").alias("block"), "cutoff", every_shard
@@ -117,33 +135,27 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, lis
 
     def entries(key, asked: pd.DataFrame, offered: pd.DataFrame) -> pd.DataFrame:
         out = []
-        if len(asked) and len(offered):
-            ids = offered["vec_id"].to_numpy(np.int64)
-            scores = product(matrix(asked["part"]), matrix(offered["part"]))
-            for i, (query, cutoff) in enumerate(zip(asked["query_id"], asked["cutoff"], strict=True)):
-                at = np.flatnonzero((scores[i] >= cutoff) & (ids != query))
-                out.append((key[0], query, ids[at].tolist(), scores[i][at].tolist()))
+        ids, right, left = offered["vec_id"].to_numpy(np.int64), matrix(offered["part"]), matrix(asked["part"])
+        cutoff = asked["cutoff"].to_numpy(np.int64)
+        for at in range(0, len(asked) if len(ids) else 0, QUERIES):
+            scores = product(left[at : at + QUERIES], right)
+            enough = scores >= cutoff[at : at + QUERIES, None]
+            for i, query in enumerate(asked["query_id"][at : at + QUERIES]):
+                reach = np.flatnonzero(enough[i])
+                reach = reach[ids[reach] != query]
+                out.append((key[0], query, ids[reach].tolist(), scores[i][reach].astype(np.int64).tolist()))
         return pd.DataFrame(out, columns=["list", "query_id", "ids", "scores"])
 
     second = settle(
         told.groupBy(*cell).cogroup(offered.groupBy(*cell)).applyInPandas(entries, "list int, query_id long, ids array<long>, scores array<long>")
     )
     sent = second.select("query_id", "list", F.inline(F.arrays_zip(F.col("ids").alias("vec_id"), F.col("scores").alias("score"))))
-    limits = cutoffs.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("list", F.struct("floor", "cutoff")))).alias("limits"))
-    partial = sent.groupBy("query_id", "vec_id").agg(F.sum("score").alias("seen"), F.sort_array(F.collect_list("list")).alias("have"))
-    missing = F.array_except(F.sequence(F.lit(0), F.lit(lists - 1)), F.col("have"))
-    limited = partial.join(limits, "query_id").withColumn("missing", missing)
-    reach = F.aggregate("missing", F.col("seen"), lambda s, x: s + F.col("limits")[x]["cutoff"] - 1)
-    sure = F.aggregate("missing", F.col("seen"), lambda s, x: s + F.col("limits")[x]["floor"])
-    limited = settle(limited.select("query_id", "vec_id", "seen", "missing", reach.alias("reach"), sure.alias("sure")))
-    line = Window.partitionBy("query_id").orderBy(F.desc("sure"), "vec_id")
-    kth = limited.withColumn("n", F.row_number().over(line)).where(F.col("n") == k).select("query_id", F.col("sure").alias("kth"))
-    open_ = limited.join(kth, "query_id", "left").where("kth is null or reach >= kth").drop("kth")
-    lacking = open_.select("query_id", "vec_id", F.explode("missing").alias("list"))
-    of_vector = pieces.select("vec_id", "list", F.col("part").alias("mine"))
-    of_query = queries.select("query_id", F.col("qlist").alias("list"), F.col("qpart").alias("wanted"))
-    dot = F.aggregate(F.zip_with("mine", "wanted", lambda x, y: F.coalesce(x * y, F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, x: s + x)
-    resolved = lacking.join(of_vector, ["vec_id", "list"]).join(of_query, ["query_id", "list"]).groupBy("query_id", "vec_id").agg(F.sum(dot).alias("rest"))
-    total = open_.join(resolved, ["query_id", "vec_id"], "left").select("query_id", "vec_id", (F.col("seen") + F.coalesce("rest", F.lit(0).cast("long"))).alias("score"))
+    limits = cutoffs.groupBy("query_id").agg(F.max("bound").alias("bound"), F.map_from_entries(F.collect_list(F.struct("list", "cutoff"))).alias("limits"))
+    partial = sent.groupBy("query_id", "vec_id").agg(F.sum("score").alias("seen"), F.collect_set("list").alias("have"))
+    limited = partial.join(limits, "query_id").withColumn("missing", F.array_except(every_list, "have"))
+    reach = F.aggregate("missing", F.col("seen"), lambda s, x: s + F.col("limits")[x] - 1)
+    open_ = settle(limited.where(F.col("bound").isNull() | (reach >= F.col("bound"))).select("query_id", "vec_id", "seen", "missing"))
+    rest = resolved(open_.select("query_id", "vec_id", F.explode("missing").alias("list")))
+    total = open_.join(rest, ["query_id", "vec_id"], "left").select("query_id", "vec_id", (F.col("seen") + F.coalesce("rest", F.lit(0).cast("long"))).alias("score"))
     final = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return total.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
