@@ -23,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.textkit import Words, row_key, shingles
+from tallyspark.llm.textkit import Words, row_key, shingles, slices
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 12 << 20
 _ORDERS = np.random.default_rng(6).integers(1, 2**63, 16, dtype=np.uint64)
 
 
@@ -33,13 +33,18 @@ class Grams:
     """Words of a block of texts and their n-grams, order by order."""
 
     def __init__(self, texts: pa.ChunkedArray, order: int):
-        words = Words(texts.combine_chunks() if texts.num_chunks != 1 else texts.chunk(0))
-        self.doc = words.doc
-        self.words = len(words.hash)
+        hashed, rows, first = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+        for batch in slices(pa.Table.from_arrays([texts], ["text"]).to_batches(), limit=1 << 20):
+            words = Words(batch.column(0))
+            hashed.append(words.hash)
+            rows.append(words.doc + first)
+            first += batch.num_rows
+        hashed, self.doc = np.concatenate(hashed), np.concatenate(rows)
+        self.words = len(hashed)
         self.index: list[np.ndarray] = []  # for each order: number of the gram that ends at each word, or -1
         parts, ends = [], []
         for n in range(1, order + 1):
-            hashes, at = (words.hash, np.arange(self.words)) if n == 1 else shingles(words.hash, words.doc, n)
+            hashes, at = (hashed, np.arange(self.words)) if n == 1 else shingles(hashed, self.doc, n)
             parts.append(hashes ^ _ORDERS[n])
             ends.append(at + n - 1)
         every = np.concatenate([np.zeros(1, np.uint64), *parts])  # entry 0: the number of words
