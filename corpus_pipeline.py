@@ -23,10 +23,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ``lang`` becomes the predicted language, learned from the rows that have one.
     """
     model = language.train(docs.where(~language.held_out()).select("text", "lang"))
-    # The row travels along as the id, so nothing has to be joined back.
-    rows = docs.select(F.struct(*[F.col(c).alias(c) for c in COLUMNS]).alias("doc_id"), "text")
-    found = language.predict(rows, model, spans=False).where(F.col("lang_pred") != language.UNKNOWN)
-    return found.select(*[F.col("lang_pred").alias("lang") if c == "lang" else F.col(f"doc_id.{c}").alias(c) for c in COLUMNS])
+    # The columns travel along, so nothing has to be joined back.
+    found = language.predict(docs, model, spans=False, keep=tuple(COLUMNS)).where(F.col("lang_pred") != language.UNKNOWN)
+    return found.select(*[F.col("lang_pred").alias("lang") if c == "lang" else F.col(c) for c in COLUMNS])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

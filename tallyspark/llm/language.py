@@ -88,9 +88,9 @@ def train(labelled: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells: dict[str, np.ndarray] = {}
-        for batch in slices(batches, limit=1 << 20):
+        for batch in slices(batches):
             langs = np.array(batch.column(1).to_pylist(), object)
-            words = Letters(batch.column(0).to_pylist())
+            words = Letters([t.lower() for t in batch.column(0).to_pylist()])
             doc = np.searchsorted(words.first_char, words.letters, side="right") - 1
             for lang in sorted(set(langs)):
                 mine = (langs == lang)[doc]
@@ -101,7 +101,7 @@ def train(labelled: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
             yield pa.record_batch([pa.array([lang] * len(at)), pa.array(at, pa.int32()), pa.array(counted[at])], names=["lang", "cell", "n"])
 
     rows = (
-        labelled.where("lang is not null and text is not null").select(F.lower("text").alias("text"), "lang")
+        labelled.where("lang is not null and text is not null").select("text", "lang")
         .mapInArrow(count, "lang string, cell int, n long")
         .groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
     )
@@ -197,16 +197,21 @@ def viterbi(scores: np.ndarray, doc: np.ndarray, penalty: float) -> np.ndarray:
     return out
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], penalty: float = 12.0, spans: bool = True) -> DataFrame:
-    """``doc_id, lang_pred, score`` and, if asked for, ``spans`` (start, end in characters, lang) of each row."""
+def predict(
+    docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], penalty: float = 12.0, spans: bool = True, keep: tuple[str, ...] = ("doc_id",),
+) -> DataFrame:
+    """The kept columns of each row, ``lang_pred, score`` and, if asked for, ``spans`` (start, end in characters, lang).
+
+    Offsets are those of the lower-cased text, which has another length in a few letters only.
+    """
     langs, logs, permitted = model
     names = np.array([*langs, UNKNOWN], object)
     shared = docs.sparkSession.sparkContext.broadcast((logs, permitted))  # 65,568 cells a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, limit=2 << 20):
+        for batch in slices(batches):
             logs, permitted = shared.value
-            words = Letters([t or "" for t in batch.column(1).to_pylist()])
+            words = Letters([(t or "").lower() for t in batch.column(at).to_pylist()])
             n = batch.num_rows
             best, share, found = np.full(n, len(langs)), np.zeros(n), [[] for _ in range(n)]
             if langs and len(words.start):
@@ -225,14 +230,17 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], pe
                     for i, j in zip(new, ends, strict=True):
                         base = words.first_char[words.doc[i]]
                         found[words.doc[i]].append({"start": int(words.start[i] - base), "end": int(words.end[j] - base), "lang": names[label[i]]})
-            columns = [batch.column(0), pa.array(names[best], pa.string()), pa.array(share, pa.float64())]
+            columns = [*batch.columns[: len(keep)], pa.array(names[best], pa.string()), pa.array(share, pa.float64())]
             if spans:
                 columns.append(pa.array(found, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))))
-            yield pa.record_batch(columns, names=["doc_id", "lang_pred", "score", "spans"][: len(columns)])
-
-    kind = dict(docs.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, lang_pred string, score double" + ", spans array<struct<start:int,end:int,lang:string>>" * spans
-    return docs.select("doc_id", F.lower("text").alias("text")).mapInArrow(run, schema)
+            yield pa.record_batch(columns, names=[*keep, "lang_pred", "score", "spans"][: len(columns)])
+
+    columns = list(dict.fromkeys([*keep, "text"]))
+    at = columns.index("text")
+    plain = docs.select(*columns)
+    schema = ", ".join(f"{c} {plain.schema[c].dataType.simpleString()}" for c in keep)
+    schema += ", lang_pred string, score double" + ", spans array<struct<start:int,end:int,lang:string>>" * spans
+    return plain.mapInArrow(run, schema)
 
 
 def held_out(doc_id: str = "doc_id"):

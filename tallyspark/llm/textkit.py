@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Bytes of text that one numpy pass handles; a longer text forms a pass of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C55)
 _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C55, -1, 1 << 64))
