@@ -66,7 +66,7 @@ class PieceCounter:
             end = begin + size
             if current is None:  # the model rewrites the text, so offsets mean nothing
                 return len(self.sp.encode(text, num_threads=1))
-            done = len(text[begin:start].encode()) if begin else -1  # the space put in front is a token of the first chunk alone
+            done = len(text[begin:start].encode()) if start else -1  # the space put in front counts once, before any splice
             if end >= len(text):
                 return total + int((current > done).sum())
             following = None
