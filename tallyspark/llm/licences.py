@@ -1,12 +1,13 @@
 """Licence scans by sentence rules, in DataFrame functions only.
 
-A text is cut into sentences at line breaks and at ends of sentences. Each is normalised: lower case, and
-every run of other characters than letters and digits becomes one space. Known licence sentences have
-identifiers; a rule is an ordered list of identifiers, and it matches a text whose sequence of identifiers
+A text is cut at ends of sentences and at blank lines, and may be cut at single line breaks: a known sentence
+is found where it fills one line or a run of neighbouring lines, whatever comment marks or bullets these start
+with. Text is normalised: lower case, and every run of other characters than letters and digits becomes one
+space. Known licence sentences have identifiers; a rule is an ordered list of identifiers, and it matches a text whose sequence of identifiers
 holds them in that order with at most ``gap`` other known sentences between two of them. Of nested rules
 the longest counts: a rule is left out where all its sentences belong to a longer rule that matched.
 
-Work is bounded by the text: sentences are looked up in a fixed table, and texts without any cue that
+Work is bounded by the text: sentences are of a fixed table and begin at cuts alone, and texts without any cue that
 every known sentence holds are not cut at all. Null and empty texts have no licence; repeated rows have
 equal results; copies of a text in one document count once in ``licences``.
 """
@@ -74,6 +75,13 @@ RULES = [
 CUES = "licen|permi|copyright|warrant|redistribut|free software|all rights reserved|unencumbered"
 # Ends of sentences: line breaks, and marks before white space or a quote; a semicolon counts as one.
 BREAK = r"[\r\n]+|[.!?;](?=[\s\"'*)]|$)"
+# Gaps between words, by what is in them. A gap that ends a sentence, or holds a blank line, is a cut; one with a
+# single line break may be. An end mark after the line break (as in "; comment") belongs to the next line's prefix.
+_GAP = r"(?<![^a-z0-9])[^a-z0-9\r\n]*"
+_CUT = rf"{_GAP}?[.!?;](?=[\s\"'*)]|$)[^a-z0-9]*+|{_GAP}+(?>\r\n|\r|\n)[^a-z0-9\r\n]*+[\r\n][^a-z0-9]*+"
+_LINE = r"(?<![^a-z0-9])[^a-z0-9\r\nH]*+[\r\n][^a-z0-9]*+"
+# Words that start a comment line in m4 and in batch files.
+_PREFIX = r"(?<![^\r\n])[^\S\r\n]*+@?(?:dnl|rem)(?![a-z0-9])"
 
 
 def normal(sentence: str) -> str:
@@ -96,10 +104,15 @@ def scan(docs: DataFrame, sentences: dict[str, str] | None = None, rules: list[t
     if any(not re.search(CUES, k) for k in known):
         raise ValueError("every known sentence must hold a cue")
     lookup = F.create_map(*[x for k, v in known.items() for x in (F.lit(k), F.lit(v))])
-    text = F.coalesce(F.col("text"), F.lit(""))
-    clean = F.transform(F.split(text, BREAK, -1), lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
-    found = F.filter(F.transform(clean, lambda s: F.try_element_at(lookup, s)), lambda x: x.isNotNull())
-    names = F.when(F.lower(text).rlike(CUES), found).otherwise(F.array().cast("array<string>"))
+    text = F.lower(F.coalesce(F.col("text"), F.lit("")))
+    # Words in small letters, with H for a cut, S for a line break and a space for any other gap.
+    stream = F.regexp_replace(text, _PREFIX, "")
+    for gap_pattern, mark in ((_CUT, "H"), (_LINE, "S"), ("[^a-z0-9HS]+", " ")):
+        stream = F.regexp_replace(stream, gap_pattern, mark)
+    longest_first = "|".join(k.replace(" ", "[ S]") for k in sorted(known, key=lambda k: (-len(k), k)))
+    hits = F.regexp_extract_all(F.trim(stream), F.lit(f"(?<![a-z0-9 ])(?:{longest_first})(?![a-z0-9 ])"), F.lit(0))
+    found = F.transform(hits, lambda s: F.try_element_at(lookup, F.translate(s, "S", " ")))
+    names = F.when(text.rlike(CUES.replace(" ", "[^a-z0-9]+(?:(?:dnl|rem)[^a-z0-9]+)?")), found).otherwise(F.array().cast("array<string>"))
     rows = docs.select("doc_id", names.alias("names")).withColumn("line", F.concat(F.lit(","), F.concat_ws(",", "names"), F.lit(",")))
     between = rf"(?:[^,]+,){{0,{gap}}}?"
     matched = {i: F.col("line").rlike("," + ("," + between).join(map(re.escape, r.split())) + ",") for i, (_, r) in enumerate(rules)}

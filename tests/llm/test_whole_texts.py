@@ -1,7 +1,9 @@
 """Texts that a shorter way would count, label, redact or match only in part."""
 
+import textwrap
+
 from corpus_fixtures import texts  # noqa: F401
-from tallyspark.llm import token_counts
+from tallyspark.llm import licences, token_counts
 from tallyspark.llm.queries import tokenizer
 
 
@@ -15,3 +17,31 @@ def test_token_counts_with_spaces_at_the_start_alone(texts):
     for chunk, overlap in ((8192, 256), (64, 2), (40, 39)):
         rows = token_counts.token_counts(texts(values), path, chunk=chunk, overlap=overlap).orderBy("doc_id").collect()
         assert [r.n_tokens for r in rows] == want
+
+
+def test_licences_in_wrapped_and_commented_texts(texts):
+    s = licences.SENTENCES
+    mit = f"MIT License\n\nCopyright (c) 2020 A. Person\n\n{s['mit-grant']}:\n\n{s['mit-notice']}.\n\n{s['mit-warranty'].upper()}. IN NO EVENT SHALL THE AUTHORS BE LIABLE."
+    bsd = f"Copyright 2020 A. Person. All rights reserved.\n\n{s['bsd-grant']}:\n\n1. {s['bsd-source']}.\n\n2. {s['bsd-binary']}.\n\n3. {s['bsd-names']}."
+    apache = f"{s['apache-header']};\n{s['apache-comply']}.\n{s['apache-copy']}\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\n{s['apache-basis']}.\n{s['apache-see']}."
+    gpl3 = f"{s['gpl3-free']}.\n\n{s['gpl-hope']}; {s['gpl-implied']}.  {s['gpl-details']}."
+    gpl2 = f"{s['gpl2-free']}.\n\n{s['gpl-hope']}; {s['gpl-implied']}.  {s['gpl-details']}."
+    forms = [mit, bsd, apache, f"{s['isc-grant']}.", gpl3, gpl2]
+    want = ["MIT", "BSD-3-Clause,proprietary", "Apache-2.0", "ISC", "GPL-3.0-or-later", "GPL-2.0-or-later"]
+
+    def wrap(text, width, prefix, end):
+        lines = [x for p in text.split("\n") for x in (textwrap.wrap(p, width) or [""])]
+        return "int a;" + end + end.join(f"{prefix}{x}".rstrip() for x in lines) + end + "int b;"
+
+    # Text begins the file or follows a blank line, as in real headers.
+    values = [wrap("\n" + t + "\n", w, p, e) for t in forms for w, p, e in ((72, "", "\n"), (76, "# ", "\n"), (70, " * ", "\r\n"), (60, "// ", "\n"), (50, "; ", "\r"), (66, "dnl ", "\n"), (200, "-- ", "\n"))]
+    # A line before without a blank line; bullets without blank lines; a header's longer form on two lines; a mark on its own line.
+    values += [f"Copyright A\n{textwrap.fill(mit[50:], 70)}", "\n".join(textwrap.fill(x, 75, initial_indent="  * ", subsequent_indent="    ") for x in (s["bsd-source"] + ".", s["bsd-binary"] + "."))]
+    values += ["Licensed under the Apache License,\nVersion 2.0\n(the \"License\")", "# all rights\n# reserved", "x\n# SPDX-License-Identifier: MIT\n# y", "Released under the MIT License and\nothers", "漢" * 50000 + "licence" + "。" * 50000]
+    rows = {r.doc_id: r for r in licences.scan(texts(values)).collect()}
+    per = len(values[: -7]) // len(forms)
+    for i, w in enumerate(want):
+        assert [rows[i * per + k].licences for k in range(per)] == [w] * per
+    n = per * len(forms)
+    assert rows[n + 1].sentence_ids == "bsd-source,bsd-binary"
+    assert [rows[n + k].sentence_ids for k in range(2, 7)] == ["apache-header", "reserved", "spdx-mit", "", ""]
