@@ -3,14 +3,18 @@
 Tokens are the words of a text (runs of letters, digits and non-ASCII characters; a point or comma
 between digits belongs to the number). A template replaces three kinds of token by typed placeholders:
 numbers (digits, or one of NUMBER_WORDS), units (one of UNITS after a number) and names (a capitalised
-word with small letters that does not follow the end of a sentence or the start of the text). Case is folded for ASCII and
-Latin-1 letters.
+word with small letters). Case is folded for ASCII and Latin-1 letters.
 
-Windows of ``window`` template tokens are hash-joined with those of the benchmark; windows with fewer
-literals than half of their tokens are left out, as they say nothing. Benchmark items shorter than the
+Whether a capitalised word that opens a sentence is a name cannot be seen, so each window has three forms:
+names only inside sentences; names wherever they stand, but for the words of OPENERS; and the literal one, of
+the folded words themselves. The last two do not depend on what stands before a word.
+
+Windows of ``window`` tokens are hash-joined with those of the benchmark, form by form; template windows with
+fewer literals than half of their tokens are left out, as they say nothing, and found by their literal form. Benchmark items shorter than the
 window count as one window of their own length, down to ``least`` words; shorter ones are not searched.
 
-Joined windows of one text and one item that lie on one alignment and follow each other form a run. The
+Joined windows of one text and one item that lie on one alignment and follow each other form a run, whatever
+their forms; literal windows also form runs of their own. The
 slots of an alignment must be consistent: one benchmark value stands for one document value throughout, and two
 benchmark values never for the same one. A run of ``evidence`` words, or the whole item if it is shorter,
 makes the document contaminated by that item; ``exact`` tells whether all slot values are the same.
@@ -38,6 +42,13 @@ UNITS = (
     "ml l liters litres gallons s sec seconds minutes minute min hours hour h days day weeks week months month years year "
     "dollars dollar cents euros euro usd eur percent degrees kmh mph"
 ).split()
+# Words that open sentences in capitals and are no names.
+OPENERS = (
+    "a an the this that these those there here it its he she we you they i his her their our your my one some any each every all both no not "
+    "what when where which who whom whose why how if in on at by for from to of with without as after before during while until since because although though "
+    "and or but so then thus hence let given find suppose assume compute calculate determine explain describe write is are was were do does did can could "
+    "will would should has have had question answer solution problem"
+).split()
 _NUMBER, _UNIT, _NAME = (np.uint64(x) for x in (0x11D5A7F3C6B40E29, 0x25E1B97D3A6F8C43, 0x39B3D1F5E7C2A86B))
 _SENTENCE_END = np.zeros(256, bool)
 _SENTENCE_END[[ord(c) for c in ".!?:;\n|"]] = True
@@ -56,7 +67,7 @@ def _within(values: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 
 class Templates:
-    """Tokens of a batch of texts: value hash, template hash, row."""
+    """Tokens of a batch of texts: value hash, row, and (hash, slot) of each form."""
 
     def __init__(self, column: pa.Array):
         raw, self.offsets = text_bytes(column)
@@ -94,24 +105,29 @@ class Templates:
         unit = np.zeros(len(start), bool)
         unit[1:] = number[:-1] & follows[1:] & _within(self.value, _set(UNITS))[1:]
         small = np.concatenate([[0], np.cumsum(((raw >= 97) & (raw <= 122)) | ((raw >= 0x80) & (raw != 0xC3) & ~latin))])
-        name = capital & (small[end] > small[start]) & follows & ~stops & ~number & ~unit
-        self.slot = number | unit | name
-        self.token = np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, self.value)))
-
-    def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all windows of n template tokens with enough literals, and their first tokens."""
-        if len(self.token) < n:
+        capital &= (small[end] > small[start]) & ~number & ~unit
+        self.forms = []
+        for name in (capital & follows & ~stops, capital & ~_within(self.value, _set(OPENERS))):
+            token = np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, self.value)))
+            self.forms.append((token, number | unit | name))
+        self.forms.append((self.value, np.zeros(len(start), bool)))
+
+    def windows(self, n: int, form: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all windows of n tokens of a form with enough literals, and their first tokens."""
+        token, slot = self.forms[form]
+        if len(token) < n:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        size = len(self.token) - n + 1
-        out = np.full(size, np.uint64(n))
+        size = len(token) - n + 1
+        out = np.full(size, np.uint64(n + (form << 32)))
         for k in range(n):
-            out = out * _BASE + self.token[k : k + size]
-        slots = np.concatenate([[0], np.cumsum(self.slot)])
+            out = out * _BASE + token[k : k + size]
+        slots = np.concatenate([[0], np.cumsum(slot)])
         at = np.flatnonzero((self.doc[:size] == self.doc[n - 1 :]) & (2 * (slots[n:] - slots[:-n]) <= n))
         return mix(out[at]), at
 
 
-_HIT = "array<struct<hash:long,width:int,at:int,value:array<long>,slot:array<boolean>>>"
+_LITERAL = 2
+_HIT = "array<struct<hash:long,width:int,form:int,at:int,value:array<long>,slot:array<boolean>>>"
 
 
 def _windows(rows: DataFrame, sizes: list[int], whole: bool, least: int, known: np.ndarray | None) -> DataFrame:
@@ -119,7 +135,7 @@ def _windows(rows: DataFrame, sizes: list[int], whole: bool, least: int, known:
     kind = dict(rows.dtypes)["id"]
     shared = None if known is None else rows.sparkSession.sparkContext.broadcast(known)
     widest = max(sizes, default=0)
-    struct = pa.struct([("hash", pa.int64()), ("width", pa.int32()), ("at", pa.int32()), ("value", pa.list_(pa.int64())), ("slot", pa.list_(pa.bool_()))])
+    struct = pa.struct([("hash", pa.int64()), ("width", pa.int32()), ("form", pa.int32()), ("at", pa.int32()), ("value", pa.list_(pa.int64())), ("slot", pa.list_(pa.bool_()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -127,17 +143,18 @@ def _windows(rows: DataFrame, sizes: list[int], whole: bool, least: int, known:
             first = np.searchsorted(words.doc, np.arange(batch.num_rows + 1))
             counts = np.diff(first)
             hits: list[list[dict]] = [[] for _ in range(batch.num_rows)]
-            for n in sizes:
-                hashes, at = words.windows(n)
+            for n, form in [(n, form) for n in sizes for form in range(len(words.forms))]:
+                hashes, at = words.windows(n, form)
                 if whole and n < widest:  # a short item is one window
                     keep = counts[words.doc[at]] == n
                     hashes, at = hashes[keep], at[keep]
                 if shared is not None:
                     keep = _within(hashes, shared.value)
                     hashes, at = hashes[keep], at[keep]
+                slot = words.forms[form][1]
                 for h, i in zip(hashes.view(np.int64).tolist(), at.tolist(), strict=True):
                     d = words.doc[i]
-                    hits[d].append({"hash": h, "width": n, "at": i - int(first[d]), "value": words.value[i : i + n].view(np.int64).tolist(), "slot": words.slot[i : i + n].tolist()})
+                    hits[d].append({"hash": h, "width": n, "form": form, "at": i - int(first[d]), "value": words.value[i : i + n].view(np.int64).tolist(), "slot": slot[i : i + n].tolist()})
             yield pa.record_batch([batch.column(0), pa.array(counts, pa.int64()), pa.array(hits, pa.list_(struct))], names=["id", "n_tokens", "hits"])
 
     return rows.mapInArrow(run, f"id {kind}, n_tokens long, hits {_HIT}")
@@ -149,7 +166,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 8, eviden
         raise ValueError("expected least <= window <= evidence")
     sizes = list(range(least, window + 1))
     items = settle(_windows(benchmark.select(F.col("item_id").alias("id"), "text"), sizes, True, least, None))
-    marks = settle(items.select(F.col("id").alias("item"), "n_tokens", F.inline("hits")).select("item", "n_tokens", F.col("hash"), "width", F.col("at").alias("item_at"), F.col("value").alias("item_value"), "slot").distinct())
+    marks = settle(items.select(F.col("id").alias("item"), "n_tokens", F.inline("hits")).select("item", "n_tokens", F.col("hash"), "width", "form", F.col("at").alias("item_at"), F.col("value").alias("item_value"), "slot").distinct())
     per_size = {r.width: r.n for r in marks.groupBy("width").agg(F.count("*").alias("n")).collect()}  # one row a width
     known = None
     if sum(per_size.values()) <= prefilter:
@@ -157,15 +174,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 8, eviden
     rows = docs.select("doc_id", row_key().alias("rk"), "text")
     found = _windows(rows.select(F.struct("doc_id", "rk").alias("id"), "text"), [n for n in sizes if n in per_size], False, least, known)
     found = settle(found.select("id.doc_id", "id.rk", "hits"))
-    hits = found.where(F.size("hits") > 0).dropDuplicates(["rk"]).select("rk", F.inline("hits")).drop("slot").withColumnRenamed("at", "doc_at")
+    hits = found.where(F.size("hits") > 0).dropDuplicates(["rk"]).select("rk", F.inline("hits")).drop("slot", "form").withColumnRenamed("at", "doc_at")
     aligned = hits.join(marks, ["hash", "width"]).withColumn("shift", F.col("doc_at") - F.col("item_at"))
-    line = Window.partitionBy("rk", "item", "n_tokens", "shift", "width").orderBy("item_at")
-    runs = aligned.withColumn("run", F.col("item_at") - F.row_number().over(line))
     pair = F.transform(F.filter(F.arrays_zip("item_value", F.col("value").alias("value"), "slot"), lambda x: x["slot"]), lambda x: F.struct(x["item_value"].alias("item"), x["value"].alias("doc")))
-    runs = runs.groupBy("rk", "item", "n_tokens", "shift", "width", "run").agg(
-        (F.count("*") + F.col("width") - 1).alias("words"), F.array_distinct(F.flatten(F.collect_set(pair))).alias("pairs")
+    # Literal windows count twice: in runs with the others, and in runs of their own, which no other slot can spoil.
+    kinds = F.when(F.col("form") == _LITERAL, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    aligned = aligned.withColumn("pairs", pair).withColumn("literal", F.explode(kinds))
+    key = ["rk", "item", "n_tokens", "shift", "width", "literal"]
+    starts = aligned.groupBy(*key, "item_at").agg(F.flatten(F.collect_set("pairs")).alias("pairs"))
+    runs = starts.withColumn("run", F.col("item_at") - F.row_number().over(Window.partitionBy(*key).orderBy("item_at")))
+    runs = runs.groupBy(*key, "run").agg(
+        (F.count("*") + F.col("width") - 1).alias("words"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
     )
-    runs = runs.groupBy("rk", "item", "n_tokens", "shift").agg(F.max("words").alias("words"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
+    runs = runs.groupBy("rk", "item", "n_tokens", "shift", "literal").agg(F.max("words").alias("words"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
     one_way = F.size(F.array_distinct(F.transform("pairs", lambda x: x["item"]))) == F.size("pairs")
     back = F.size(F.array_distinct(F.transform("pairs", lambda x: x["doc"]))) == F.size("pairs")
     runs = runs.where((F.col("words") >= F.least(F.lit(evidence), F.col("n_tokens"))) & one_way & back)

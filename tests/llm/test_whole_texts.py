@@ -3,7 +3,7 @@
 import textwrap
 
 from corpus_fixtures import texts  # noqa: F401
-from tallyspark.llm import licences, token_counts
+from tallyspark.llm import decontaminate, licences, token_counts
 from tallyspark.llm.queries import tokenizer
 
 
@@ -45,3 +45,23 @@ def test_licences_in_wrapped_and_commented_texts(texts):
     n = per * len(forms)
     assert rows[n + 1].sentence_ids == "bsd-source,bsd-binary"
     assert [rows[n + k].sentence_ids for k in range(2, 7)] == ["apache-header", "reserved", "spdx-mit", "", ""]
+
+
+def test_contamination_whatever_stands_before(spark, texts):
+    items = [
+        "What is the capital of France", "Tom has 3 apples. Tom gives 2 apples to Ann. How many apples are left for Tom",
+        "The river Danube flows past the old walls of Vienna and Budapest before it turns south near Belgrade and ends in a delta",
+        "Compute 12 + 45 * 3 - 7 / 2", "on 3 May 1912, 4 June 1913, 5 July 1914 and 6 August 1915 they met 12 times",
+    ]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    values = [
+        "he asked What is the capital of France, and left", "Mia has 7 apples. Mia gives 4 apples to Bob. How many apples are left for Mia",
+        "so: " + items[2].replace("past the ", "past the\n").replace("and Budapest", "and\nBudapest").replace("near ", "near\n"), "please Compute 12 + 45 * 3 - 7 / 2 now", "I say " + items[4],
+        "Mia has 7 apples. Mia gives 4 apples to Bob. How many apples are left for Zoe", "he asked what is the price of bread", "please Compute 12 + 45 * 3 - 7 / 3 now",
+        # Verbatim, then a second, inconsistent part on the same alignment.
+        items[2][: items[2].index(" turns")] + " turns south near Vienna and ends in a delta",
+    ]
+    want = [([0], 1), ([1], 0), ([2], 1), ([3], 1), ([4], 1), ([], 0), ([], 0), ([], 0), ([2], 1)]
+    for prefilter in (2_000_000, 0):
+        rows = decontaminate.contamination(texts(values), benchmark, prefilter=prefilter).orderBy("doc_id").collect()
+        assert [(r.item_ids, r.n_exact) for r in rows] == want
