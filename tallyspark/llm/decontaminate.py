@@ -1,7 +1,7 @@
 """Benchmark passages in documents, re-parameterised copies included, by template canonicalisation.
 
-Tokens are the words of a text (runs of letters, digits and non-ASCII characters; a point or comma
-between digits belongs to the number). A template replaces three kinds of token by typed placeholders:
+Tokens are the words of a text (runs of letters, digits and marks in Unicode's sense; a point or comma
+between digits belongs to the number). Each character of a script without spaces is a word of its own. A template replaces three kinds of token by typed placeholders:
 numbers (digits, or one of NUMBER_WORDS), units (one of UNITS after a number) and names (a capitalised
 word with small letters). Case is folded for ASCII and Latin-1 letters.
 
@@ -26,6 +26,8 @@ as a prefilter only while they are at most ``prefilter`` (8 bytes each); beyond
 
 from __future__ import annotations
 
+import functools
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,6 +55,35 @@ _NUMBER, _UNIT, _NAME = (np.uint64(x) for x in (0x11D5A7F3C6B40E29, 0x25E1B97D3A
 _SENTENCE_END = np.zeros(256, bool)
 _SENTENCE_END[[ord(c) for c in ".!?:;\n|"]] = True
 
+# First and last code points of scripts that put no spaces between words: Thai and Lao, Myanmar, Khmer, Japanese, Chinese.
+_UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF))
+
+
+@functools.cache
+def _classes() -> np.ndarray:
+    """For each code point 0 if it parts words, 1 if words hold it, 2 if it is a word."""
+    out = np.array([unicodedata.category(chr(c))[0] in "LNM" or unicodedata.category(chr(c)) in ("Co", "Cn", "Cs") for c in range(0x110000)], np.uint8)
+    for a, b in _UNSPACED:
+        out[a : b + 1] *= 2
+    return out
+
+
+def _beyond_ascii(raw: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Takes characters that part words out of ``inside``; first and last bytes of those that are words."""
+    lead = np.flatnonzero(raw >= 0xC0)
+    size = 2 + (raw[lead] >= 0xE0) + (raw[lead] >= 0xF0)
+    whole = lead + size <= len(raw)
+    lead, size = lead[whole], size[whole]
+    code = raw[lead].astype(np.int64) & np.array([0, 0, 0x1F, 0x0F, 0x07])[size]
+    for k in range(1, 4):
+        more = size > k
+        code[more] = (code[more] << 6) | (raw[lead[more] + k] & 0x3F)
+    kind = _classes()[np.minimum(code, 0x10FFFF)]
+    for k in range(4):
+        inside[lead[(kind == 0) & (size > k)] + k] = False
+    alone = kind == 2
+    return lead[alone], lead[alone] + size[alone] - 1
+
 
 def _set(words: list[str]) -> np.ndarray:
     data = np.frombuffer(" ".join(words).encode(), np.uint8)
@@ -80,6 +111,7 @@ class Templates:
         data[latin] += 32
         digit = (raw >= 48) & (raw <= 57)
         inside = _IS_WORD[raw]
+        first, last = _beyond_ascii(raw, inside)
         if n > 2:
             inside[1:-1] |= ((raw[1:-1] == 46) | (raw[1:-1] == 44)) & digit[:-2] & digit[2:]
         head = self.offsets[:-1][np.diff(self.offsets) > 0]
@@ -88,6 +120,10 @@ class Templates:
         closes[:-1] &= ~inside[1:]
         opens[head] = inside[head]
         closes[head[head > 0] - 1] = inside[head[head > 0] - 1]
+        opens[first] = closes[last] = True
+        before, after = first[first > 0] - 1, last[last < n - 1] + 1
+        closes[before] = inside[before]
+        opens[after] = inside[after]
         start, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
         self.doc = np.searchsorted(self.offsets, start, side="right") - 1
         self.value = hash_spans(data, start, end)

@@ -65,3 +65,15 @@ def test_contamination_whatever_stands_before(spark, texts):
     for prefilter in (2_000_000, 0):
         rows = decontaminate.contamination(texts(values), benchmark, prefilter=prefilter).orderBy("doc_id").collect()
         assert [(r.item_ids, r.n_exact) for r in rows] == want
+
+
+def test_contamination_beyond_ascii(spark, texts):
+    items = ["中国的首都是哪一座城市？请写出它的名字。", "เมืองหลวงของประเทศไทยคือเมืองใด", "what colour has the sky", "日本で一番高い山の名前"]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    values = [
+        "请回答：中国的首都是哪一座城市?请写出它的名字！谢谢", "ถาม" + items[1] + "ครับ", "“what colour has the sky”, they asked", "a what colour has the sky…", "答えは日本で一番高い山の名前です",
+        "中国的首都很大，城市的名字很多", "été what côlour has the sky",
+    ]
+    want = [[0], [1], [2], [2], [3], [], []]
+    rows = decontaminate.contamination(texts(values), benchmark).orderBy("doc_id").collect()
+    assert [r.item_ids for r in rows] == want
