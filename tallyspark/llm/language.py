@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.textkit import slices
+from tallyspark.llm.textkit import SLICE_BYTES, slices
 
 UNKNOWN = "und"
 CELLS = 1 << 16
@@ -172,7 +172,7 @@ def viterbi(scores: np.ndarray, doc: np.ndarray, penalty: float) -> np.ndarray:
         last[here] = ending[docs]
         ending[docs] = best_before[here, ending[docs]]
     # Pass 2: forward from the true entry with back pointers, then backward.
-    point = np.zeros((BLOCK, len(order), langs), np.int8)
+    point = np.zeros((BLOCK, len(order), langs), np.min_scalar_type(langs - 1))
     now = (entry[:, :, None] + np.where((within == 0)[:, None, None], 0.0, move[None])).max(1)
     for t in range(BLOCK):
         k = active[t]
@@ -209,7 +209,7 @@ def predict(
     shared = docs.sparkSession.sparkContext.broadcast((logs, permitted))  # 65,568 cells a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE_BYTES // max(1, len(langs) ** 2 // 256)):  # blocks hold languages squared
             logs, permitted = shared.value
             words = Letters([(t or "").lower() for t in batch.column(at).to_pylist()])
             n = batch.num_rows

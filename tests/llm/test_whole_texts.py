@@ -2,8 +2,10 @@
 
 import textwrap
 
+import numpy as np
+
 from corpus_fixtures import texts  # noqa: F401
-from tallyspark.llm import decontaminate, licences, token_counts
+from tallyspark.llm import decontaminate, language, licences, token_counts
 from tallyspark.llm.queries import tokenizer
 
 
@@ -77,3 +79,18 @@ def test_contamination_beyond_ascii(spark, texts):
     want = [[0], [1], [2], [2], [3], [], []]
     rows = decontaminate.contamination(texts(values), benchmark).orderBy("doc_id").collect()
     assert [r.item_ids for r in rows] == want
+
+
+def test_viterbi_with_many_languages():
+    rng = np.random.default_rng(3)
+    for langs in (129, 200, 300):
+        doc, scores = np.repeat([0, 1, 3], [300, 2, 257]), rng.normal(size=(559, langs)) * 3
+        scores[:, langs - 30 :] += 2.0  # the high numbers win
+        label = language.viterbi(scores, doc, 2.0)
+        assert label.min() >= 0 and label.max() < langs
+        for d in (0, 1, 3):
+            mine, path = scores[doc == d], label[doc == d]
+            best = mine[0].copy()
+            for row in mine[1:]:
+                best = np.maximum(best, best.max() - 2.0) + row
+            assert abs(mine[np.arange(len(path)), path].sum() - 2.0 * (np.diff(path) != 0).sum() - best.max()) < 1e-9
