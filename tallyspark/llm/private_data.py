@@ -39,7 +39,7 @@ BASE = {
 LOOSE = {
     "email": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}+ ?[\[(]at[\])] ?[a-z0-9-]{1,63}+ ?(?:[\[(]dot[\])]|\.) ?[a-z]{2,24}",
     "phone": r"(?<![0-9+().-])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9-])",
-    "secret": r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}(?![A-Za-z0-9])|(?i:password|passwd|pwd|secret|token|api_?key)[=:][^\s,;]{6,128})",
+    "secret": r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}(?![A-Za-z0-9])|(?i:password|passwd|pwd|secret|token|api_?key)[=:][^\s,;]{6,}+)",
 }
 # A character that every match of a pattern has, so that most texts need no search.
 _NEEDS = {"email": "@", "phone": "+"}

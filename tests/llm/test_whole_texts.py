@@ -3,9 +3,10 @@
 import textwrap
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from corpus_fixtures import texts  # noqa: F401
-from tallyspark.llm import decontaminate, language, licences, token_counts
+from tallyspark.llm import decontaminate, language, licences, private_data, token_counts
 from tallyspark.llm.queries import tokenizer
 
 
@@ -94,3 +95,13 @@ def test_viterbi_with_many_languages():
             for row in mine[1:]:
                 best = np.maximum(best, best.max() - 2.0) + row
             assert abs(mine[np.arange(len(path)), path].sum() - 2.0 * (np.diff(path) != 0).sum() - best.max()) < 1e-9
+
+
+def test_long_secrets_are_redacted_to_their_end(texts):
+    token = "eyJ" + "aB3_-x9Z.q" * 100
+    values = [f"login with token={token}{end}" for end in ("", " and go on", ", then leave", "\nnext")] * 5 + [f"password: none; api_key={'k7' * 70}", "secret:" + "z9" * 200000]
+    found = private_data.find(texts(values))
+    df = texts(values).join(found.select("doc_id", F.col("spans").alias("found")), "doc_id")
+    clean = {r.doc_id: r.c for r in df.select("doc_id", private_data.redact(F.col("text"), F.col("found")).alias("c")).collect()}
+    assert [clean[i] for i in range(4)] == ["login with [secret]", "login with [secret] and go on", "login with [secret], then leave", "login with [secret]\nnext"]
+    assert clean[20] == "password: none; [secret]" and clean[21] == "[secret]"
