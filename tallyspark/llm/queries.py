@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import bpe, decontaminate, language, licences, lm_score, near_dedup, private_data, substrings, token_counts, topk
+from tallyspark.llm import alignment, bpe, decontaminate, language, lexical, licences, lm_score, near_dedup, private_data, simhash, substrings, token_counts, topk
 from tallyspark.llm.textkit import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -116,3 +116,40 @@ def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op8_licences"] = licences.oracle()
+
+
+@register
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+ORACLE["op11_lexical"] = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9A-Za-z\x{80}-\x{10FFFF}]+') AS w FROM documents
+), asked AS (
+  SELECT row_number() OVER () AS i, item_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9A-Za-z\x{80}-\x{10FFFF}]+') AS w FROM benchmark
+), counted AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM texts) GROUP BY ALL),
+size AS (SELECT count(*) AS N, CAST(sum(len(w)) AS BIGINT) AS L FROM texts WHERE len(w) > 0),
+frequency AS (SELECT term, count(*) AS df FROM counted GROUP BY 1),
+weighed AS (SELECT term, CAST(floor(1000 * ln((2 * N + 2) / (2 * df + 1))) AS BIGINT) AS w FROM frequency, size),
+lengths AS (SELECT r, doc_id, 25 + (75 * len(w) * N) // L AS m FROM texts, size WHERE len(w) > 0),
+uses AS (SELECT i, term, count(*) AS u FROM (SELECT i, unnest(w) AS term FROM asked) GROUP BY ALL),
+scored AS (
+  SELECT i, r, doc_id, CAST(sum(u * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM uses JOIN weighed USING (term) JOIN counted USING (term) JOIN lengths USING (r) GROUP BY ALL
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scored JOIN asked USING (i) WHERE score > 0 QUALIFY rank <= 10
+"""
+
+
+@register
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
+@register
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
