@@ -24,8 +24,10 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +43,8 @@ FAN = 128
 FRAME = 8192
 RUN_BYTES = 4 << 20
 PIECE_CHARS = 1 << 20
-MEMO_WORDS = 200_000
+MEMO_WORDS = 400_000
+LEARN = 1 << 14
 MEMO_LENGTH = 64
 
 # A space between two characters that are not blank.
@@ -72,6 +75,8 @@ class Aligner:
     """Both tokenizers and a memo of aligned words."""
 
     def __init__(self, path_a: str, path_b: str):
+        # One task, one thread.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -91,14 +96,19 @@ class Aligner:
             code = re.fullmatch(r"<0x([0-9A-F]{2})>", piece)
             self.bytes_b.append(bytes([int(code[1], 16)]) if code else piece.replace("▁", " ").encode())
         self.cuts = not any("▁" in p.lstrip("▁") for p in pieces)
+        self.size_a = np.zeros(max(self.bytes_a) + 1, np.int64)
+        for i, entry in self.bytes_a.items():
+            self.size_a[i] = len(entry)
+        self.size_b = np.array([len(x) for x in self.bytes_b], np.int64)
+        # An id as it stands inside a group, and as its last on that side.
+        self.told = [f"{i}{mark}" for i in range(len(self.size_a)) for mark in ",|"] + [f"{i}{mark}" for i in range(len(self.size_b)) for mark in ",;"]
         self.forget()
 
     def forget(self) -> None:
         self.memo: dict[str, int] = {}
-        self.numbers: list[tuple[int, int, int, int, bool]] = []
+        self.facts = np.zeros((0, 5), np.int64)  # of each word: n_a, n_b, groups, links, whether it comes back whole
         self.groups: list[str] = []
-        self.pairs: list[np.ndarray] = []
-        self.times: list[np.ndarray] = []
+        self.links = np.zeros(0, np.int64)  # of all words, one after the other
 
     def words(self, text: str) -> Iterator[list[str]]:
         """The words of a text, some at a time."""
@@ -115,101 +125,106 @@ class Aligner:
             start = stop.end() if stop else len(text)
 
     def learn(self, words: list[str]) -> None:
-        for begin in range(0, len(words), 1024):
-            some = words[begin : begin + 1024]
-            left = [e.ids for e in self.a.encode_batch([" " + w for w in some], add_special_tokens=False)]
+        """Align new words: all at once, as one long text whose cuts include the ends of the words."""
+        for begin in range(0, len(words), LEARN):
+            some = words[begin : begin + LEARN]
+            left = [e.ids for e in self.a.encode_batch_fast([" " + w for w in some], add_special_tokens=False)]
             right = self.b.encode(some, num_threads=1)
-            for w, a, b in zip(some, left, right):
-                self.memo[w] = len(self.numbers)
-                self._align(w, a, b)
-
-    def _align(self, word: str, a: list[int], b: list[int]) -> None:
-        whole = (" " + word).encode()
-        left, right = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-        if b"".join(left) != whole or b"".join(right) != whole:
-            self.numbers.append((0, 0, 0, 0, False))
-            self.groups.append("")
-            self.pairs.append(np.zeros(0, np.int64))
-            self.times.append(np.zeros(0, np.int64))
-            return
-        i = j = first_i = first_j = 0
-        end_a, end_b = len(left[0]), len(right[0])
-        groups, links = [], []
-        while True:
-            links.append(a[i] << 32 | b[j])
-            if end_a == end_b:
-                groups.append(",".join(map(str, a[first_i : i + 1])) + "|" + ",".join(map(str, b[first_j : j + 1])))
-                i, j = i + 1, j + 1
-                first_i, first_j = i, j
-                if i == len(a):
-                    break
-                end_a, end_b = end_a + len(left[i]), end_b + len(right[j])
-            elif end_a < end_b:
-                i += 1
-                end_a += len(left[i])
-            else:
-                j += 1
-                end_b += len(right[j])
-        self.numbers.append((len(a), len(b), len(groups), len(links), True))
-        self.groups.append(";".join(groups))
-        pairs, times = np.unique(np.array(links, np.int64), return_counts=True)
-        self.pairs.append(pairs)
-        self.times.append(times)
+            self.memo.update(zip(some, range(len(self.groups), len(self.groups) + len(some))))
+            self._align([(" " + w).encode() for w in some], left, right)
+
+    def _align(self, wholes: list[bytes], left: list[list[int]], right: list[list[int]]) -> None:
+        n = len(wholes)
+        good = np.ones(n, bool)
+        flat = [list(chain.from_iterable(x)) for x in (left, right)]
+        target = b"".join(wholes)
+        if any(b"".join(map(table.__getitem__, ids)) != target for ids, table in zip(flat, (self.bytes_a, self.bytes_b))):
+            for i, whole in enumerate(wholes):
+                good[i] = b"".join(map(self.bytes_a.__getitem__, left[i])) == whole == b"".join(map(self.bytes_b.__getitem__, right[i]))
+        word = [np.repeat(np.arange(n), list(map(len, x))) for x in (left, right)]
+        ids = [np.array(x, np.int64) for x in flat]
+        ids_a, ids_b = (i[good[w]] for i, w in zip(ids, word))
+        word_a, word_b = (w[good[w]] for w in word)
+        ends_a, ends_b = np.cumsum(self.size_a[ids_a]), np.cumsum(self.size_b[ids_b])
+        # Between two neighbouring ends lies one token of each side: each such piece is one link.
+        ends = np.union1d(ends_a, ends_b)
+        in_a = np.searchsorted(ends_a, ends)
+        links = ids_a[in_a] << 32 | ids_b[np.searchsorted(ends_b, ends)]
+        common = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        group_a, group_b = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
+        last_a, last_b = common[group_a] == ends_a, common[group_b] == ends_b
+        codes = np.concatenate([2 * ids_a + last_a, 2 * (ids_b + len(self.size_a)) + last_b])
+        order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+        told = list(map(self.told.__getitem__, codes[order].tolist()))
+        edges = np.searchsorted(np.concatenate([word_a, word_b])[order], np.arange(n + 1)).tolist()
+        self.groups += ["".join(told[s:e]) for s, e in zip(edges, edges[1:])]
+        counts = [np.bincount(w, minlength=n) for w in (word_a, word_b, word_a[last_a], word_a[in_a])]
+        self.facts = np.concatenate([self.facts, np.stack([*counts, good], axis=1).astype(np.int64)])
+        self.links = np.concatenate([self.links, links])
+
+    def _portions(self, texts: list[str]) -> Iterator[list[tuple[int, list[str]]]]:
+        """Words with the number of their text, for about ``PIECE_CHARS`` characters at a time."""
+        held, size = [], 0
+        for d, text in enumerate(texts):
+            for words in self.words(text):
+                held.append((d, words))
+                size += min(len(text), PIECE_CHARS)
+                if size >= 4 * PIECE_CHARS:
+                    yield held
+                    held, size = [], 0
+        yield held
 
     def run(self, texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Numbers and group digests of each text; the distinct pairs of all; records (pair, text, times) in order."""
-        if len(self.memo) > MEMO_WORDS or len(self.numbers) > 2 * MEMO_WORDS:
+        if len(self.memo) > MEMO_WORDS or len(self.groups) > 2 * MEMO_WORDS or len(self.links) > 10 * MEMO_WORDS:
             self.forget()
-        word_of, doc_of, uses, digests = [], [], [], []
-        for d, text in enumerate(texts):
-            digest, empty = hashlib.sha256(), True
-            for words in self.words(text):
-                new = {w for w in words if w not in self.memo}
-                if new:
-                    self.learn(list(new))
-                index = [self.memo[w] for w in words]
-                for w in new:
-                    if len(w) > MEMO_LENGTH:
-                        del self.memo[w]
-                digest.update(("" if empty else ";").encode() + ";".join([self.groups[i] for i in index]).encode())
-                empty = False
-                used, times = np.unique(np.array(index, np.int64), return_counts=True)
-                word_of.append(used)
-                uses.append(times)
-                doc_of.append(np.full(len(used), d))
-            digests.append("" if empty else digest.hexdigest())
-        numbers = np.zeros((len(texts), 4), np.int64)
-        none = np.zeros(0, np.int64)
-        if not word_of:
-            return numbers, digests, none, none, none, none
-        word, doc, use = np.concatenate(word_of), np.concatenate(doc_of), np.concatenate(uses)
+        n, none = len(texts), np.zeros(0, np.int64)
+        digests, empty = [hashlib.sha256() for _ in texts], [True] * n
+        doc_of, word_of, uses = [none], [none], [none]
+        for portion in self._portions(texts):
+            new = {w for _, words in portion for w in words if w not in self.memo}
+            self.learn(list(new))
+            index = []
+            for d, words in portion:
+                mine = list(map(self.memo.__getitem__, words))
+                # Each group ends with a semicolon; the last one of a text does not count.
+                digests[d].update(("" if empty[d] else ";").encode() + "".join(map(self.groups.__getitem__, mine))[:-1].encode())
+                empty[d] = False
+                index += mine
+            for w in new:
+                if len(w) > MEMO_LENGTH:
+                    del self.memo[w]
+            doc = np.repeat([d for d, _ in portion], [len(words) for _, words in portion]).astype(np.int64)
+            key, times = np.unique(doc * len(self.groups) + np.array(index, np.int64), return_counts=True)
+            doc_of.append(key // max(1, len(self.groups)))
+            word_of.append(key % max(1, len(self.groups)))
+            uses.append(times)
+        doc, word, use = np.concatenate(doc_of), np.concatenate(word_of), np.concatenate(uses)
+        good = np.ones(n, bool)
+        good[doc[self.facts[word, 4] == 0]] = False
+        keep = good[doc]
+        doc, word, use = doc[keep], word[keep], use[keep]
+        numbers = np.stack([np.bincount(doc, weights=self.facts[word, c] * use, minlength=n) for c in range(4)], axis=1).astype(np.int64)
+        told = [h.hexdigest() if g and not e else "" for h, g, e in zip(digests, good.tolist(), empty)]
+
         used, word = np.unique(word, return_inverse=True)
-        facts = np.array([self.numbers[i] for i in used.tolist()], np.int64)
-        good = np.ones(len(texts), bool)
-        good[doc[facts[word, 4] == 0]] = False
-        for c in range(4):
-            np.add.at(numbers[:, c], doc, facts[word, c] * use)
-        numbers[~good] = 0
-        digests = [h if g else "" for h, g in zip(digests, good.tolist())]
-        sizes = np.array([len(self.pairs[i]) for i in used.tolist()])
+        sizes = self.facts[used, 3]
+        first = np.cumsum(self.facts[:, 3]) - self.facts[:, 3]
         start = np.cumsum(sizes) - sizes
-        links, times = np.concatenate([self.pairs[i] for i in used.tolist()]), np.concatenate([self.times[i] for i in used.tolist()])
-        keep = good[doc]
-        word, doc, use = word[keep], doc[keep], use[keep]
-        counts = sizes[word]
-        at = np.repeat(start[word] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        pairs, local = np.unique(self.links[np.repeat(first[used] - start, sizes) + np.arange(sizes.sum())], return_inverse=True)
         # Side-major order inside each part: by the last bits of A, then A, then B.
-        distinct, local = np.unique(links[at], return_inverse=True)
-        order = np.lexsort((distinct, radix(distinct)))
+        order = np.lexsort((pairs, radix(pairs)))
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        record = place[local] * len(texts) + np.repeat(doc, counts)
-        sorted_ = np.argsort(record, kind="stable")
-        record, times = record[sorted_], (times[at] * np.repeat(use, counts))[sorted_]
-        first = np.flatnonzero(np.r_[True, record[1:] != record[:-1]]) if len(record) else none
-        times = np.add.reduceat(times, first) if len(first) else none
-        record = record[first]
-        return numbers, digests, distinct[order], record // len(texts), record % len(texts), times
+        counts = sizes[word]
+        at = np.repeat(start[word] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        record = place[local[at]] * n + np.repeat(doc, counts)
+        by_record = np.argsort(record)
+        record, times = record[by_record], np.repeat(use, counts)[by_record]
+        begin = np.flatnonzero(np.diff(record, prepend=-1))
+        times = np.add.reduceat(times, begin) if len(begin) else none
+        record = record[begin]
+        return numbers, told, pairs[order], record // max(1, n), record % max(1, n), times
 
 
 def radix(pairs: np.ndarray) -> np.ndarray:
