@@ -1,126 +1,152 @@
-"""Stupid-backoff scores of whole texts from the counts of all other texts.
-
-Texts are dealt to blocks by a hash of the row. Each block counts its n-grams of all orders and sends one
-entry for each different one, packed by ranges of the n-gram's hash. The count table is thus partitioned
-by hash: one task sums a range over all blocks, and joins the totals back to the blocks that asked, in the
-order in which they asked. Each block then scores its texts and sums for each document. An n-gram reaches
-the table once for each block, however often it occurs, and ranges of hashes hold equal shares, so a very
-common word is no hot key. Rows between the stages are at most the different n-grams of the blocks.
-
-A text is scored by counts without its own: total minus what it holds itself. The score of a word after
-its context is count(context + word) / count(context) for the longest context with which it was seen
-elsewhere, times ``backoff`` for each word cut from the context; a word not seen elsewhere gets the share
-1 / (words + 1). The result is the mean natural logarithm over the words of the text.
-
-N-grams are told apart by 64-bit hashes of lower-cased words. Null texts, and texts without words, have no
-words and a null score. Repeated rows count as texts of their own and get equal scores.
+"""Stupid-backoff scores of whole texts from the counts of all other texts, computed relationally.
+
+A scan explodes each text into its different n-grams of every order, once each, with the number of times that the
+text holds it: a repeated phrase never leaves the task twice, and no n-gram has more rows than there are texts. The
+count tables are sums of these rows by hash, combined on the map side and partitioned by that hash; only n-grams of
+two texts or more matter, as a text is scored by counts without its own. The exploded n-grams are joined to the count
+tables and what they add is summed for each document.
+
+The score of a word after its context is count(context + word) / count(context) for the longest context with which
+it was seen elsewhere, times ``backoff`` for each word cut from the context; a word not seen elsewhere gets the share
+1 / (words + 1). The result is the mean natural logarithm over the words of the text. It is a plain sum over n-grams:
+each word starts from the share of an unseen word with its context cut away, and every n-gram seen elsewhere adds the
+logarithm of its own ratio less that of the n-gram without its first word, which it stands in for. (Where the longer
+one is seen elsewhere, so is the shorter one.) For this a row of the count table also has the counts of the n-gram's
+context, of the n-gram without its first word, and of the latter's context.
+
+N-grams are told apart by 64-bit hashes of lower-cased words. Null texts, and texts without words, have no words and
+a null score. Repeated rows count as texts of their own and get equal scores. An empty table gives no rows; further
+columns are left aside.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.textkit import Words, row_key, shingles, slices
+from tallyspark.llm.textkit import Words, settle, shingles, slices
 
-BLOCK_BYTES = 12 << 20
 _ORDERS = np.random.default_rng(6).integers(1, 2**63, 16, dtype=np.uint64)
-
-
-class Grams:
-    """Words of a block of texts and their n-grams, order by order."""
-
-    def __init__(self, texts: pa.ChunkedArray, order: int):
-        hashed, rows, first = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
-        for batch in slices(pa.Table.from_arrays([texts], ["text"]).to_batches(), limit=1 << 20):
-            words = Words(batch.column(0))
-            hashed.append(words.hash)
-            rows.append(words.doc + first)
-            first += batch.num_rows
-        hashed, self.doc = np.concatenate(hashed), np.concatenate(rows)
-        self.words = len(hashed)
-        self.index: list[np.ndarray] = []  # for each order: number of the gram that ends at each word, or -1
-        parts, ends = [], []
-        for n in range(1, order + 1):
-            hashes, at = (hashed, np.arange(self.words)) if n == 1 else shingles(hashed, self.doc, n)
-            parts.append(hashes ^ _ORDERS[n])
-            ends.append(at + n - 1)
-        every = np.concatenate([np.zeros(1, np.uint64), *parts])  # entry 0: the number of words
-        self.known, inverse, counts = np.unique(every, return_inverse=True, return_counts=True)
-        self.counts = counts.astype(np.int64)
-        self.counts[0] = self.words
-        done = 1
-        for hashes, end in zip(parts, ends, strict=True):
-            index = np.full(self.words, -1)
-            index[end] = inverse[done : done + len(hashes)]
-            done += len(hashes)
-            self.index.append(index)
-
-    def own(self, index: np.ndarray) -> np.ndarray:
-        """How often the text of each word holds the gram of that number itself."""
-        key = self.doc * (len(self.known) + 1) + index + 1
-        _, inverse, counts = np.unique(key, return_inverse=True, return_counts=True)
-        return counts[inverse]
-
-
-def scores(docs: DataFrame, order: int = 2, backoff: float = 0.4, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``doc_id, n_words, n_backoff, lm_score`` of every row of ``doc_id, text``."""
-    kind = dict(docs.dtypes)["doc_id"]
-    plain = docs.select("doc_id", row_key().alias("rk"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
-    size = docs.select(F.sum(F.octet_length("text")).alias("n")).first().n or 0
-    blocks = max(1, -(-size // block_bytes))
-    ranges = max(1, -(-blocks // 2))
-    dealt = plain.select("doc_id", "text", F.pmod(F.xxhash64("rk"), F.lit(blocks)).cast("int").alias("block")).repartition("block")
-
-    def ask(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        grams = Grams(table.column("text"), order)
-        bound = np.array([-(-(i << 64) // ranges) for i in range(1, ranges)], np.uint64)
-        cut = np.concatenate([[0], np.searchsorted(grams.known, bound), [len(grams.known)]])
-        has = [i for i in range(ranges) if cut[i + 1] > cut[i]]
-        return pa.table({
-            "range": pa.array(has, pa.int32()), "block": pa.array([key[0].as_py()] * len(has), pa.int32()),
-            "grams": pa.array([grams.known[cut[i] : cut[i + 1]].tobytes() for i in has], pa.binary()),
-            "counts": pa.array([grams.counts[cut[i] : cut[i + 1]].tobytes() for i in has], pa.binary()),
-        })
-
-    def total(table: pa.Table) -> pa.Table:
-        grams = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("grams")]
-        counts = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table.column("counts")])
-        _, inverse = np.unique(np.concatenate(grams), return_inverse=True)
-        sums = np.zeros(int(inverse.max()) + 1, np.int64)
-        np.add.at(sums, inverse, counts)
-        cut = np.cumsum([0, *map(len, grams)])
-        told = [sums[inverse[a:b]].tobytes() for a, b in zip(cut, cut[1:], strict=False)]
-        return pa.table({"block": table.column("block"), "range": table.column("range"), "totals": pa.array(told, pa.binary())})
-
-    def judge(texts: pa.Table, told: pa.Table) -> pa.Table:
-        grams = Grams(texts.column("text"), order)
-        parts = sorted(zip(told.column("range").to_pylist(), told.column("totals"), strict=True), key=lambda x: x[0])
-        totals = np.concatenate([np.frombuffer(p.as_buffer(), np.int64) for _, p in parts])
-        sizes = np.bincount(grams.doc, minlength=texts.num_rows)
-        others = totals[0] - sizes[grams.doc]  # words of all other texts
-        elsewhere = []
-        for index in grams.index:
-            left = totals[index] - grams.own(index)
-            elsewhere.append(np.where(index < 0, 0, left))
-        value = np.where(elsewhere[0] > 0, elsewhere[0] / np.maximum(others, 1), 1.0 / (others + 1))
-        cut_words = np.zeros(grams.words, np.int64)
-        for n in range(2, order + 1):
-            seen = elsewhere[n - 1] > 0
-            context = np.zeros(grams.words, np.int64)
-            context[1:] = elsewhere[n - 2][:-1]
-            # Words at the start of a text have no context of that length: nothing is cut there.
-            possible = grams.index[n - 1] >= 0
-            value = np.where(seen, elsewhere[n - 1] / np.maximum(context, 1), np.where(possible, value * backoff, value))
-            cut_words = np.where(seen, 0, cut_words + possible)
-        logs = np.bincount(grams.doc, weights=np.log(value), minlength=texts.num_rows)
-        cuts = np.bincount(grams.doc, weights=cut_words > 0, minlength=texts.num_rows).astype(np.int64)
-        mean = pa.array(np.divide(logs, sizes, out=np.zeros(len(logs)), where=sizes > 0), mask=sizes == 0)
-        return pa.table({"doc_id": texts.column("doc_id"), "n_words": pa.array(sizes, pa.int64()), "n_backoff": pa.array(cuts), "lm_score": mean})
-
-    asked = dealt.groupBy("block").applyInArrow(ask, "range int, block int, grams binary, counts binary")
-    answered = asked.groupBy("range").applyInArrow(total, "block int, range int, totals binary")
-    told = answered.select(F.col("block").alias("of_block"), "range", "totals")
-    return dealt.groupBy("block").cogroup(told.groupBy("of_block")).applyInArrow(judge, f"doc_id {kind}, n_words long, n_backoff long, lm_score double")
+FIELDS = "row long, n int, gram long, context long, rest long, own int, own_context int, own_rest int, own_middle int, lead boolean"
+
+
+def _distinct(hashes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first place of each different (text, hash), and for each place how often its text holds the hash."""
+    order = np.lexsort((hashes, doc))
+    new = np.ones(len(order), bool)
+    new[1:] = (hashes[order[1:]] != hashes[order[:-1]]) | (doc[order[1:]] != doc[order[:-1]])
+    edges = np.append(np.flatnonzero(new), len(order))
+    own = np.empty(len(order), np.int64)
+    own[order] = np.repeat(np.diff(edges), np.diff(edges))
+    return order[edges[:-1]], own
+
+
+def grams(rows: DataFrame, order: int) -> DataFrame:
+    """The different n-grams of each text of ``row, text``: hashes of them and of their parts, and counts in the text.
+
+    ``context`` is the n-gram without its last word, ``rest`` without its first, and the middle without both; of one
+    word all of these are empty, and the text holds the empty n-gram once for each word. ``lead`` marks the n-gram
+    that opens the text.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            words = Words(batch.column(1))
+            if not len(words.hash):
+                continue
+            ids, first = batch.column(0).to_numpy(), words.first()
+            size = len(words.hash)
+            # By order: the hash of the n-gram that starts at each word, and its count in the text; 0 is the empty one.
+            hashes, own = [np.zeros(size + 1, np.uint64)], [np.append(np.diff(first)[words.doc], 0)]
+            for n in range(1, order + 1):
+                found, at = (words.hash, np.arange(size)) if n == 1 else shingles(words.hash, words.doc, n)
+                found = found ^ _ORDERS[n]
+                places, counts = _distinct(found, words.doc[at])
+                full, held = np.zeros(size + 1, np.uint64), np.zeros(size + 1, np.int64)
+                full[at], held[at] = found, counts
+                hashes.append(full)
+                own.append(held)
+                start = at[places]
+                middle = own[n - 2][start + 1] if n > 1 else held[start]
+                yield pa.record_batch(
+                    [
+                        pa.array(ids[words.doc[start]]), pa.array(np.full(len(start), n, np.int32)), pa.array(full[start].view(np.int64)),
+                        pa.array(hashes[n - 1][start].view(np.int64)), pa.array(hashes[n - 1][start + 1 if n > 1 else start].view(np.int64)),
+                        *[pa.array(x.astype(np.int32)) for x in (held[start], own[n - 1][start], own[n - 1][start + 1 if n > 1 else start], middle)],
+                        pa.array(_opens(found, at, places, words.doc, batch.num_rows)),
+                    ],
+                    names=[f.split()[0] for f in FIELDS.split(", ")],
+                )
+
+    return rows.select("row", F.lower(F.coalesce("text", F.lit(""))).alias("text")).mapInArrow(run, FIELDS)
+
+
+def _opens(found: np.ndarray, at: np.ndarray, places: np.ndarray, doc: np.ndarray, texts: int) -> np.ndarray:
+    """Whether each n-gram is the one that opens its text; places are in the order of the text."""
+    lead = np.zeros(texts, np.uint64)
+    with_any, opening = np.unique(doc[at], return_index=True)
+    lead[with_any] = found[opening]
+    return found[places] == lead[doc[at[places]]]
+
+
+def sizes(rows: DataFrame) -> DataFrame:
+    """``row, words``: the number of words of each text that has any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            count = np.diff(Words(batch.column(1), hashed=False).first())
+            has = np.flatnonzero(count)
+            yield pa.record_batch([batch.column(0).take(pa.array(has)), pa.array(count[has].astype(np.int64))], names=["row", "words"])
+
+    return rows.select("row", F.lower(F.coalesce("text", F.lit(""))).alias("text")).mapInArrow(run, "row long, words long")
+
+
+def count_tables(exploded: DataFrame, words: int) -> DataFrame:
+    """``n, gram`` of two texts or more with the counts of the n-gram, its context, its rest and its middle."""
+    counts = exploded.groupBy("n", "gram").agg(
+        F.sum("own").alias("total"), F.count("*").alias("texts"), F.first("context").alias("context"), F.first("rest").alias("rest")
+    )
+    shared = settle(counts.where("texts > 1").drop("texts"))
+    part = shared.select((F.col("n") + 1).alias("n"), F.col("gram").alias("context"), F.col("total").alias("total_context"))
+    every = F.lit(words).cast("long")
+    known = settle(shared.join(part, ["n", "context"], "left").withColumn("total_context", F.when(F.col("n") == 1, every).otherwise(F.col("total_context"))).select("n", "gram", "rest", "total", "total_context"))
+    shorter = known.select((F.col("n") + 1).alias("n"), F.col("gram").alias("rest"), F.col("total").alias("total_rest"), F.col("total_context").alias("total_middle"))
+    return known.join(shorter, ["n", "rest"], "left").select("n", "gram", "total", "total_context", "total_rest", "total_middle")
+
+
+def scores(docs: DataFrame, order: int = 3, backoff: float = 0.4) -> DataFrame:
+    """``doc_id, n_words, n_backoff, lm_score`` of every row of ``doc_id, text``.
+
+    ``n_backoff`` counts the words whose longest possible context, of up to ``order - 1`` words, was not seen with
+    them elsewhere; the first word of a text has none.
+    """
+    rows = settle(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"))
+    size = settle(sizes(rows))
+    words = size.agg(F.sum("words").alias("n")).first().n or 0
+    exploded = grams(rows, order)
+    joined = exploded.join(count_tables(exploded, words), ["n", "gram"])
+
+    def share(total: str, own: str) -> Column:
+        return F.ln((F.col(total) - F.col(own)).cast("double"))
+
+    seen = share("total", "own") - share("total_context", "own_context")
+    unseen = -F.ln(F.col("total_context") - F.col("own_context") + 1.0)
+    shorter = share("total_rest", "own_rest") - share("total_middle", "own_middle")
+    added = F.col("own") * F.when(F.col("n") == 1, seen - unseen).otherwise(seen - shorter - F.ln(F.lit(float(backoff))))
+    matched = F.when((F.col("n") == order) & (F.col("n") > 1), F.col("own")).when((F.col("n") > 1) & F.col("lead"), 1).otherwise(0)
+    sums = joined.groupBy("row").agg(F.sum(added).alias("added"), F.sum(matched).alias("matched"))
+
+    n = F.col("words")
+    cuts = F.when(n <= order, n * (n - 1) / 2).otherwise(order * (order - 1) / 2 + (n - order) * (order - 1))
+    start = -n * F.ln(F.lit(words) - n + 1.0) + cuts * F.ln(F.lit(float(backoff)))
+    out = rows.select("row", "doc_id").join(size, "row", "left").join(sums, "row", "left")
+    possible = F.greatest(n - 1, F.lit(0)) if order > 1 else F.lit(0)
+    return out.select(
+        "doc_id", F.coalesce(n, F.lit(0).cast("long")).alias("n_words"),
+        F.coalesce(possible - F.coalesce("matched", F.lit(0)), F.lit(0)).cast("long").alias("n_backoff"),
+        ((start + F.coalesce("added", F.lit(0.0))) / n).alias("lm_score"),
+    )

@@ -88,22 +88,29 @@ def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("lm_score", F.round("lm_score", 4))
 
 
-# Words, counts without the text's own, and backoff as in lm_score, in plain joins.
+# Words, counts without the text's own, and backoff as in lm_score, word by word in plain joins.
 ORACLE["op6_lm_score"] = r"""
 WITH texts AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9\x{80}-\x{10FFFF}]+') AS w FROM documents),
-words AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM texts),
-pairs AS (SELECT a.r, a.i, a.word, b.word AS before FROM words a LEFT JOIN words b ON a.r = b.r AND a.i = b.i + 1),
-c1 AS (SELECT word, count(*) AS n FROM words GROUP BY 1), o1 AS (SELECT r, word, count(*) AS n FROM words GROUP BY ALL),
-c2 AS (SELECT before, word, count(*) AS n FROM pairs WHERE before IS NOT NULL GROUP BY ALL), o2 AS (SELECT r, before, word, count(*) AS n FROM pairs WHERE before IS NOT NULL GROUP BY ALL),
+words AS (SELECT r, unnest(w) AS c, generate_subscripts(w, 1) AS i FROM texts),
+spots AS (SELECT r, i, c, lag(c) OVER s AS b, lag(c, 2) OVER s AS a FROM words WINDOW s AS (PARTITION BY r ORDER BY i)),
+o1 AS (SELECT r, c, count(*) AS n FROM spots GROUP BY ALL), c1 AS (SELECT c, sum(n) AS n FROM o1 GROUP BY ALL),
+o2 AS (SELECT r, b, c, count(*) AS n FROM spots WHERE b IS NOT NULL GROUP BY ALL), c2 AS (SELECT b, c, sum(n) AS n FROM o2 GROUP BY ALL),
+o3 AS (SELECT r, a, b, c, count(*) AS n FROM spots WHERE a IS NOT NULL GROUP BY ALL), c3 AS (SELECT a, b, c, sum(n) AS n FROM o3 GROUP BY ALL),
 size AS (SELECT r, count(*) AS n FROM words GROUP BY 1), every AS (SELECT count(*) AS n FROM words),
 judged AS (
-  SELECT p.r, p.before, c1.n - o1.n AS uni, coalesce(c2.n - o2.n, 0) AS bi, b1.n - bo.n AS ctx, every.n - size.n AS others
-  FROM pairs p JOIN c1 USING (word) JOIN o1 ON o1.r = p.r AND o1.word = p.word JOIN size ON size.r = p.r CROSS JOIN every
-  LEFT JOIN c2 ON c2.before = p.before AND c2.word = p.word LEFT JOIN o2 ON o2.r = p.r AND o2.before = p.before AND o2.word = p.word
-  LEFT JOIN c1 b1 ON b1.word = p.before LEFT JOIN o1 bo ON bo.r = p.r AND bo.word = p.before
+  SELECT s.r, s.a, s.b, every.n - size.n AS others, c1.n - o1.n AS uni, coalesce(c2.n - o2.n, 0) AS bi, coalesce(c3.n - o3.n, 0) AS tri,
+         p1.n - q1.n AS before1, p2.n - q2.n AS before2
+  FROM spots s JOIN size USING (r) CROSS JOIN every
+  JOIN c1 ON c1.c = s.c JOIN o1 ON o1.r = s.r AND o1.c = s.c
+  LEFT JOIN c2 ON c2.b = s.b AND c2.c = s.c LEFT JOIN o2 ON o2.r = s.r AND o2.b = s.b AND o2.c = s.c
+  LEFT JOIN c3 ON c3.a = s.a AND c3.b = s.b AND c3.c = s.c LEFT JOIN o3 ON o3.r = s.r AND o3.a = s.a AND o3.b = s.b AND o3.c = s.c
+  LEFT JOIN c1 p1 ON p1.c = s.b LEFT JOIN o1 q1 ON q1.r = s.r AND q1.c = s.b
+  LEFT JOIN c2 p2 ON p2.b = s.a AND p2.c = s.b LEFT JOIN o2 q2 ON q2.r = s.r AND q2.b = s.a AND q2.c = s.b
 ), valued AS (
-  SELECT r, bi = 0 AND before IS NOT NULL AS cut,
-    CASE WHEN bi > 0 THEN bi / ctx ELSE (CASE WHEN before IS NULL THEN 1 ELSE 0.4 END) * (CASE WHEN uni > 0 THEN uni / others ELSE 1 / (others + 1) END) END AS v
+  SELECT r, (a IS NOT NULL AND tri = 0) OR (a IS NULL AND b IS NOT NULL AND bi = 0) AS cut,
+    CASE WHEN tri > 0 THEN tri / before2
+         WHEN bi > 0 THEN (CASE WHEN a IS NULL THEN 1 ELSE 0.4 END) * (bi / before1)
+         ELSE (CASE WHEN b IS NULL THEN 1 WHEN a IS NULL THEN 0.4 ELSE 0.4 * 0.4 END) * (CASE WHEN uni > 0 THEN uni / others ELSE 1 / (others + 1) END) END AS v
   FROM judged
 ), summed AS (SELECT r, count(*) AS n, count(*) FILTER (cut) AS cuts, avg(ln(v)) AS score FROM valued GROUP BY 1)
 SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(cuts, 0) AS n_backoff, round(score, 4) AS lm_score FROM texts LEFT JOIN summed USING (r)

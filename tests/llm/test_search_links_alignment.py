@@ -299,3 +299,42 @@ def test_merge_counts_in_order_and_marks_maxima():
     high = {a: max(c for p, c in want.items() if p >> 32 == a) for a in {p >> 32 for p in want}}
     assert all(b == (c == high[p >> 32]) for p, c, b in got)
     assert list(alignment.merged([])) == [] and list(alignment.with_maxima(iter([]))) == []
+
+
+# ---- scores from counts ----
+
+
+def backoff_scores(values, order, factor=0.4):
+    words = [re.findall(r"[a-z0-9\x80-\U0010ffff]+", (t or "").lower()) for t in values]
+    held = [Counter(tuple(w[i : i + n]) for n in range(1, order + 1) for i in range(len(w) - n + 1)) for w in words]
+    every, total = sum(held, Counter()), sum(map(len, words))
+    out = []
+    for w, own in zip(words, held):
+        logs, cuts = [], 0
+        for i in range(len(w)):
+            longest = min(order, i + 1)
+            for n in range(longest, 0, -1):
+                gram = tuple(w[i - n + 1 : i + 1])
+                seen = every[gram] - own[gram]
+                if seen:
+                    below = every[gram[:-1]] - own[gram[:-1]] if n > 1 else total - len(w)
+                    logs.append(math.log(seen / below * factor ** (longest - n)))
+                    break
+            else:
+                logs.append(math.log(factor ** (longest - 1) / (total - len(w) + 1)))
+                n = 0
+            cuts += longest > 1 and n < longest
+        out.append((len(w), cuts, sum(logs) / len(logs) if logs else None))
+    return out
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_scores_with_repeated_rows_and_long_texts(texts, order):
+    from tallyspark.llm import lm_score
+
+    long = " ".join(np.random.default_rng(1).choice(WORDS, 300_000))
+    values = corpus(21, 40) + ODD + ["the same row again and again"] * 50 + [long, "one", "one one", "solo"]
+    rows = {r.doc_id: r for r in lm_score.scores(texts(values), order=order).collect()}
+    for i, (n, cuts, score) in enumerate(backoff_scores(values, order)):
+        assert (rows[i].n_words, rows[i].n_backoff) == (n, cuts)
+        assert rows[i].lm_score is None if score is None else abs(rows[i].lm_score - score) < 1e-9

@@ -90,7 +90,7 @@ def test_held_out_is_crc32_of_the_id(texts):
 
 def test_backoff_scores(texts):
     values = ["the cat sat on the mat", "the cat ran", "the dog sat", None, "", "zebra", "the the the the", "the cat ran"]
-    rows = {r.doc_id: r for r in lm_score.scores(texts(values), order=3, block_bytes=20).collect()}
+    rows = {r.doc_id: r for r in lm_score.scores(texts(values), order=3).collect()}
     split = [(v or "").split() for v in values]
     for i, own in enumerate(split):
         counts = Counter()
