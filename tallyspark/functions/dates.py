@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,15 +15,13 @@ AsOf = dt.date | dt.datetime | str | Column | None
 ISO_TEXT = r"^\d{4}-\d{1,2}-\d{1,2}.*$"
 _TIME = r"(?:,?[T ]+(.*))?$"
 _SEP = "[-/. ]"
+_HALF_DAY = r"(?i)[ap]\.?m\.?$"
 YEAR_FIRST = {
     rf"^(\d{{4}})[/.](\d{{1,2}})[/.](\d{{1,2}}){_TIME}": "$1-$2-$3 $4",
     r"^(\d{4})(\d{2})(\d{2})$": "$1-$2-$3",
 }
-YEAR_LAST = {
-    rf"^(\d{{1,2}}){_SEP}(\d{{1,2}}){_SEP}(\d{{4}}){_TIME}": "$3-{}-{} $4",
-    rf"^(\d{{1,2}}){_SEP}(\d{{1,2}}){_SEP}([0-5]\d|6[0-8]){_TIME}": "20$3-{}-{} $4",
-    rf"^(\d{{1,2}}){_SEP}(\d{{1,2}}){_SEP}(69|[7-9]\d){_TIME}": "19$3-{}-{} $4",
-}
+YEAR_LAST = {rf"^(\d{{1,2}}){_SEP}(\d{{1,2}}){_SEP}(\d{{4}}|\d{{2}}){_TIME}": "$3-{}-{} $4"}
+YEAR_LAST_START = rf"^\d{{1,2}}{_SEP}\d"
 NAMED_MONTH = {
     rf"^(\d{{1,2}})(?:st|nd|rd|th)?{_SEP}([A-Za-z]{{3,9}})\.?,?{_SEP}(\d{{4}}){_TIME}": "$3-$2-$1 $4",
     rf"^([A-Za-z]{{3,9}})\.?{_SEP}(\d{{1,2}})(?:st|nd|rd|th)?,?{_SEP}(\d{{4}}){_TIME}": "$3-$1-$2 $4",
@@ -36,6 +35,11 @@ def _rewritten(text: Column, shapes: dict[str, str]) -> Column:
     return text
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _numbered_month(iso: Column) -> Column:
     """The month's name after the year replaced by its number; 0 is no month."""
     names = F.array(*[F.lit(m) for m in MONTHS])
@@ -54,21 +58,32 @@ def to_moment(df: DataFrame, name: str, day_first: bool | Column = False) -> Col
     col = F.col(name)
     if isinstance(field, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return col.cast("timestamp_ntz")
+    if isinstance(day_first, Column):
+        return F.when(day_first, to_moment(df, name, True)).otherwise(to_moment(df, name, False))
     text = F.trim(col.cast("string"))
-
-    def year_last(first: bool) -> Column:
-        return _rewritten(text, {k: v.format(*(("$2", "$1") if first else ("$1", "$2"))) for k, v in YEAR_LAST.items()})
-
-    ordered = F.when(day_first, year_last(True)).otherwise(year_last(False)) if isinstance(day_first, Column) else year_last(day_first)
+    places = ("$2", "$1") if day_first else ("$1", "$2")
+    ordered = _rewritten(text, {k: v.format(*places) for k, v in YEAR_LAST.items()})
+    # Two digits of a year get their century.
+    full = _bound(ordered, lambda t: F.when(t.rlike(r"^\d{2}-"), F.concat(F.when(t < "69", "20").otherwise("19"), t)).otherwise(t))
     iso = F.trim(
-        F.when(text.rlike(rf"^\d{{1,2}}{_SEP}\d"), ordered)
+        F.when(text.rlike(YEAR_LAST_START), full)
         .when(text.rlike("[A-Za-z]{3}"), _numbered_month(_rewritten(text, NAMED_MONTH)))
         .otherwise(_rewritten(text, YEAR_FIRST))
     )
-    whole = F.regexp_extract(iso, ISO_TEXT, 0)
-    noon = F.try_to_timestamp(F.regexp_replace(F.upper(whole), r" *([AP])\.?M\.?$", " $1M"), F.lit("y-M-d h:m[:s] a")).cast("timestamp_ntz")
-    slow = F.when(whole.rlike(r"(?i)[ap]\.?m\.?$"), noon).otherwise(whole.try_cast("timestamp_ntz"))
-    return F.when(text.rlike(ISO_TEXT) & ~text.rlike(r"(?i)[ap]\.?m\.?$"), text.try_cast("timestamp_ntz")).otherwise(slow)
+
+    def read(whole: Column) -> Column:
+        noon = F.try_to_timestamp(F.regexp_replace(F.upper(whole), r" *([AP])\.?M\.?$", " $1M"), F.lit("y-M-d h:m[:s] a")).cast("timestamp_ntz")
+        return F.when(whole.rlike(_HALF_DAY), noon).otherwise(whole.try_cast("timestamp_ntz"))
+
+    plain = text.rlike(ISO_TEXT) & ~text.rlike(_HALF_DAY)
+    return F.when(plain, text.try_cast("timestamp_ntz")).otherwise(_bound(F.regexp_extract(iso, ISO_TEXT, 0), read))
+
+
+def year_comes_last(df: DataFrame, name: str) -> Column:
+    """Whether the text of a column starts with two short numbers, whose order is a matter of reading."""
+    if not isinstance(df.schema[name].dataType, T.StringType):
+        return F.lit(False)
+    return F.coalesce(F.trim(F.col(name)).rlike(YEAR_LAST_START), F.lit(False))
 
 
 def reads_day_first(df: DataFrame, name: str) -> Column:
@@ -78,8 +93,13 @@ def reads_day_first(df: DataFrame, name: str) -> Column:
     """
     if not isinstance(df.schema[name].dataType, T.StringType):
         return F.lit(False)
-    counts = F.count(to_moment(df, name, True)) > F.count(to_moment(df, name, False))
-    return df.select(counts.alias("day_first")).scalar()
+    # Only a number above 12 in one of the two places tells: with two small ones both orders read, with two large ones none.
+    text = F.trim(F.col(name))
+    day_leads = text.rlike(rf"^(1[3-9]|[2-9]\d){_SEP}(0?\d|1[0-2]){_SEP}")
+    month_leads = text.rlike(rf"^(0?\d|1[0-2]){_SEP}(1[3-9]|[2-9]\d){_SEP}")
+    open_ = df.filter(year_comes_last(df, name))
+    counts = F.count(F.when(day_leads, to_moment(df, name, True))) > F.count(F.when(month_leads, to_moment(df, name, False)))
+    return open_.select(counts.alias("day_first")).scalar()
 
 
 def day(name: str) -> Column:

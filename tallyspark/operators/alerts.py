@@ -16,9 +16,11 @@ from pyspark.sql import functions as F
 from tallyspark.functions.dates import AsOf, as_of_moment
 from tallyspark.functions.numeric import fixed
 from tallyspark.operators.anomalies import rolling_zscore
-from tallyspark.operators.inventory import status_columns, stock_profile, with_current_stock
+from tallyspark.operators.inventory import (
+    inventory_risk_levels, slow_movers, stagnant_inventory, status_columns, stock_profile, with_current_stock, zero_velocity_products,
+)
+from tallyspark.operators.rollups import avg_daily_by_product, product_days, shared
 from tallyspark.schemas import MODULE_ALERT_CORE, require_columns, with_missing_columns
-from tallyspark.session import keep
 
 # Severity ranks of the two flavours, and of combined inventory alerts.
 PAGE_SEVERITY_RANK = {"Critical": 5, "High": 4, "Medium": 3, "Low": 2, "Informational": 1}
@@ -144,13 +146,13 @@ def alert_centre(
     Every product is profiled once and fans out into its stockout, low-stock and
     slow-mover alerts; the daily totals add the sales anomalies.  The raw table
     is read for those two rollups only: the daily one, bounded by the calendar,
-    is computed once and held, as the latest date and the stock facts also
-    come from it.  Stock readings come from ``stock`` (``product,
+    is one exchange that all branches share, as the latest date and the stock
+    facts also come from it.  Stock readings come from ``stock`` (``product,
     current_stock``) or else from the sales rows.
     """
     require_columns(sales, ["date", "product", "sales", "quantity"])
     readings = [F.count("current_stock").alias("known")] if "current_stock" in sales.columns else [F.lit(0).alias("known")]
-    daily = keep(sales.groupBy(F.to_date("date").alias("date")).agg(
+    daily = shared(sales.groupBy(F.to_date("date").alias("date")).agg(
         F.sum("sales").alias("sales"), F.sum("quantity").alias("quantity"), F.max("date").alias("latest"), *readings,
     ))
     when = as_of_moment(daily, "latest", as_of)
@@ -294,6 +296,26 @@ def merge_alerts(*tables: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+def module_alerts(
+    sales: DataFrame, stock: DataFrame, low_stock_quantity: float = 10, slow_threshold: float = 10.0, product: str = "product", date: str = "date",
+    as_of: AsOf = None,
+) -> DataFrame:
+    """All module alerts of a sales and a stock table: low stock, stockout, slow movers, zero velocity, stagnant stock.
+
+    The raw sales are summed once per product and day; all alerts start from that one rollup.
+    """
+    days = shared(product_days(sales, product, date)).withColumnRenamed("product", "product_id")
+    averages = avg_daily_by_product(days.select("product_id", "date", "quantity"), "product_id")
+    averages = averages.select(F.col("product").alias("product_id"), F.col("avg_daily_quantity").alias("avg_daily_sales"))
+    return merge_alerts(
+        low_stock_alerts(stock, low_stock_quantity),
+        stockout_alerts(inventory_risk_levels(stock, averages)),
+        slow_movers(days, "sales_rate", slow_threshold, as_of=as_of, n_rows="n_rows"),
+        zero_velocity_products(days, as_of=as_of),
+        stagnant_inventory(days, as_of=as_of),
+    )
+
+
 def combine_inventory_alerts(low_stock: DataFrame, stockout: DataFrame) -> DataFrame:
     """Low-stock and stockout alerts, critical ones first, low-stock before stockout among equals."""
     both = low_stock.withColumn("_source", F.lit(0)).unionByName(stockout.withColumn("_source", F.lit(1)), allowMissingColumns=True)

@@ -172,17 +172,22 @@ def ar_candidates(
     return judged.select(*keys, "last_date", "n_rows", "m", options.alias("candidates"), recent.alias("recent"))
 
 
-def ar_coefficients(series: DataFrame, keys: Sequence[str] = ("product",), date: str = "date", sales: str = "sales") -> DataFrame:
+def ar_coefficients(
+    series: DataFrame, keys: Sequence[str] = ("product",), date: str = "date", sales: str = "sales", min_rows: int = 5,
+) -> DataFrame:
     """The candidate with the smallest information criterion, per series."""
-    fits = ar_candidates(series, keys, date, sales)
+    fits = ar_candidates(series, keys, date, sales, min_rows)
     return fits.select(*keys, "last_date", "recent", F.array_min("candidates").alias("fit")).select(*keys, "last_date", "recent", "fit.*")
 
 
 def autoregressive(
-    series: DataFrame, horizon: int = 30, keys: Sequence[str] = ("product",), date: str = "date", sales: str = "sales",
+    series: DataFrame, horizon: int = 30, keys: Sequence[str] = ("product",), date: str = "date", sales: str = "sales", min_rows: int = 5,
 ) -> DataFrame:
-    """Forecast of the chosen autoregression, rolled forward day by day from the day after the last."""
-    fit = ar_coefficients(series, keys, date, sales)
+    """Forecast of the chosen autoregression, rolled forward day by day from the day after the last.
+
+    ``status`` is ``fitted``; a series of under 5 days with data gives one row with status ``too_short`` and no forecast.
+    """
+    fit = ar_coefficients(series, keys, date, sales, min_rows)
     levels = F.col("recent")
     changes = F.transform(F.sequence(F.lit(1), F.lit(7)), lambda i: F.element_at(levels, i + 1) - F.element_at(levels, i))
     start = F.struct(
@@ -199,9 +204,14 @@ def autoregressive(
         )
 
     path = F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), start, step, lambda s: s["out"])
-    return fit.select(*keys, "last_date", F.posexplode(path).alias("_i", "yhat")).select(
-        *keys, F.date_add("last_date", F.col("_i") + 1).alias("date"), "yhat",
+    ahead = fit.select(*keys, "last_date", F.posexplode(path).alias("_i", "yhat")).select(
+        *keys, F.date_add("last_date", F.col("_i") + 1).alias("date"), "yhat", F.lit("fitted").alias("status"),
+    )
+    days = _daily(series, keys, date, sales).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    short = days.filter(F.col("_n") < min_rows).select(
+        *keys, F.lit(None).cast("date").alias("date"), F.lit(None).cast("double").alias("yhat"), F.lit("too_short").alias("status"),
     )
+    return ahead.unionByName(short)
 
 
 # --- exponential smoothing -----------------------------------------------------------------------------
@@ -328,8 +338,9 @@ def backtest(
 
     Each origin trains on ``window`` rows and is scored on the following
     ``horizon`` days.  Origins become part of the series key, so any model fits
-    them all in one pass; series shorter than ``window + horizon`` are left out.
-    ``step`` thins the origins.
+    them all in one pass.  ``step`` thins the origins.  ``status`` is ``scored``;
+    a series shorter than ``window + horizon`` gives one row with status ``too_short``, and one whose
+    origins have no day to compare gives ``no_forecast``, both without measures.
     """
     if model not in MODELS:
         raise ValueError(f"model must be one of {sorted(MODELS)}")
@@ -344,8 +355,13 @@ def backtest(
         scored = fitted.filter(F.col("_actual").isNotNull()).select(*keys, F.col("_actual").alias("y"), "yhat")
     else:
         predicted = MODELS[model](rows.filter(~F.col("_test")), horizon, by_origin, "date", "y")
-        scored = rows.filter("_test").join(predicted, [*by_origin, "date"])
-    return accuracy_metrics(scored, keys)
+        scored = rows.filter("_test").join(predicted.drop("status"), [*by_origin, "date"])
+    measured = accuracy_metrics(scored, keys)
+    if not keys:
+        return measured.withColumn("status", F.when(F.col("n") > 0, "scored").otherwise("too_short"))
+    days = series.filter(F.to_date(date).isNotNull()).groupBy(*keys).agg(F.count_distinct(F.to_date(date)).alias("_days"))
+    status = F.when(F.col("n") > 0, "scored").when(F.col("_days") < window + horizon, "too_short").otherwise("no_forecast")
+    return days.join(measured, list(keys), "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("status", status).drop("_days")
 
 
 def _origins(

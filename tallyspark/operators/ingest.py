@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyspark.functions.dates import reads_day_first, to_moment
+from tallyspark.functions.dates import reads_day_first, to_moment, year_comes_last
 from tallyspark.functions.numeric import ratio, to_number
 from tallyspark.schemas import require_columns
 
@@ -86,8 +86,9 @@ def profile_columns(df: DataFrame, approximate_distinct: bool = False) -> DataFr
             values.append(to_number(df, name).isNotNull().alias(f"n_{tag}"))
             measures += [F.count(value).alias(f"p_{tag}"), distinct.alias(f"d_{tag}"), F.count_if(f"n_{tag}").alias(f"n_{tag}")]
         elif role == "date":
-            values += [to_moment(df, name).alias(f"v_{tag}"), to_moment(df, name, True).alias(f"f_{tag}")]
-            first = F.count(f"f_{tag}")
+            last = year_comes_last(df, name)
+            values += [to_moment(df, name).alias(f"v_{tag}"), last.alias(f"y_{tag}"), F.when(last, to_moment(df, name, True)).alias(f"f_{tag}")]
+            first = F.count(F.when(F.col(f"y_{tag}"), F.col(f"f_{tag}")).otherwise(value))
             measures += [F.greatest(F.count(value), first).alias(f"p_{tag}"), first.alias(f"f_{tag}")]
         else:
             values.append(to_number(df, name).alias(f"v_{tag}"))
@@ -205,8 +206,9 @@ def clean_sales(
         if mapping.get("current_stock") else F.lit(None).cast("double")
     )
     order = reads_day_first(df, mapping["date"]) if day_first is None else day_first
+    # Unfolded from an array, the date is read once: the filter cannot go beneath it and read it again.
     return df.select(
-        to_moment(df, mapping["date"], order).alias("date"),
+        F.explode(F.array(to_moment(df, mapping["date"], order))).alias("date"),
         number("sales").alias("sales"),
         (number("quantity") if mapping.get("quantity") else number("sales")).alias("quantity"),
         product.alias("product"),
@@ -251,6 +253,13 @@ def ingest_issues(df: DataFrame, mapping: dict[str, str | None], number_type: st
         # Coercion of numbers is judged on the rows that keep a date.
         return F.count_if(dated & to_number(df, name).isNull())
 
+    def read_as(first: bool) -> Column:
+        if not date_col:
+            return F.lit(0).cast("bigint")
+        last = year_comes_last(df, date_col)
+        # Other dates read the same both ways.
+        return F.count_if(F.when(last, to_moment(df, date_col, first).isNotNull()).otherwise(dated))
+
     counts = df.agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(~dated).alias("bad_dates"),
@@ -258,8 +267,7 @@ def ingest_issues(df: DataFrame, mapping: dict[str, str | None], number_type: st
         bad(qty_col).alias("bad_quantity"),
         too_large(sales_col).alias("large_sales"),
         too_large(qty_col).alias("large_quantity"),
-        (F.count(to_moment(df, date_col, False)) if date_col else F.lit(0).cast("bigint")).alias("month_first"),
-        (F.count(to_moment(df, date_col, True)) if date_col else F.lit(0).cast("bigint")).alias("day_first"),
+        *[read_as(first).alias("day_first" if first else "month_first") for first in (False, True)],
     )
 
     def issue(severity: str, column: str | None, message: str, failed: Column, when: Column) -> Column:

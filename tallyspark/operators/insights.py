@@ -11,8 +11,7 @@ from tallyspark.functions.dates import AsOf, as_of_moment
 from tallyspark.functions.numeric import fixed, grouped
 from tallyspark.operators import kpis
 from tallyspark.operators.anomalies import rolling_band
-from tallyspark.operators.rollups import daily_sales, fill_days, hourly_sales, product_totals
-from tallyspark.session import keep
+from tallyspark.operators.rollups import daily_sales, fill_days, hourly_sales, product_totals, shared
 
 # Month -> (title, priority, impact) of the seasonal opportunities.
 SEASONS: dict[int, tuple[str, int, float]] = {
@@ -158,16 +157,16 @@ def generate_insights(sales: DataFrame, as_of: AsOf = None, currency: str = "₹
     """Every insight the present columns allow (unranked).
 
     All generators start from two rollups of the raw table: (day, hour) totals,
-    bounded by the calendar, and per-product totals.  Each is computed once and
-    held, so the raw table is read twice however many insights are drawn.
+    bounded by the calendar, and per-product totals.  All branches share the
+    exchange of each, so the raw table is read twice however many insights are drawn.
     """
     columns, found = set(sales.columns), []
     dated = {"date", "sales"} <= columns
-    hourly = keep(hourly_sales(sales).select("date", "hour", "sales")) if dated else None
+    hourly = shared(hourly_sales(sales).select("date", "hour", "sales")) if dated else None
     if dated:
         found += trend_insights(hourly, as_of)
     if "product" in columns and columns & {"sales", "quantity"}:
-        totals = keep(product_totals(sales))
+        totals = shared(product_totals(sales))
         if "sales" not in columns:
             totals = totals.drop("profit")
         found += product_insights(totals, currency)

@@ -51,6 +51,16 @@ def product_totals(df: DataFrame, product: str = "product", measures: Sequence[s
     )
 
 
+def shared(rollup: DataFrame) -> DataFrame:
+    """A rollup that many branches of one plan start from, run once for all of them.
+
+    Its columns are bound into one value that the optimizer neither prunes nor filters beneath, so every branch keeps
+    the same exchange and Spark reuses it.  Nothing is stored: the next plan reads the table anew.
+    """
+    row = F.element_at(F.array(F.struct(*rollup.columns)), 1)
+    return rollup.select(row.alias("_row")).select(*[F.col("_row")[c].alias(c) for c in rollup.columns])
+
+
 def fill_days(daily: DataFrame, keys: Sequence[str] = (), date: str = "date", value: str = "sales") -> DataFrame:
     """Every calendar day from first to last of each series; absent days get 0.
 

@@ -642,7 +642,11 @@ ORACLE["backtest_accuracy"] = with_(BRAND_SALES, BRAND_DAILY, """placed AS (
   SELECT e.product, e.origin, d.date, NULL, d.sales FROM ends e JOIN daily d ON d.product = e.product AND d.date BETWEEN e.last + 1 AND e.last + 7)""",
     FIT.format(**BACKTEST_KEYS), """scored AS (
   SELECT f.product, d.sales AS y, f.yhat FROM fitted f JOIN daily d USING (product, date) WHERE f.y IS NULL)""") + f"""
-SELECT product, {METRICS} FROM scored GROUP BY product"""
+SELECT product, {METRICS}, 'scored' AS status FROM scored GROUP BY product
+UNION ALL SELECT product, 0, NULL, NULL, 'too_short' FROM daily GROUP BY product HAVING count(*) < 67"""
+ORACLE["forecast_parts"] = with_(SALES, BRAND_DAILY, KNOWN, FIT.format(**ONE_SERIES).replace("HAVING count(y) >= 2", "HAVING count(y) >= 1")) + f"""
+SELECT product, {day_text()} AS date, round(yhat, 2) AS yhat, round(yhat - spread, 2) AS yhat_lower, round(yhat + spread, 2) AS yhat_upper
+FROM fitted WHERE y IS NULL"""
 
 AR_LAGS = ", ".join(f"lag(sales, {k}) OVER w AS l{k}" for k in range(1, 9))
 MOMENTS = ", ".join(
@@ -679,7 +683,8 @@ ahead AS (
   UNION ALL
   SELECT product, i + 1, CAST(date + 1 AS DATE), CASE d WHEN 1 THEN level + z ELSE z END, d, c, phi1, phi7, list_append(w[2:7], z)
   FROM (SELECT *, c + phi1 * w[7] + phi7 * w[1] AS z FROM ahead WHERE i < 30))
-SELECT product, {day_text()} AS date, round(level, 2) AS yhat FROM ahead WHERE i > 0"""
+SELECT product, {day_text()} AS date, round(level, 2) AS yhat, 'fitted' AS status FROM ahead WHERE i > 0
+UNION ALL SELECT product, NULL, NULL, 'too_short' FROM daily GROUP BY product HAVING count(*) < 5"""
 
 ORACLE["forecast_holt_winters"] = with_(BRAND_SALES, BRAND_DAILY, FILLED, """placed AS (
   SELECT product, date, sales AS y, row_number() OVER (PARTITION BY product ORDER BY date) AS r FROM filled)""", """seeds AS (
@@ -704,3 +709,94 @@ best AS (SELECT * FROM run WHERE r = n QUALIFY row_number() OVER (PARTITION BY p
 SELECT product, strftime(CAST(last + CAST(i AS INTEGER) AS DATE), '%Y-%m-%d') AS date,
        round((level + i * trend) * season[(i - 1) % 7 + 1], 2) AS yhat
 FROM best, range(1, 31) h(i)"""
+
+
+# --- seasonal autoregression -----------------------------------------------------------------------------
+# Moment matrices by sums of products, solved by elimination: one step of the recursion clears one column.
+
+SARIMA_LAGS = (1, 2, 3, 4, 5, 7)
+
+
+def eliminated(name: str, keys: str, source: str) -> str:
+    """Rows ``keys, x, v`` solving the systems of ``source`` (keys, size, i, j, v; column size + 1 is the right side)."""
+    return f"""{name}_steps AS (
+  SELECT 0 AS step, * FROM {source}
+  UNION ALL
+  SELECT step, {keys}, size, i, j, CASE WHEN i = step THEN row_v / lead_v ELSE v - column_v * row_v / lead_v END AS v
+  FROM (SELECT step + 1 AS step, {keys}, size, i, j, v,
+               max(v) FILTER (i = step + 1 AND j = step + 1) OVER (PARTITION BY {keys}) AS lead_v,
+               max(v) FILTER (i = step + 1) OVER (PARTITION BY {keys}, j) AS row_v,
+               max(v) FILTER (j = step + 1) OVER (PARTITION BY {keys}, i) AS column_v
+        FROM {name}_steps WHERE step < size)),
+{name} AS (SELECT {keys}, i AS x, v FROM {name}_steps WHERE step = size AND j = size + 1)"""
+
+
+def root_test(d: int, z: str, x: str, v: str) -> str:
+    return f"""root{d} AS (
+  SELECT product, CASE WHEN n > 6 AND det > 1e-9 * xx * vv AND error > 1e-12 * zz THEN rho / sqrt(error * vv / (det * n)) END AS t,
+         -2.86154 - 2.8903 / n - 4.234 / (n * n) - 40.04 / (n * n * n) AS point
+  FROM (SELECT *, (zz - rho * zx - gamma * zv) * n / (n - 3) AS error FROM (
+    SELECT *, (zx * vv - zv * xv) / det AS rho, (zv * xx - zx * xv) / det AS gamma FROM (
+      SELECT *, xx * vv - xv * xv AS det FROM (
+        SELECT product, CAST(count(*) AS DOUBLE) AS n, var_pop({z}) AS zz, var_pop({x}) AS xx, var_pop({v}) AS vv,
+               covar_pop({z}, {x}) AS zx, covar_pop({z}, {v}) AS zv, covar_pop({x}, {v}) AS xv
+        FROM lagged WHERE l{2 + d} IS NOT NULL GROUP BY product)))))"""
+
+
+SARIMA_PARTS = (
+    BRAND_SALES, BRAND_DAILY, FILLED,
+    "lagged AS (SELECT product, date, sales, lag(sales, 1) OVER w AS l1, lag(sales, 2) OVER w AS l2, lag(sales, 3) OVER w AS l3 FROM filled WINDOW w AS (PARTITION BY product ORDER BY date))",
+    root_test(0, "sales - l1", "l1", "l1 - l2"), root_test(1, "sales - 2 * l1 + l2", "l1 - l2", "l1 - 2 * l2 + l3"),
+    """chosen_d AS (
+  SELECT root0.product, root0.t AS adf, root1.t AS adf_changes,
+         CASE WHEN coalesce(root0.t > root0.point, false) THEN (CASE WHEN coalesce(root1.t > root1.point, false) THEN 2 ELSE 1 END) ELSE 0 END AS d
+  FROM root0 LEFT JOIN root1 USING (product))""",
+    """centred AS (
+  SELECT product, date, raw - avg(raw) OVER (PARTITION BY product) AS w
+  FROM (SELECT product, date, CASE d WHEN 0 THEN sales WHEN 1 THEN sales - l1 ELSE sales - 2 * l1 + l2 END AS raw FROM lagged JOIN chosen_d USING (product)))""",
+    "stepped AS (SELECT product, date, [w, " + ", ".join(f"lag(w, {k}) OVER o" for k in range(1, 9)) + "] AS x, lag(w, 8) OVER o IS NOT NULL AS complete FROM centred WINDOW o AS (PARTITION BY product ORDER BY date))",
+    """long_gram AS (
+  SELECT product, i, j, sum(x[i + 1] * x[j + 1]) AS v FROM stepped, range(0, 9) a(i), range(0, 9) b(j) WHERE complete GROUP BY ALL)""",
+    """long_system AS (
+  SELECT product, CAST(8 AS BIGINT) AS size, i, j, CASE WHEN i = j THEN v * (1 + 1e-9) + 1e-9 ELSE v END AS v FROM long_gram WHERE i > 0 AND j > 0
+  UNION ALL SELECT product, 8, i, 9, v FROM long_gram WHERE i > 0 AND j = 0)""",
+    eliminated("long_fit", "product", "long_system"),
+    "phi AS (SELECT product, list(v ORDER BY x) AS f FROM long_fit GROUP BY 1)",
+    "shocked AS (SELECT s.product, s.date, s.x, CASE WHEN s.complete THEN s.x[1] - list_dot_product(p.f, CAST(s.x[2:9] AS DOUBLE[])) END AS e FROM stepped s JOIN phi p USING (product))",
+    "paired AS (SELECT product, [x[1], " + ", ".join(f"x[{k + 1}]" for k in SARIMA_LAGS) + ", " + ", ".join(f"lag(e, {k}) OVER o" for k in SARIMA_LAGS)
+    + "] AS x, lag(e, 7) OVER o IS NOT NULL AS complete FROM shocked WINDOW o AS (PARTITION BY product ORDER BY date))",
+    "used AS (SELECT product, CAST(count(*) AS DOUBLE) AS n FROM paired WHERE complete GROUP BY 1)",
+    """gram AS (
+  SELECT product, i, j, sum(x[i + 1] * x[j + 1]) AS v FROM paired, range(0, 13) a(i), range(0, 13) b(j) WHERE complete GROUP BY ALL)""",
+    """orders AS (
+  SELECT ((p * 6 + q) * 2 + sp) * 2 + sq AS number, p, q, sp, sq,
+         list_concat(list_concat(range(1, p + 1), CASE sp WHEN 1 THEN [6] ELSE [] END), list_concat(range(7, 7 + q), CASE sq WHEN 1 THEN [12] ELSE [] END)) AS places
+  FROM range(0, 6) a(p), range(0, 6) b(q), range(0, 2) c(sp), range(0, 2) e(sq))""",
+    "spread AS (SELECT number, len(places) AS size, unnest(places) AS place, unnest(range(1, len(places) + 1)) AS i FROM orders)",
+    """systems AS (
+  SELECT g.product, a.number, a.size, a.i, b.i AS j, CASE WHEN a.i = b.i THEN g.v * (1 + 1e-9) + 1e-9 ELSE g.v END AS v
+  FROM spread a JOIN spread b USING (number) JOIN gram g ON g.i = a.place AND g.j = b.place
+  UNION ALL SELECT g.product, a.number, a.size, a.i, a.size + 1, g.v FROM spread a JOIN gram g ON g.i = a.place AND g.j = 0)""",
+    eliminated("fits", "product, number", "systems"),
+    "weights AS (SELECT f.product, f.number, s.place, f.v FROM fits f JOIN spread s ON s.number = f.number AND s.i = f.x)",
+    """errors AS (
+  SELECT w.product, w.number, -2 * sum(w.v * g.v) AS change FROM weights w JOIN gram g ON g.product = w.product AND g.i = w.place AND g.j = 0 GROUP BY ALL)""",
+    """squares AS (
+  SELECT a.product, a.number, sum(a.v * b.v * g.v) AS change
+  FROM weights a JOIN weights b USING (product, number) JOIN gram g ON g.product = a.product AND g.i = a.place AND g.j = b.place GROUP BY ALL)""",
+    """judged AS (
+  SELECT u.product, o.*, u.n * ln(greatest((z.v + coalesce(e.change, 0) + coalesce(s.change, 0)) / u.n, 1e-12)) + 2 * (len(o.places) + 1) AS aic
+  FROM used u CROSS JOIN orders o JOIN gram z ON z.product = u.product AND z.i = 0 AND z.j = 0
+  LEFT JOIN errors e ON e.product = u.product AND e.number = o.number LEFT JOIN squares s ON s.product = u.product AND s.number = o.number
+  WHERE u.n >= 3 * (len(o.places) + 1))""",
+    "best AS (SELECT * FROM judged QUALIFY row_number() OVER (PARTITION BY product ORDER BY aic, number) = 1)",
+    "days AS (SELECT product, count(*) AS n_days FROM filled GROUP BY 1)", "known_days AS (SELECT product, count(*) AS n_known FROM daily GROUP BY 1)",
+)
+WEIGHT_NAMES = [f"weight_{side}{k}" for side in "we" for k in SARIMA_LAGS]
+ORACLE["sarima_orders"] = with_(*SARIMA_PARTS).replace("WITH ", "WITH RECURSIVE ", 1) + """
+SELECT d.product, n_days, round(adf, 3) AS adf, round(adf_changes, 3) AS adf_changes, d, coalesce(p, 0) AS p, coalesce(q, 0) AS q,
+       coalesce(sp, 0) AS seasonal_p, coalesce(sq, 0) AS seasonal_q, round(aic, 3) AS aic, """ + ", ".join(
+    f"round(coalesce((SELECT v FROM weights w WHERE w.product = d.product AND w.number = b.number AND w.place = {i}), 0), 3) AS {n}" for i, n in enumerate(WEIGHT_NAMES, 1)
+) + """,
+       CASE WHEN n_known < 5 THEN 'too_short' WHEN aic IS NULL THEN 'mean' ELSE 'fitted' END AS status
+FROM days d JOIN known_days USING (product) JOIN chosen_d USING (product) LEFT JOIN best b ON b.product = d.product"""

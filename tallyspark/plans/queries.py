@@ -18,10 +18,9 @@ from tallyspark.functions.dates import time_features as with_time_features
 from tallyspark.operators import alerts as al
 from tallyspark.operators import anomalies as an
 from tallyspark.operators import forecasting as fc
-from tallyspark.operators import ingest, insights, inventory, kpis, rollups, series
+from tallyspark.operators import ingest, insights, inventory, kpis, rollups, sarima, series, smoothing
 from tallyspark.operators.boosting import boosted_forecast
 from tallyspark.plans import catalog
-from tallyspark.session import keep
 from tallyspark.sources.audit import audit_entry
 from tallyspark.sources.files import export_safe
 
@@ -479,18 +478,7 @@ def product_list(spark, d):
 
 
 def _module_alerts(spark, d):
-    """All module alerts from one rollup per product and day, which is held: the raw table is read once."""
-    days = keep(rollups.product_days(catalog.sales_by_part(spark, d))).withColumnRenamed("product", "product_id")
-    stock = catalog.stock_by_part(spark, d)
-    averages = rollups.avg_daily_by_product(days.select("product_id", "date", "quantity"), "product_id")
-    averages = averages.select(F.col("product").alias("product_id"), F.col("avg_daily_quantity").alias("avg_daily_sales"))
-    return al.merge_alerts(
-        al.low_stock_alerts(stock, 30),
-        al.stockout_alerts(inventory.inventory_risk_levels(stock, averages)),
-        inventory.slow_movers(days, "sales_rate", SLOW_RATE, n_rows="n_rows"),
-        inventory.zero_velocity_products(days),
-        inventory.stagnant_inventory(days),
-    )
+    return al.module_alerts(catalog.sales_by_part(spark, d), catalog.stock_by_part(spark, d), 30, SLOW_RATE)
 
 
 MODULE_COLUMNS = ("product_id", "product_name", "alert_type", "severity")
@@ -612,6 +600,49 @@ def backtest_accuracy(spark, d):
     return shown(fc.backtest(_brand_daily(spark, d)), ["mae", "mape"], 2)
 
 
+@register
+def backtest_autoregressive(spark, d):
+    """Every thirtieth origin."""
+    return shown(fc.backtest(_brand_daily(spark, d), "autoregressive", step=30), ["mae", "mape"], 2)
+
+
+@register
+def backtest_holt_winters(spark, d):
+    """Every thirtieth origin."""
+    return shown(fc.backtest(_brand_daily(spark, d), "holt_winters", step=30), ["mae", "mape"], 2)
+
+
+@register
+def forecast_parts(spark, d):
+    """One forecast for every part, however few days it sold on."""
+    parts = rollups.daily_sales(catalog.sales_by_part(spark, d), ["product"])
+    return shown(fc.trend_seasonal(parts, min_rows=1).filter("is_future").drop("is_future", "y"), BAND, 2)
+
+
+@register
+def sarima_orders(spark, d):
+    fit = sarima.sarima_fit(_brand_daily(spark, d))
+    weights = [F.col("weights")[i].alias(f"weight_{n}") for i, n in enumerate(sarima.NAMES[1:])]
+    fit = fit.select("product", "n_days", "adf", "adf_changes", "d", "p", "q", "seasonal_p", "seasonal_q", "aic", *weights, "status")
+    return shown(fit, ["adf", "adf_changes", "aic", *[f"weight_{n}" for n in sarima.NAMES[1:]]], 3)
+
+
+@register
+def forecast_sarima(spark, d):
+    return shown(sarima.sarima(_brand_daily(spark, d)), ["yhat"], 2)
+
+
+@register
+def smoothing_parameters(spark, d):
+    fit = smoothing.fitted_smoothing_fit(_brand_daily(spark, d)).drop("seasons", "last_date")
+    return shown(fit, [c for c in fit.columns if c not in ("product", "status")])
+
+
+@register
+def forecast_smoothing(spark, d):
+    return shown(smoothing.fitted_smoothing(_brand_daily(spark, d)), ["yhat"], 2)
+
+
 @register
 def forecast_gbt(spark, d):
     return shown(boosted_forecast(_brand_daily(spark, d), keys=["product"]).forecast, ["yhat"])

@@ -1,9 +1,8 @@
-"""Session defaults and held rollups."""
+"""Session defaults."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def build_session(app_name: str = "tallyspark", master: str | None = None, **conf: str) -> SparkSession:
@@ -24,11 +23,3 @@ def build_session(app_name: str = "tallyspark", master: str | None = None, **con
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
-
-def keep(df: DataFrame) -> DataFrame:
-    """Hold a small rollup that many branches of one plan start from.
-
-    Nothing runs while the plan is built. The first use computes the rollup from the raw table; a lost
-    executor costs the recomputation of its part, and no folder is needed.
-    """
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
