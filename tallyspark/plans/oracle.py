@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tallyspark.operators.fourier import CHANGE_PENALTY, CHANGES, REACH, SIZE, WAVE_PENALTY, WEEK_WAVES, YEAR_WAVES
 from tallyspark.plans.queries import FESTIVALS, PEAK_SHARE, SLOW_RATE, SLOW_SALES
 
 ORACLE: dict[str, str] = {}
@@ -800,3 +801,43 @@ SELECT d.product, n_days, round(adf, 3) AS adf, round(adf_changes, 3) AS adf_cha
 ) + """,
        CASE WHEN n_known < 5 THEN 'too_short' WHEN aic IS NULL THEN 'mean' ELSE 'fitted' END AS status
 FROM days d JOIN known_days USING (product) JOIN chosen_d USING (product) LEFT JOIN best b ON b.product = d.product"""
+
+
+# --- piecewise trend with Fourier seasons ----------------------------------------------------------------
+
+WAVES = ", ".join(
+    f"line * {f}((date - DATE '1970-01-01') * 2 * pi() * {k} / {period})"
+    for period, waves in ((7, WEEK_WAVES), (365.25, YEAR_WAVES)) for k in range(1, waves + 1) for f in ("cos", "sin")
+)
+RAMPS = ", ".join(f"greatest(u - {REACH * (k + 1) / (CHANGES + 1)!r}, 0)" for k in range(CHANGES))
+FOURIER_PARTS = (
+    BRAND_SALES, BRAND_DAILY, KNOWN,
+    """spans AS (
+  SELECT product, min(date) AS first, CAST(greatest(max(date) FILTER (y IS NOT NULL) - min(date), 1) AS DOUBLE) AS span,
+         CASE WHEN abs(avg(y)) > 1e-8 THEN abs(avg(y)) ELSE 1 END AS unit
+  FROM known GROUP BY 1)""",
+    "scaled AS (SELECT k.*, (k.date - s.first) / s.span AS u, k.y / s.unit AS v FROM known k JOIN spans s USING (product))",
+    "lines AS (SELECT product, coalesce(regr_slope(v, u), 0) AS slope, avg(u) FILTER (y IS NOT NULL) AS mid, avg(v) AS base FROM scaled GROUP BY 1)",
+    "lined AS (SELECT s.*, greatest(base + slope * (u - mid), 0.05) AS line FROM scaled s JOIN lines USING (product))",
+    f"featured AS (SELECT product, date, y, u, CAST([1, u, {RAMPS}, {WAVES}] AS DOUBLE[]) AS x, v FROM lined)",
+    f"""wide_gram AS (
+  SELECT product, i, j, sum(CAST(x[i] AS DOUBLE) * (CASE WHEN j > {SIZE} THEN v ELSE x[j] END)) AS v, count(*) AS n
+  FROM featured, range(1, {SIZE + 1}) a(i), range(1, {SIZE + 2}) b(j) WHERE y IS NOT NULL GROUP BY ALL)""",
+    f"""wide_system AS (
+  SELECT product, CAST({SIZE} AS BIGINT) AS size, i, j,
+         v + CASE WHEN i <> j THEN 0 WHEN i <= 2 THEN 1e-9 * n WHEN i <= {2 + CHANGES} THEN {CHANGE_PENALTY} * n ELSE {WAVE_PENALTY} * n END AS v
+  FROM wide_gram)""",
+    eliminated("ridge", "product", "wide_system"),
+    f"ridged AS (SELECT product, list(v ORDER BY x) AS f, avg(abs(v)) FILTER (x BETWEEN 3 AND {2 + CHANGES}) AS change FROM ridge GROUP BY 1)",
+    "valued AS (SELECT f.*, list_dot_product(f.x, r.f) AS fit, r.change FROM featured f JOIN ridged r USING (product))",
+    "noises AS (SELECT product, sqrt(sum((v - fit) * (v - fit)) / greatest(count(*) - 1, 1)) AS noise FROM valued WHERE y IS NOT NULL GROUP BY 1)",
+    f"""banded AS (
+  SELECT product, date, y, fit * unit AS yhat, unit * 1.96 * sqrt(noise * noise + {CHANGES / REACH * 2 / 3!r} * change * change * greatest(u - 1, 0) ** 3) AS spread
+  FROM valued JOIN noises USING (product) JOIN spans USING (product))""",
+)
+ORACLE["forecast_fourier"] = with_(*FOURIER_PARTS).replace("WITH ", "WITH RECURSIVE ", 1) + f"""
+SELECT product, {day_text()} AS date, y, round(yhat, 2) AS yhat, round(yhat - spread, 2) AS yhat_lower, round(yhat + spread, 2) AS yhat_upper, y IS NULL AS is_future
+FROM banded"""
+ORACLE["trend_changes"] = with_(*FOURIER_PARTS).replace("WITH ", "WITH RECURSIVE ", 1) + f"""
+SELECT product, strftime(CAST(first + CAST(ceil({REACH} * (x - 2) / {CHANGES + 1} * span) AS INTEGER) AS DATE), '%Y-%m-%d') AS date, round(v * unit / span, 4) AS slope_change
+FROM ridge JOIN spans USING (product) WHERE x BETWEEN 3 AND {2 + CHANGES}"""

@@ -18,7 +18,7 @@ from tallyspark.functions.dates import time_features as with_time_features
 from tallyspark.operators import alerts as al
 from tallyspark.operators import anomalies as an
 from tallyspark.operators import forecasting as fc
-from tallyspark.operators import ingest, insights, inventory, kpis, rollups, sarima, series, smoothing
+from tallyspark.operators import fourier, ingest, insights, inventory, kpis, rollups, sarima, series, smoothing
 from tallyspark.operators.boosting import boosted_forecast
 from tallyspark.plans import catalog
 from tallyspark.sources.audit import audit_entry
@@ -643,6 +643,16 @@ def forecast_smoothing(spark, d):
     return shown(smoothing.fitted_smoothing(_brand_daily(spark, d)), ["yhat"], 2)
 
 
+@register
+def forecast_fourier(spark, d):
+    return shown(fourier.fourier_trend(_brand_daily(spark, d)), BAND, 2)
+
+
+@register
+def trend_changes(spark, d):
+    return shown(fourier.change_points(_brand_daily(spark, d)), ["slope_change"])
+
+
 @register
 def forecast_gbt(spark, d):
     return shown(boosted_forecast(_brand_daily(spark, d), keys=["product"]).forecast, ["yhat"])

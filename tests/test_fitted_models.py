@@ -194,3 +194,46 @@ def test_fitted_forecast_follows_its_states(spark):
         f = fit[r["product"]]
         i = (r.date - f.last_date).days
         assert r.yhat == pytest.approx((f.level + i * f.trend) * f.seasons[(i - 1) % 7])
+
+
+# ---- piecewise trend and waves ----
+
+
+def test_fourier_trend_recovers_a_planted_break(spark):
+    from tallyspark.operators import fourier
+
+    n = 800
+    t = np.arange(n)
+    rng = np.random.default_rng(8)
+    level = 200 + 0.2 * t + np.where(t > 360, 0.9 * (t - 360), 0)
+    ys = level * (1 + 0.3 * np.sin(2 * np.pi * t / 7)) + rng.normal(0, 4, n)
+    data = table(spark, {"a": ys, "one": [5], "zero": [0] * 40, "two": [3, 4]})
+    rows = fourier.fourier_trend(data, horizon=20).collect()
+    mine = sorted((r for r in rows if r["product"] == "a"), key=lambda r: r.date)
+    assert len(mine) == n + 20 and sum(r.is_future for r in mine) == 20
+    ahead = np.arange(n, n + 20)
+    truth = (200 + 0.2 * ahead + 0.9 * (ahead - 360)) * (1 + 0.3 * np.sin(2 * np.pi * ahead / 7))
+    got = np.array([r.yhat for r in mine[n:]])
+    assert np.abs(got / truth - 1).mean() < 0.05
+    widths = [r.yhat_upper - r.yhat_lower for r in mine[n:]]
+    assert all(b > a for a, b in zip(widths, widths[1:]))
+    inside = np.mean([r.yhat_lower <= r.y <= r.yhat_upper for r in mine[:n]])
+    assert inside > 0.9
+    # Every series is forecast, however short.
+    assert {r["product"] for r in rows if r.is_future} == {"a", "one", "zero", "two"}
+    assert all(abs(r.yhat) < 1e-6 for r in rows if r["product"] == "zero")
+    changes = [r for r in fourier.change_points(data).collect() if r["product"] == "a"]
+    assert len(changes) == fourier.CHANGES
+    top = max(changes, key=lambda r: r.slope_change)
+    assert abs((top.date - FIRST).days - 360) <= n * fourier.REACH / (fourier.CHANGES + 1)
+    assert abs(sum(r.slope_change for r in changes) - 0.9) < 0.25
+
+
+def test_autoregression_and_backtest_keep_short_series(spark):
+    data = table(spark, {"short": [1, 2, 3], "long": simulated(6, 90, ar=[(1, 0.5)])})
+    rows = fc.autoregressive(data, horizon=3).collect()
+    assert sorted((r["product"], r.status, r.yhat is None) for r in rows) == [("long", "fitted", False)] * 3 + [("short", "too_short", True)]
+    for model in ("trend_seasonal", "autoregressive", "holt_winters"):
+        found = {r["product"]: r for r in fc.backtest(data, model, step=5).collect()}
+        assert found["short"].status == "too_short" and found["short"].n == 0 and found["short"].mae is None
+        assert found["long"].status == "scored" and found["long"].mae > 0
