@@ -841,3 +841,13 @@ FROM banded"""
 ORACLE["trend_changes"] = with_(*FOURIER_PARTS).replace("WITH ", "WITH RECURSIVE ", 1) + f"""
 SELECT product, strftime(CAST(first + CAST(ceil({REACH} * (x - 2) / {CHANGES + 1} * span) AS INTEGER) AS DATE), '%Y-%m-%d') AS date, round(v * unit / span, 4) AS slope_change
 FROM ridge JOIN spans USING (product) WHERE x BETWEEN 3 AND {2 + CHANGES}"""
+
+
+# --- quantiles of raw rows ------------------------------------------------------------------------------
+
+ORACLE["raw_sales_quantiles"] = with_(SALES) + """
+SELECT CAST(s AS DOUBLE) AS share, round(q, 4) AS quantile FROM (
+  SELECT unnest([0.01, 0.25, 0.5, 0.75, 0.99]) AS s, unnest(quantile_cont(CAST(sales AS DOUBLE), [0.01, 0.25, 0.5, 0.75, 0.99])) AS q FROM sales)"""
+ORACLE["raw_sales_outliers"] = with_(SALES, """fences AS (
+  SELECT quantile_cont(CAST(sales AS DOUBLE), 0.25) AS a, quantile_cont(CAST(sales AS DOUBLE), 0.75) AS b FROM sales)""") + """
+SELECT product, count(*) AS n_outliers FROM sales, fences WHERE sales < a - 0.4 * (b - a) OR sales > b + 0.4 * (b - a) GROUP BY 1"""

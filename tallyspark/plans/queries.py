@@ -18,7 +18,7 @@ from tallyspark.functions.dates import time_features as with_time_features
 from tallyspark.operators import alerts as al
 from tallyspark.operators import anomalies as an
 from tallyspark.operators import forecasting as fc
-from tallyspark.operators import fourier, ingest, insights, inventory, kpis, rollups, sarima, series, smoothing
+from tallyspark.operators import fourier, ingest, insights, inventory, kpis, quantiles, rollups, sarima, series, smoothing
 from tallyspark.operators.boosting import boosted_forecast
 from tallyspark.plans import catalog
 from tallyspark.sources.audit import audit_entry
@@ -432,6 +432,21 @@ def reorder_panel(spark, d):
     return shown(panel, ["daily_sales", "safety_stock", "reorder_at", "order_now", "stock_days"])
 
 
+# --- quantiles of raw rows ------------------------------------------------------------------------------
+
+@register
+def raw_sales_quantiles(spark, d):
+    """Of every line item, not of daily totals."""
+    return shown(quantiles.exact_quantiles(catalog.sales_by_part(spark, d), "sales", (0.01, 0.25, 0.5, 0.75, 0.99)), ["quantile"])
+
+
+@register
+def raw_sales_outliers(spark, d):
+    """Line items beyond the fences of all line items, per product."""
+    marked = quantiles.raw_fences(catalog.sales_by_part(spark, d), "sales", 0.4)
+    return marked.filter("is_outlier").groupBy("product").agg(F.count(F.lit(1)).alias("n_outliers"))
+
+
 # --- alerts ---------------------------------------------------------------------------------------------
 
 def _alert_centre(spark, d):

@@ -1,8 +1,13 @@
-"""Upload audit log: one appended Parquet row per ingest."""
+"""Upload audit log: one Parquet row per ingest, in a folder of its own.
+
+A folder is named by the upload, and its files appear when the write is committed.  So an append that is repeated, or
+tried again after a failure, leaves one row, and uploads that are logged at the same time do not meet.
+"""
 
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,10 +33,19 @@ def audit_entry(
     )
 
 
-def append_audit(entry: DataFrame, path: str) -> None:
-    entry.coalesce(1).write.mode("append").parquet(path)
+def upload_key(entry: DataFrame) -> str:
+    """The key of an entry: its file, time and columns, without the row count."""
+    facts = [F.col("filename"), F.col("timestamp").cast("string"), F.to_json(F.struct("original_columns", "mapped_columns"))]
+    return entry.select(F.sha2(F.concat_ws("|", *facts), 256).alias("key")).first().key
+
+
+def append_audit(entry: DataFrame, path: str, upload_id: str | None = None) -> None:
+    """Log an upload; with the same ``upload_id`` (default: the entry's own key) the row is written again, not added."""
+    key = upload_id if upload_id is not None else upload_key(entry)
+    folder = hashlib.sha256(key.encode()).hexdigest()
+    entry.coalesce(1).write.mode("overwrite").parquet(f"{path.rstrip('/')}/upload-{folder}")
 
 
 def read_audit(spark: SparkSession, path: str) -> DataFrame:
-    """The log in order of time."""
-    return spark.read.schema(AUDIT_SCHEMA).parquet(path).orderBy("timestamp", "filename")
+    """The log in order of time, entries of all uploads."""
+    return spark.read.schema(AUDIT_SCHEMA).option("recursiveFileLookup", "true").parquet(path).orderBy("timestamp", "filename")

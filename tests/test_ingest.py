@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import by
 from tallyspark.functions.dates import to_moment
@@ -172,3 +173,20 @@ def test_export(spark):
     df = spark.createDataFrame([(dt.date(2024, 1, i + 1), i, [i]) for i in range(5)], "d date, n int, a array<int>")
     out = export_safe(df, 2, ["n"])
     assert [tuple(r) for r in out.collect()] == [("2024-01-01", 0, "[0]"), ("2024-01-02", 1, "[1]")]
+
+
+def test_audit_append_is_idempotent(spark, tmp_path):
+    path = str(tmp_path / "log")
+    df = spark.createDataFrame([(1,), (2,)], "a int")
+    entry = audit_entry(df, "f.csv", dt.datetime(2024, 1, 1), ["a"], {"date": "a"})
+    broken = entry.withColumn("rows_processed", F.raise_error(F.lit("lost")).cast("bigint"))
+    with pytest.raises(Exception, match="lost"):
+        append_audit(broken, path, upload_id="one")
+    append_audit(entry, path, upload_id="one")
+    append_audit(entry, path, upload_id="one")
+    assert [(r.filename, r.rows_processed) for r in read_audit(spark, path).collect()] == [("f.csv", 2)]
+    # Without a key the entry names itself: the same upload once, another time again.
+    append_audit(entry, path)
+    append_audit(entry, path)
+    append_audit(audit_entry(df.limit(1), "f.csv", dt.datetime(2024, 1, 2), ["a"], {"date": "a"}), path)
+    assert [r.rows_processed for r in read_audit(spark, path).collect()] == [2, 2, 1]
