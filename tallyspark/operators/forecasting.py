@@ -300,12 +300,14 @@ MODELS = {"trend_seasonal": trend_seasonal, "autoregressive": autoregressive, "h
 
 
 def forecast(series: DataFrame, model: str, horizon: int = 30, keys: Sequence[str] = ("product",), date: str = "date", sales: str = "sales") -> DataFrame:
-    """Any model by name in the common shape ``series_key, date, yhat, yhat_lower, yhat_upper, model``."""
+    """Any model by name in the common shape ``series_key, date, yhat, yhat_lower, yhat_upper, model``: forecast days only."""
     if model not in MODELS:
         raise ValueError(f"model must be one of {sorted(MODELS)}")
     if horizon < 1:
         raise ValueError("horizon must be positive")
     rows = MODELS[model](series, horizon, keys, date, sales)
+    # The status rows of series without a forecast have no day.
+    rows = rows.filter(F.col("date").isNotNull())
     key = F.concat_ws("|", *keys) if keys else F.lit("All Products")
     none = F.lit(None).cast("double")
     return rows.select(

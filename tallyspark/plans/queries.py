@@ -617,14 +617,12 @@ def backtest_accuracy(spark, d):
 
 @register
 def backtest_autoregressive(spark, d):
-    """Every thirtieth origin."""
-    return shown(fc.backtest(_brand_daily(spark, d), "autoregressive", step=30), ["mae", "mape"], 2)
+    return shown(fc.backtest(_brand_daily(spark, d), "autoregressive"), ["mae", "mape"], 2)
 
 
 @register
 def backtest_holt_winters(spark, d):
-    """Every thirtieth origin."""
-    return shown(fc.backtest(_brand_daily(spark, d), "holt_winters", step=30), ["mae", "mape"], 2)
+    return shown(fc.backtest(_brand_daily(spark, d), "holt_winters"), ["mae", "mape"], 2)
 
 
 @register
