@@ -182,10 +182,12 @@ def ar_coefficients(
 
 def autoregressive(
     series: DataFrame, horizon: int = 30, keys: Sequence[str] = ("product",), date: str = "date", sales: str = "sales", min_rows: int = 5,
+    with_status: bool = False,
 ) -> DataFrame:
     """Forecast of the chosen autoregression, rolled forward day by day from the day after the last.
 
-    ``status`` is ``fitted``; a series of under 5 days with data gives one row with status ``too_short`` and no forecast.
+    With ``with_status`` no series is left out: ``status`` is ``fitted``, and a series of under ``min_rows`` days with
+    data gives one row with status ``too_short`` and no forecast.
     """
     fit = ar_coefficients(series, keys, date, sales, min_rows)
     levels = F.col("recent")
@@ -207,6 +209,8 @@ def autoregressive(
     ahead = fit.select(*keys, "last_date", F.posexplode(path).alias("_i", "yhat")).select(
         *keys, F.date_add("last_date", F.col("_i") + 1).alias("date"), "yhat", F.lit("fitted").alias("status"),
     )
+    if not with_status:
+        return ahead.drop("status")
     days = _daily(series, keys, date, sales).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     short = days.filter(F.col("_n") < min_rows).select(
         *keys, F.lit(None).cast("date").alias("date"), F.lit(None).cast("double").alias("yhat"), F.lit("too_short").alias("status"),
@@ -306,8 +310,6 @@ def forecast(series: DataFrame, model: str, horizon: int = 30, keys: Sequence[st
     if horizon < 1:
         raise ValueError("horizon must be positive")
     rows = MODELS[model](series, horizon, keys, date, sales)
-    # The status rows of series without a forecast have no day.
-    rows = rows.filter(F.col("date").isNotNull())
     key = F.concat_ws("|", *keys) if keys else F.lit("All Products")
     none = F.lit(None).cast("double")
     return rows.select(
@@ -334,15 +336,16 @@ def forecast_direction(history: DataFrame, future: DataFrame, keys: Sequence[str
 
 def backtest(
     series: DataFrame, model: str = "trend_seasonal", window: int = 60, horizon: int = 7, step: int = 1,
-    keys: Sequence[str] = ("product",), date: str = "date", sales: str = "sales",
+    keys: Sequence[str] = ("product",), date: str = "date", sales: str = "sales", with_status: bool = False,
 ) -> DataFrame:
     """Rolling-origin accuracy per series: mean absolute and percentage error, pooled over all origins.
 
     Each origin trains on ``window`` rows and is scored on the following
     ``horizon`` days.  Origins become part of the series key, so any model fits
-    them all in one pass.  ``step`` thins the origins.  ``status`` is ``scored``;
-    a series shorter than ``window + horizon`` gives one row with status ``too_short``, and one whose
-    origins have no day to compare gives ``no_forecast``, both without measures.
+    them all in one pass.  ``step`` thins the origins.  With ``with_status`` no series
+    is left out: ``status`` is ``scored``, ``too_short`` for one shorter than
+    ``window + horizon``, or ``no_forecast`` where no origin has a day to compare,
+    the latter two without measures.
     """
     if model not in MODELS:
         raise ValueError(f"model must be one of {sorted(MODELS)}")
@@ -357,8 +360,10 @@ def backtest(
         scored = fitted.filter(F.col("_actual").isNotNull()).select(*keys, F.col("_actual").alias("y"), "yhat")
     else:
         predicted = MODELS[model](rows.filter(~F.col("_test")), horizon, by_origin, "date", "y")
-        scored = rows.filter("_test").join(predicted.drop("status"), [*by_origin, "date"])
+        scored = rows.filter("_test").join(predicted, [*by_origin, "date"])
     measured = accuracy_metrics(scored, keys)
+    if not with_status:
+        return measured
     if not keys:
         return measured.withColumn("status", F.when(F.col("n") > 0, "scored").otherwise("too_short"))
     days = series.filter(F.to_date(date).isNotNull()).groupBy(*keys).agg(F.count_distinct(F.to_date(date)).alias("_days"))

@@ -587,7 +587,7 @@ def ar_coefficients(spark, d):
 
 @register
 def forecast_autoregressive(spark, d):
-    return shown(fc.autoregressive(_brand_daily(spark, d)), ["yhat"], 2)
+    return shown(fc.autoregressive(_brand_daily(spark, d), with_status=True), ["yhat"], 2)
 
 
 @register
@@ -612,17 +612,17 @@ def accuracy_metrics(spark, d):
 
 @register
 def backtest_accuracy(spark, d):
-    return shown(fc.backtest(_brand_daily(spark, d)), ["mae", "mape"], 2)
+    return shown(fc.backtest(_brand_daily(spark, d), with_status=True), ["mae", "mape"], 2)
 
 
 @register
 def backtest_autoregressive(spark, d):
-    return shown(fc.backtest(_brand_daily(spark, d), "autoregressive"), ["mae", "mape"], 2)
+    return shown(fc.backtest(_brand_daily(spark, d), "autoregressive", with_status=True), ["mae", "mape"], 2)
 
 
 @register
 def backtest_holt_winters(spark, d):
-    return shown(fc.backtest(_brand_daily(spark, d), "holt_winters"), ["mae", "mape"], 2)
+    return shown(fc.backtest(_brand_daily(spark, d), "holt_winters", with_status=True), ["mae", "mape"], 2)
 
 
 @register

@@ -231,9 +231,9 @@ def test_fourier_trend_recovers_a_planted_break(spark):
 
 def test_autoregression_and_backtest_keep_short_series(spark):
     data = table(spark, {"short": [1, 2, 3], "long": simulated(6, 90, ar=[(1, 0.5)])})
-    rows = fc.autoregressive(data, horizon=3).collect()
+    rows = fc.autoregressive(data, horizon=3, with_status=True).collect()
     assert sorted((r["product"], r.status, r.yhat is None) for r in rows) == [("long", "fitted", False)] * 3 + [("short", "too_short", True)]
     for model in ("trend_seasonal", "autoregressive", "holt_winters"):
-        found = {r["product"]: r for r in fc.backtest(data, model, step=5).collect()}
+        found = {r["product"]: r for r in fc.backtest(data, model, step=5, with_status=True).collect()}
         assert found["short"].status == "too_short" and found["short"].n == 0 and found["short"].mae is None
         assert found["long"].status == "scored" and found["long"].mae > 0
