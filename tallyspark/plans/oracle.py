@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tallyspark.operators.boosting import BINS, GAIN_DIGITS, LEAF_ROWS, VALUE_DIGITS, feature_columns
 from tallyspark.operators.fourier import CHANGE_PENALTY, CHANGES, REACH, SIZE, WAVE_PENALTY, WEEK_WAVES, YEAR_WAVES
 from tallyspark.plans.queries import FESTIVALS, PEAK_SHARE, SLOW_RATE, SLOW_SALES
 
@@ -843,6 +844,40 @@ SELECT product, strftime(CAST(first + CAST(ceil({REACH} * (x - 2) / {CHANGES + 1
 FROM ridge JOIN spans USING (product) WHERE x BETWEEN 3 AND {2 + CHANGES}"""
 
 
+# --- boosted trees, one model for each series -----------------------------------------------------------
+
+BOOST_NAMES = feature_columns(False)
+BOOST_USABLE = f"""features AS (SELECT product, date, sales, {TIME}, {LAG}, {ROLL} FROM daily {FRAMES}),
+usable AS (
+  SELECT *, count(*) OVER (PARTITION BY product) AS n, row_number() OVER (PARTITION BY product ORDER BY date) AS r
+  FROM features WHERE {" AND ".join(f"{c} IS NOT NULL" for c in feature_columns(True))}),
+training AS (SELECT * EXCLUDE (n, r), r > floor(n * CAST(0.8 AS DOUBLE)) AS is_validation FROM usable WHERE n >= 50)"""
+ORACLE["boosted_training_rows"] = with_(BRAND_SALES, BRAND_DAILY, BOOST_USABLE) + f"SELECT * REPLACE ({day_text()} AS date) FROM training"
+ORACLE["boosted_future_rows"] = with_(BRAND_SALES, BRAND_DAILY, """newest AS (
+  SELECT *, row_number() OVER (PARTITION BY product ORDER BY date DESC) AS r FROM daily),
+ends AS (
+  SELECT product, max(date) AS last, round(avg(sales), 4) AS m, round(stddev_samp(sales) FILTER (r <= 7), 4) AS s7,
+         round(stddev_samp(sales) FILTER (r <= 14), 4) AS s14, round(stddev_samp(sales), 4) AS s30
+  FROM newest WHERE r <= 30 GROUP BY 1),
+coming AS (SELECT *, last + CAST(i AS INTEGER) AS date FROM ends, range(1, 31) t(i))""") + f"""
+SELECT product, {day_text()} AS date, {", ".join(f"m AS sales_rolling_mean_{n}, s{n} AS sales_rolling_std_{n}" for n in (7, 14, 30))}, {TIME} FROM coming"""
+# The same features, at the precision that splits are judged at.
+BOOST_EXACT = BOOST_USABLE.replace(", 4) END", f", {VALUE_DIGITS}) END")
+ORACLE["boosted_first_splits"] = with_(BRAND_SALES, BRAND_DAILY, BOOST_EXACT, f"""centred AS (
+  SELECT *, count(*) OVER (PARTITION BY product) AS n, sales - avg(sales) OVER (PARTITION BY product) AS g FROM training WHERE NOT is_validation),
+long AS ({" UNION ALL ".join(f"SELECT product, n, g, {i} AS place, '{c}' AS feature, CAST({c} AS DOUBLE) AS x FROM centred" for i, c in enumerate(BOOST_NAMES))}),
+binned AS (SELECT *, ((rank() OVER (PARTITION BY product, place ORDER BY x) - 1) * {BINS}) // n AS bin FROM long),
+sums AS (SELECT product, place, feature, bin, count(*) AS c, sum(g) AS s, sum(g * g) AS q, max(x) AS threshold FROM binned GROUP BY ALL),
+sides AS (
+  SELECT *, sum(c) OVER upto AS n_left, sum(s) OVER upto AS l, sum(c) OVER f AS n, sum(s) OVER f AS a, sum(q) OVER f AS v FROM sums
+  WINDOW f AS (PARTITION BY product, place), upto AS (PARTITION BY product, place ORDER BY bin ROWS UNBOUNDED PRECEDING)),
+judged AS (
+  SELECT *, n - n_left AS n_right, round((l * l / n_left + (a - l) * (a - l) / (n - n_left) - a * a / n) / v, {GAIN_DIGITS}) AS gain
+  FROM sides WHERE n_left >= {LEAF_ROWS} AND n - n_left >= {LEAF_ROWS} AND v > 0)""") + """
+SELECT product, feature, round(threshold, 4) AS threshold, CAST(n_left AS BIGINT) AS n_left, CAST(n_right AS BIGINT) AS n_right, round(gain, 4) AS gain
+FROM judged WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY product ORDER BY judged.gain DESC, place, bin) = 1"""
+
+
 # --- quantiles of raw rows ------------------------------------------------------------------------------
 
 ORACLE["raw_sales_quantiles"] = with_(SALES) + """

@@ -18,8 +18,7 @@ from tallyspark.functions.dates import time_features as with_time_features
 from tallyspark.operators import alerts as al
 from tallyspark.operators import anomalies as an
 from tallyspark.operators import forecasting as fc
-from tallyspark.operators import fourier, ingest, insights, inventory, kpis, quantiles, rollups, sarima, series, smoothing
-from tallyspark.operators.boosting import boosted_forecast
+from tallyspark.operators import boosting, fourier, ingest, insights, inventory, kpis, quantiles, rollups, sarima, series, smoothing
 from tallyspark.plans import catalog
 from tallyspark.sources.audit import audit_entry
 from tallyspark.sources.files import export_safe
@@ -666,6 +665,30 @@ def trend_changes(spark, d):
     return shown(fourier.change_points(_brand_daily(spark, d)), ["slope_change"])
 
 
+@register
+def boosted_training_rows(spark, d):
+    return shown(boosting.training_rows(_brand_doubles(spark, d), ["product"]), ROLLING)
+
+
+@register
+def boosted_future_rows(spark, d):
+    return shown(boosting.future_features(_brand_doubles(spark, d), 30, ["product"]), ROLLING)
+
+
+@register
+def boosted_first_splits(spark, d):
+    """What the first tree of every series splits on first."""
+    rows = boosting.training_rows(_brand_doubles(spark, d), ["product"])
+    return shown(boosting.first_splits(rows, ["product"], boosting.feature_columns()), ["threshold", "gain"])
+
+
+@register
+def boosted_quality(spark, d):
+    """Every series with its status, rounds, validation error and first split."""
+    fits = boosting.boosted_fit(_brand_daily(spark, d), keys=["product"]).drop("splits", "yhat")
+    return shown(fits, ["mae", "rmse", "first_threshold"])
+
+
 @register
 def forecast_gbt(spark, d):
-    return shown(boosted_forecast(_brand_daily(spark, d), keys=["product"]).forecast, ["yhat"])
+    return shown(boosting.boosted_forecast(_brand_daily(spark, d), keys=["product"]).forecast, ["yhat"])
