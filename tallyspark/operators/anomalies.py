@@ -1,7 +1,7 @@
 """Anomaly rules over daily series.
 
-Inputs are daily rows (``date, sales`` plus optional series keys), so windows
-without keys run over calendar-bounded data: a century of days is 36,525 rows.
+Inputs are daily rows (``date, sales`` plus optional series keys).  Windows without
+keys run over stretches of the series, in as many tasks.
 """
 
 from __future__ import annotations
@@ -9,10 +9,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, WindowSpec
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyspark.functions.numeric import ratio
+from tallyspark.operators.stretches import count_rows, windowed
 from tallyspark.schemas import require_columns
 
 METHODS = ("zscore", "iqr", "mad")
@@ -20,10 +20,6 @@ METHODS = ("zscore", "iqr", "mad")
 MAD_SCALE = 0.6745
 
 
-def _frame(keys: Sequence[str], date: str, start: int, end: int) -> WindowSpec:
-    return W.partitionBy(*keys).orderBy(date).rowsBetween(start, end)
-
-
 def _series(daily: DataFrame, keys: Sequence[str], date: str, sales: str) -> DataFrame:
     """Rows with a usable value, measured as DOUBLE, under the names ``date`` and ``sales``."""
     require_columns(daily, [*keys, date, sales])
@@ -48,13 +44,11 @@ def rolling_band(
 
     Expects a gap-free daily series.
     """
-    frame = _frame(keys, "date", 1 - window, 0)
-    rows = _series(filled, keys, date, sales).select(
-        *keys, "date", "sales",
-        F.avg("sales").over(frame).alias("rolling_mean"),
-        F.stddev_samp("sales").over(frame).alias("rolling_std"),
-        F.count("sales").over(frame).alias("_n"),
-    )
+    def band(series: WindowSpec) -> dict[str, Column]:
+        frame = series.rowsBetween(1 - window, 0)
+        return {"rolling_mean": F.avg("sales").over(frame), "rolling_std": F.stddev_samp("sales").over(frame), "_n": F.count("sales").over(frame)}
+
+    rows = windowed(_series(filled, keys, date, sales), keys, "date", window - 1, 0, band)
     high = F.col("sales") > F.col("rolling_mean") + width * F.col("rolling_std")
     low = F.col("sales") < F.col("rolling_mean") - width * F.col("rolling_std")
     return rows.filter((F.col("_n") == window) & (high | low)).select(
@@ -73,13 +67,12 @@ def rolling_zscore(
     Short windows count from the first row; a series of one row yields nothing.
     With ``exclude_current`` a day is judged against the days before it only.
     """
-    frame = _frame(keys, "date", -window if exclude_current else 1 - window, -1 if exclude_current else 0)
-    rows = _series(daily, keys, date, sales).select(
-        *keys, "date", "sales",
-        F.avg("sales").over(frame).alias("mean_sales"),
-        F.nullif(F.stddev_samp("sales").over(frame), F.lit(0.0)).alias("std_dev_sales"),
-        F.count(F.lit(1)).over(W.partitionBy(*keys)).alias("_n"),
-    )
+    def trailing(series: WindowSpec) -> dict[str, Column]:
+        frame = series.rowsBetween(-window if exclude_current else 1 - window, -1 if exclude_current else 0)
+        return {"mean_sales": F.avg("sales").over(frame), "std_dev_sales": F.nullif(F.stddev_samp("sales").over(frame), F.lit(0.0))}
+
+    measured = _series(daily, keys, date, sales)
+    rows = windowed(measured, keys, "date", window, 0, trailing).withColumn("_n", count_rows(measured, keys))
     z = F.coalesce(ratio(F.col("sales") - F.col("mean_sales"), F.col("std_dev_sales")), F.lit(0.0))
     return rows.filter(F.col("_n") >= 2).withColumn("z_score", z).select(
         *keys, "date", "sales", "mean_sales", "std_dev_sales", "z_score",
@@ -153,11 +146,13 @@ def centred_average_anomalies(
     window: int = 7, gate_pct: float = 50.0,
 ) -> DataFrame:
     """Days further than ``gate_pct`` from their centred moving average; full windows only."""
-    frame = _frame(keys, "date", -(window // 2), (window - 1) // 2)
-    rows = _series(daily, keys, date, sales).select(
-        *keys, "date", "sales",
-        F.when(F.count("sales").over(frame) == window, F.avg("sales").over(frame)).alias("moving_avg"),
-    )
+    before, after = window // 2, (window - 1) // 2
+
+    def centred(series: WindowSpec) -> dict[str, Column]:
+        frame = series.rowsBetween(-before, after)
+        return {"moving_avg": F.when(F.count("sales").over(frame) == window, F.avg("sales").over(frame))}
+
+    rows = windowed(_series(daily, keys, date, sales), keys, "date", before, after, centred)
     deviation = F.col("sales") - F.col("moving_avg")
     # A zero average with a nonzero deviation is infinitely far off.
     far = F.when(F.col("moving_avg") == 0, deviation != 0).otherwise(F.col("deviation_pct") > gate_pct)
@@ -185,10 +180,9 @@ def detector(
     else:
         # The window is a quarter of the series, at most 30 rows: known only once the
         # series is, so a 30-row frame is carried and cut to size.
-        rows = rows.select(
-            "*", F.collect_list("sales").over(_frame((), "date", -29, 0)).alias("_last"),
-            F.count(F.lit(1)).over(W.partitionBy()).alias("_n"),
-        )
+        length = count_rows(rows, ())
+        rows = windowed(rows, (), "date", 29, 0, lambda series: {"_last": F.collect_list("sales").over(series.rowsBetween(-29, 0))})
+        rows = rows.withColumn("_n", length)
         size = F.least(F.lit(30), F.floor(F.col("_n") / 4).cast("int"))
         recent = F.when((size >= 2) & (F.size("_last") >= size), F.slice("_last", -size, size))
         count = F.size(recent).cast("double")

@@ -87,7 +87,8 @@ def future_features(daily: DataFrame, horizon: int, keys: Sequence[str]) -> Data
         F.max("date").alias("last_date"), F.avg("sales").alias("_mean"),
         *[F.stddev_samp(F.when(F.col("_rn") <= n, F.col("sales"))).alias(f"sales_rolling_std_{n}") for n in WINDOWS],
     )
-    days = stats.withColumn("_i", F.explode(F.sequence(F.lit(1), F.lit(horizon)))).select(
+    # Without keys an empty series still gives one row of statistics.
+    days = stats.filter(F.col("last_date").isNotNull()).withColumn("_i", F.explode(F.sequence(F.lit(1), F.lit(horizon)))).select(
         *keys, F.date_add("last_date", F.col("_i")).alias("date"),
         *[F.col("_mean").alias(f"sales_rolling_mean_{n}") for n in WINDOWS], *[f"sales_rolling_std_{n}" for n in WINDOWS],
     )

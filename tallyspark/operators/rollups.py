@@ -67,13 +67,13 @@ def fill_days(daily: DataFrame, keys: Sequence[str] = (), date: str = "date", va
     Each row carries its gap to the next row of the series and unfolds that gap
     in place, so no calendar is built and nothing is joined.
     """
+    from tallyspark.operators.stretches import with_next_date  # Stretches start from the rollups of this module.
+
     require_columns(daily, [*keys, date, value])
-    series = W.partitionBy(*keys).orderBy(date)
-    following = F.lead(date).over(series)
-    offsets = F.sequence(F.lit(0), F.coalesce(F.datediff(following, F.col(date)), F.lit(1)) - 1)
+    offsets = F.sequence(F.lit(0), F.coalesce(F.datediff("_next", F.col(date)), F.lit(1)) - 1)
     kind = daily.schema[value].dataType
     return (
-        daily.select(*keys, F.col(date), F.col(value), offsets.alias("_gap"))
+        with_next_date(daily.select(*keys, date, value), keys, date, "_next").select(*keys, F.col(date), F.col(value), offsets.alias("_gap"))
         .select(*keys, F.col(date).alias("_from"), F.col(value).alias("_value"), F.explode("_gap").alias("_k"))
         .select(
             *keys,
