@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 from tallyspark.functions.numeric import ratio
 from tallyspark.operators.stretches import count_rows, windowed
@@ -20,11 +21,12 @@ METHODS = ("zscore", "iqr", "mad")
 MAD_SCALE = 0.6745
 
 
-def _series(daily: DataFrame, keys: Sequence[str], date: str, sales: str) -> DataFrame:
-    """Rows with a usable value, measured as DOUBLE, under the names ``date`` and ``sales``."""
+def _series(daily: DataFrame, keys: Sequence[str], date: str, sales: str, exact: bool = False) -> DataFrame:
+    """Rows with a usable value, measured as DOUBLE, under the names ``date`` and ``sales``; ``_exact`` is the value as given."""
     require_columns(daily, [*keys, date, sales])
+    given = [F.col(sales).alias("_exact")] if exact else []
     return daily.select(
-        *keys, F.to_date(date).alias("date"), F.col(sales).cast("double").alias("sales")
+        *keys, F.to_date(date).alias("date"), F.col(sales).cast("double").alias("sales"), *given
     ).filter(F.col("sales").isNotNull())
 
 
@@ -114,7 +116,11 @@ def detect_anomalies(
     rows = _series(daily, keys, date, sales)
     x = F.col("sales")
     if method == "zscore":
-        found = _with_stats(rows, keys, {"_n": F.count("sales"), "_m": F.avg("sales"), "_sd": F.stddev_samp("sales")})
+        # Sums of decimals are exact, so the mean of money does not depend on the order of the rows.
+        money = isinstance(daily.schema[sales].dataType, DecimalType)
+        mean = F.sum("_exact").cast("double") / F.count("_exact") if money else F.avg("sales")
+        rows = _series(daily, keys, date, sales, exact=money)
+        found = _with_stats(rows, keys, {"_n": F.count("sales"), "_m": mean, "_sd": F.stddev_samp("sales")})
         hit = F.abs(ratio(x - F.col("_m"), F.col("_sd"))) > threshold
         expected = F.col("_m")
     elif method == "iqr":
