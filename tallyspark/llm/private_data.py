@@ -12,14 +12,15 @@ and discretised features. It decides on the candidates that are not base matches
 not overlap a base span join the spans. Base spans always stay.
 
 Everything happens in the row of a document; only the counts leave it. Null reads as empty. Offsets are
-code points, ends exclusive. Texts of any length are read whole, in time in proportion to their length:
-patterns never start twice inside one run of characters. Repeated rows give repeated results. Without
+code points, ends exclusive. Texts of any length are read whole: patterns never start twice inside one run
+of characters, and the work on matches grows as their number times its logarithm. Repeated rows give repeated results. Without
 candidates (or rows) the model is empty and only base spans count.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +44,7 @@ LOOSE = {
 }
 # A character that every match of a pattern has, so that most texts need no search.
 _NEEDS = {"email": "@", "phone": "+"}
+BLOCK = 1024  # Characters of a block when a text is put together again.
 # Gazetteers and cue words.
 DOMAINS = "com org net edu gov io info biz co de fr es uk us eu ch at nl it".split()
 CALLING_CODES = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 54 55 56 57 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
@@ -56,6 +58,25 @@ CUES = {
 AGAINST = "version|release|isbn|issn|page|chapter|section|order|invoice|ticket|serial|sku|doi"
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(values: Column, size: Column, op: Callable[[Column, Column], Column], start: int) -> Column:
+    """Running results of an associative ``op`` over an array of ints, by doubling: each round joins entries twice as far apart.
+
+    It takes a logarithm of the size in rounds, each of them linear; ``start`` is the neutral value.
+    """
+    rounds = F.filter(F.sequence(F.lit(0), F.lit(30)), lambda k: F.pow(F.lit(2), k) < size)
+
+    def step(state: Column, k: Column) -> Column:
+        back = F.array_repeat(F.lit(start), F.pow(F.lit(2), k).cast("int"))
+        return F.zip_with(F.slice(F.concat(back, state), 1, F.size(state)), state, lambda a, b: op(a, b))
+
+    return F.aggregate(rounds, values, step)
+
+
 def _spans(text: Column, pattern: str, kind: str, needs: str | None) -> Column:
     """Array of (kind, start, end, value, before, after) of the leftmost non-overlapping matches."""
     kind_no = KINDS.index(kind)
@@ -64,16 +85,14 @@ def _spans(text: Column, pattern: str, kind: str, needs: str | None) -> Column:
     between = F.split(text, pattern, -1)
     zipped = F.zip_with(found, F.zip_with(F.slice(between, 1, F.size(found)), F.slice(between, 2, F.size(found)), lambda b, a: F.struct(b.alias("before"), a.alias("after"))), lambda v, x: F.struct(v.alias("value"), x["before"].alias("before"), x["after"].alias("after")))
 
-    def add(state: Column, x: Column) -> Column:
-        start = (state["at"] + F.length(x["before"])).cast("int")
-        end = (start + F.length(x["value"])).cast("int")
-        entry = F.struct(
-            F.lit(kind_no).alias("kind"), start.alias("start"), end.alias("end"), x["value"].alias("value"),
+    def placed(matches: Column) -> Column:
+        ends = running(F.transform(matches, lambda x: F.length(x["before"]) + F.length(x["value"])), F.size(matches), lambda a, b: a + b, 0)
+        return F.zip_with(matches, ends, lambda x, end: F.struct(
+            F.lit(kind_no).alias("kind"), (end - F.length(x["value"])).alias("start"), end.alias("end"), x["value"].alias("value"),
             F.lower(F.right(x["before"], F.lit(48))).alias("before"), F.left(x["after"], F.lit(1)).alias("after"),
-        )
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(entry)).alias("out"))
+        ))
 
-    listed = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), empty.alias("out")), add, lambda state: state["out"])
+    listed = bound(zipped, placed)
     might = text.contains(needs) if needs else text.rlike(pattern)
     return F.when(might, listed).otherwise(empty)
 
@@ -226,22 +245,57 @@ def find(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
     base = found.select("doc_id", "spans", F.filter("spans", lambda x: x["base"]).alias("base"), table.alias("weights"))
     limit = math.log(threshold / (1 - threshold))
-    extra = F.filter("spans", lambda x: ~x["base"] & (odds(x) > limit) & ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    return base.select("doc_id", plain(F.col("base")).alias("base"), plain(F.array_union("base", extra)).alias("spans"))
+    likely = F.filter("spans", lambda x: ~x["base"] & (odds(x) > limit))
+    judged = base.select("doc_id", plain(F.col("base")).alias("base"), plain(likely).alias("extra"))
+    return judged.select("doc_id", "base", F.array_sort(F.concat("base", _apart(F.col("extra"), F.col("base")))).alias("spans"))
 
 
-def redact(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its kind in brackets; overlapping spans are replaced once."""
-    names = F.array(*[F.lit(f"[{k}]") for k in KINDS])
+def _apart(extra: Column, base: Column) -> Column:
+    """The extra spans that overlap no base span, in one sweep over both in order of their starts.
+
+    Such a span starts at or after the ends of the base spans before it, and ends at or before the start of the next one.
+    """
+    far = 2**31 - 1
+    both = F.array_sort(F.concat(
+        F.transform(base, lambda x: F.struct(x["start"].alias("start"), F.lit(0).alias("turn"), x["kind"].alias("kind"), x["end"].alias("end"))),
+        F.transform(extra, lambda x: F.struct(x["start"].alias("start"), F.lit(1).alias("turn"), x["kind"].alias("kind"), x["end"].alias("end"))),
+    ))
+
+    def sweep(rows: Column) -> Column:
+        ended = running(F.transform(rows, lambda x: F.when(x["turn"] == 0, x["end"]).otherwise(F.lit(0))), F.size(rows), F.greatest, 0)
+        starts = F.transform(F.reverse(rows), lambda x: F.when(x["turn"] == 0, x["start"]).otherwise(F.lit(far)))
+        due = F.reverse(running(starts, F.size(rows), F.least, far))
+        marked = F.zip_with(rows, F.zip_with(ended, due, lambda a, b: F.struct(a.alias("ended"), b.alias("due"))), lambda x, w: F.struct(
+            x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"),
+            ((x["turn"] == 1) & (w["ended"] <= x["start"]) & (x["end"] <= w["due"])).alias("free"),
+        ))
+        return F.transform(F.filter(marked, lambda x: x["free"]), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
+
+    return F.when((F.size(base) == 0) | (F.size(extra) == 0), extra).otherwise(bound(both, sweep))
 
-    def step(state: Column, s: Column) -> Column:
-        fresh = s["start"] >= state["at"]
-        piece = F.concat(F.substring(text, state["at"] + 1, s["start"] - state["at"]), F.get(names, s["kind"]))
-        return F.struct(F.when(fresh, s["end"]).otherwise(F.greatest(state["at"], s["end"])).alias("at"), F.when(fresh, F.concat(state["out"], F.array(piece))).otherwise(state["out"]).alias("out"))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    done = F.aggregate(spans, start, step, lambda state: F.concat(F.concat_ws("", state["out"]), F.substring(text, state["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+def redact(text: Column, spans: Column) -> Column:
+    """The text with each span replaced by its kind in brackets; overlapping spans are replaced once, by the first.
+
+    The text is cut into blocks once, and what lies between two spans is put together from the blocks it touches.
+    """
+    names = F.array(*[F.lit(f"[{k}]") for k in KINDS])
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+    def between(cut: Column, start: Column, end: Column) -> Column:
+        first = F.floor(start / BLOCK).cast("int")
+        touched = F.array_join(F.slice(cut, first + 1, F.ceil(end / BLOCK).cast("int") - first), "")
+        return F.when(end > start, F.substring(touched, start - first * BLOCK + 1, end - start)).otherwise("")
+
+    def join(cut: Column) -> Column:
+        ends = running(F.transform(spans, lambda s: s["end"]), F.size(spans), F.greatest, 0)
+        # What lies before each span begins where all spans before it have ended; the last entry is the end of the text.
+        total = F.length(text)
+        starts = F.concat(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.get(names, s["kind"]).alias("name"))), F.array(F.struct(total.alias("start"), F.lit("").alias("name"))))
+        pieces = F.zip_with(starts, F.concat(F.array(F.lit(0)), ends), lambda s, at: F.when(s["start"] >= at, F.concat(between(cut, at, s["start"]), s["name"])).otherwise(""))
+        return F.array_join(pieces, "")
+
+    return F.when(F.size(spans) > 0, bound(blocks, join)).otherwise(text)
 
 
 def report(found: DataFrame) -> DataFrame:
