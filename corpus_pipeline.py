@@ -55,8 +55,11 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the ids and of the decoded text of every document."""
-    return bpe.encode(docs, tokenizer("byte_bpe_50k.json"), keep_ids=False)
+    """The token ids of every document, their count, and digests of the ids and of the decoded text.
+
+    ``ids`` holds them as little-endian unsigned 32-bit integers.
+    """
+    return bpe.encode(docs, tokenizer("byte_bpe_50k.json"))
 
 
 STAGES = [

@@ -209,4 +209,6 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
     kept = {r.doc_id: r for r in docs.collect()}
     assert set(kept) == {*range(30), None}
     assert kept[None].text == "mail me at [email] in the evening" and kept[3].text == prose[3]
-    assert {r.doc_id for r in pipeline.run(spark, str(tmp_path)).collect()} == set(kept)
+    stored = pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in stored} == set(kept)
+    assert all(len(r.ids) == 4 * r.n_tokens and hashlib.sha256(r.ids).hexdigest() == r.ids_sha256 for r in stored)
