@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.llm import bloom
 from tallyspark.llm.textkit import row_key, settle, slices
 
 _GEAR = np.random.default_rng(32).integers(0, 2**32, 256, dtype=np.uint32)
@@ -209,6 +210,14 @@ def digest(core: str) -> bytes:
     return hashlib.blake2b(core.encode(), digest_size=16).digest()
 
 
+def _first_words(digests: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(digests), np.uint64)[::2]
+
+
+def _digest_keys(column: pa.Array) -> np.ndarray:
+    return _first_words(column.to_pylist())
+
+
 def finish(ids: bytes, decoded: bytes) -> tuple[int, str, str]:
     try:
         decoded.decode()
@@ -217,12 +226,12 @@ def finish(ids: bytes, decoded: bytes) -> tuple[int, str, str]:
     return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
 
-def encode(docs: DataFrame, tokenizer: str, keep_ids: bool = True, mask: int = 0x3FF, least: int = 256, prefilter: int = 2_000_000) -> DataFrame:
+def encode(docs: DataFrame, tokenizer: str, keep_ids: bool = True, mask: int = 0x3FF, least: int = 256, filter_words: int = bloom.MOST_WORDS) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` and, if kept, ``ids`` (32-bit little-endian) of every row.
 
     ``mask`` sets the mean chunk (one cut in mask + 1 bytes), ``least`` the smallest. The digests of shared
-    cores go to the tasks as a filter only while there are at most ``prefilter`` (8 bytes each); beyond that
-    every core takes part in the join.
+    cores go to the tasks as a Bloom filter of at most ``filter_words`` words of 64 bits, whatever their number.
+    A core that passes it by chance is dropped by the join. An empty table gives no rows.
     """
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.select("doc_id", row_key().alias("rk"), F.coalesce("text", F.lit("")).alias("text"))
@@ -236,17 +245,10 @@ def encode(docs: DataFrame, tokenizer: str, keep_ids: bool = True, mask: int = 0
     # A repeated row counts once for each time; what matters is only whether a core is there twice.
     occurrences = settle(rows.select("rk", "text").mapInArrow(list_cores, "rk binary, digest binary"))
     shared = settle(occurrences.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"))
-    known = None
-    if shared.count() <= prefilter:
-        known = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([int.from_bytes(r.digest[:8], "little") for r in shared.toLocalIterator()], np.uint64)))
+    known = docs.sparkSession.sparkContext.broadcast(bloom.build(shared, bloom.words_for(shared.count(), filter_words), _digest_keys))
 
     def is_known(found: list[bytes]) -> list[bool]:
-        if known is None:
-            return [True] * len(found)
-        if not len(known.value) or not found:
-            return [False] * len(found)
-        values = np.frombuffer(b"".join(found), np.uint64)[::2]
-        return (known.value[np.minimum(np.searchsorted(known.value, values), len(known.value) - 1)] == values).tolist()
+        return bloom.holds(known.value, _first_words(found)).tolist() if found else []
 
     def emit_cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

@@ -11,7 +11,8 @@ the folded words themselves. The last two do not depend on what stands before a
 
 Windows of ``window`` tokens are hash-joined with those of the benchmark, form by form; template windows with
 fewer literals than half of their tokens are left out, as they say nothing, and found by their literal form. Benchmark items shorter than the
-window count as one window of their own length, down to ``least`` words; shorter ones are not searched.
+window count as one window of their own length. Items of fewer than ``passage`` words stand in many clean texts by chance, so they
+are found where they are the whole text: by the folded words of all of it.
 
 Joined windows of one text and one item that lie on one alignment and follow each other form a run, whatever
 their forms; literal windows also form runs of their own. The
@@ -20,8 +21,8 @@ benchmark values never for the same one. A run of ``evidence`` words, or the who
 makes the document contaminated by that item; ``exact`` tells whether all slot values are the same.
 
 Null and empty texts are never contaminated; repeated rows have equal results; an empty benchmark finds
-nothing. Null item ids count as an item of their own. The benchmark's window hashes travel to the tasks
-as a prefilter only while they are at most ``prefilter`` (8 bytes each); beyond that all windows are joined.
+nothing. Null item ids count as an item of their own. Further columns are left aside. A Bloom filter of the benchmark's window hashes
+(at most ``filter_words`` words of 64 bits) travels to the tasks and spares the join most other windows, whatever the size of the benchmark.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyspark.llm import bloom
 from tallyspark.llm.textkit import _BASE, _IS_WORD, hash_spans, mix, row_key, settle, slices, text_bytes
 
 # Tokens that read as numbers or, after a number, as units.
@@ -166,8 +168,8 @@ _LITERAL = 2
 _HIT = "array<struct<hash:long,width:int,form:int,at:int,value:array<long>,slot:array<boolean>>>"
 
 
-def _windows(rows: DataFrame, sizes: list[int], whole: bool, least: int, known: np.ndarray | None) -> DataFrame:
-    """``id, n_tokens, hits`` of each row of ``id, text``; only windows of known hashes if those are given."""
+def _windows(rows: DataFrame, sizes: list[int], whole: bool, passage: int, known: np.ndarray | None) -> DataFrame:
+    """``id, n_tokens, hits`` of each row of ``id, text``; only windows that the filter holds if there is one."""
     kind = dict(rows.dtypes)["id"]
     shared = None if known is None else rows.sparkSession.sparkContext.broadcast(known)
     widest = max(sizes, default=0)
@@ -179,13 +181,13 @@ def _windows(rows: DataFrame, sizes: list[int], whole: bool, least: int, known:
             first = np.searchsorted(words.doc, np.arange(batch.num_rows + 1))
             counts = np.diff(first)
             hits: list[list[dict]] = [[] for _ in range(batch.num_rows)]
-            for n, form in [(n, form) for n in sizes for form in range(len(words.forms))]:
+            for n, form in [(n, form) for n in sizes for form in range(len(words.forms)) if n >= passage or form == _LITERAL]:
                 hashes, at = words.windows(n, form)
-                if whole and n < widest:  # a short item is one window
+                if (whole and n < widest) or n < passage:  # a short item is one window; the shortest ones are whole texts
                     keep = counts[words.doc[at]] == n
                     hashes, at = hashes[keep], at[keep]
                 if shared is not None:
-                    keep = _within(hashes, shared.value)
+                    keep = bloom.holds(shared.value, hashes)
                     hashes, at = hashes[keep], at[keep]
                 slot = words.forms[form][1]
                 for h, i in zip(hashes.view(np.int64).tolist(), at.tolist(), strict=True):
@@ -196,19 +198,17 @@ def _windows(rows: DataFrame, sizes: list[int], whole: bool, least: int, known:
     return rows.mapInArrow(run, f"id {kind}, n_tokens long, hits {_HIT}")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 8, evidence: int = 13, least: int = 5, prefilter: int = 2_000_000) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 8, evidence: int = 13, passage: int = 5, filter_words: int = bloom.MOST_WORDS) -> DataFrame:
     """``doc_id, rk, contaminated, n_items, n_exact, item_ids`` for every row of ``doc_id, text``."""
-    if not 0 < least <= window <= evidence:
-        raise ValueError("expected least <= window <= evidence")
-    sizes = list(range(least, window + 1))
-    items = settle(_windows(benchmark.select(F.col("item_id").alias("id"), "text"), sizes, True, least, None))
+    if not 0 < passage <= window <= evidence:
+        raise ValueError("expected passage <= window <= evidence")
+    sizes = list(range(1, window + 1))
+    items = settle(_windows(benchmark.select(F.col("item_id").alias("id"), "text"), sizes, True, passage, None))
     marks = settle(items.select(F.col("id").alias("item"), "n_tokens", F.inline("hits")).select("item", "n_tokens", F.col("hash"), "width", "form", F.col("at").alias("item_at"), F.col("value").alias("item_value"), "slot").distinct())
     per_size = {r.width: r.n for r in marks.groupBy("width").agg(F.count("*").alias("n")).collect()}  # one row a width
-    known = None
-    if sum(per_size.values()) <= prefilter:
-        known = np.sort(np.array([r.hash for r in marks.select("hash").distinct().collect()], np.int64).view(np.uint64))
+    known = bloom.build(marks.select("hash"), bloom.words_for(sum(per_size.values()), filter_words))
     rows = docs.select("doc_id", row_key().alias("rk"), "text")
-    found = _windows(rows.select(F.struct("doc_id", "rk").alias("id"), "text"), [n for n in sizes if n in per_size], False, least, known)
+    found = _windows(rows.select(F.struct("doc_id", "rk").alias("id"), "text"), [n for n in sizes if n in per_size], False, passage, known)
     found = settle(found.select("id.doc_id", "id.rk", "hits"))
     hits = found.where(F.size("hits") > 0).dropDuplicates(["rk"]).select("rk", F.inline("hits")).drop("slot", "form").withColumnRenamed("at", "doc_at")
     aligned = hits.join(marks, ["hash", "width"]).withColumn("shift", F.col("doc_at") - F.col("item_at"))

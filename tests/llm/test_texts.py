@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpus_fixtures import texts  # noqa: F401
-from tallyspark.llm import bpe, decontaminate, language, licences, lm_score, private_data, token_counts
+from tallyspark.llm import bloom, bpe, decontaminate, language, licences, lm_score, private_data, token_counts
 from tallyspark.llm.queries import tokenizer
 
 ODD = [
@@ -46,8 +46,8 @@ def test_bpe_equals_the_library_and_comes_back(texts):
         i: (len(x), hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest(), hashlib.sha256(library.decode(x, skip_special_tokens=False).encode()).hexdigest())
         for i, x in enumerate(ids)
     }
-    for prefilter in (2_000_000, 0):
-        out = bpe.encode(texts(ODD), path, mask=0x3F, least=32, prefilter=prefilter)
+    for filter_words in (bloom.MOST_WORDS, 1):
+        out = bpe.encode(texts(ODD), path, mask=0x3F, least=32, filter_words=filter_words)
         assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in out.collect()} == want
     assert {r.doc_id: r.text for r in bpe.decode(out, path).collect()} == {i: t or "" for i, t in enumerate(ODD)}
     assert bpe.encode(texts([]), path).count() == 0
@@ -185,9 +185,11 @@ def test_contamination(spark, texts):
         train.format(75, "London", 75), train.format(75, "London", 80), BENCH[0][1], "so " + BENCH[4][1].upper() + " da", "tiny one", "it says: Five words, are just enough; yes",
         None, "", "alle meine entchen schwimmen auf dem see und", "A train travels far from here",
     ]
-    want = [([1], 0), ([], 0), ([1], 1), ([4], 1), ([], 0), ([3], 1)] + [([], 0)] * 4
-    for prefilter in (2_000_000, 0):
-        rows = decontaminate.contamination(texts(values), benchmark, prefilter=prefilter).orderBy("doc_id").collect()
+    values += ["so a Tiny, one", "Tiny, one!"]
+    # The item of two words is found where it is the whole text.
+    want = [([1], 0), ([], 0), ([1], 1), ([4], 1), ([2], 1), ([3], 1)] + [([], 0)] * 5 + [([2], 1)]
+    for filter_words in (bloom.MOST_WORDS, 1):
+        rows = decontaminate.contamination(texts(values), benchmark, filter_words=filter_words).orderBy("doc_id").collect()
         assert [(r.item_ids, r.n_exact) for r in rows] == want
     assert not any(r.contaminated for r in decontaminate.contamination(texts(values), benchmark.limit(0)).collect())
     assert decontaminate.contamination(texts([]), benchmark).count() == 0

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from corpus_fixtures import texts  # noqa: F401
-from tallyspark.llm import decontaminate, language, licences, private_data, token_counts
+from tallyspark.llm import bloom, decontaminate, language, licences, private_data, token_counts
 from tallyspark.llm.queries import tokenizer
 
 
@@ -65,8 +65,8 @@ def test_contamination_whatever_stands_before(spark, texts):
         items[2][: items[2].index(" turns")] + " turns south near Vienna and ends in a delta",
     ]
     want = [([0], 1), ([1], 0), ([2], 1), ([3], 1), ([4], 1), ([], 0), ([], 0), ([], 0), ([2], 1)]
-    for prefilter in (2_000_000, 0):
-        rows = decontaminate.contamination(texts(values), benchmark, prefilter=prefilter).orderBy("doc_id").collect()
+    for filter_words in (bloom.MOST_WORDS, 1):
+        rows = decontaminate.contamination(texts(values), benchmark, filter_words=filter_words).orderBy("doc_id").collect()
         assert [(r.item_ids, r.n_exact) for r in rows] == want
 
 
