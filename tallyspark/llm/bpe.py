@@ -97,14 +97,17 @@ class Codec:
     def cut_apart(self, part: list[str], ids: list[int]) -> bool:
         """Deal the ids of neighbouring segments to them; false if a token reaches over a border."""
         ends = np.cumsum(self.sizes[ids])
-        wanted = np.cumsum([len(s.encode()) for s in part])
+        sizes = map(len, part) if "".join(part).isascii() else (len(s.encode()) for s in part)
+        wanted = np.cumsum(np.fromiter(sizes, np.int64, len(part)))
         cut = np.minimum(np.searchsorted(ends, wanted), len(ends) - 1)
         if not len(ends) or (ends[cut] != wanted).any():
             return False
-        raw, start = np.array(ids, "<u4").tobytes(), 0
-        for segment, end in zip(part, (cut + 1).tolist(), strict=True):
-            self.memo[segment] = (raw[4 * start : 4 * end], b"".join([self.table[i] for i in ids[start:end]]))
-            start = end
+        # All ids are decoded at once, and the bytes dealt like the ids.
+        raw, decoded = np.array(ids, "<u4").tobytes(), b"".join([self.table[i] for i in ids])
+        start = begin = 0
+        for segment, end, stop in zip(part, (4 * (cut + 1)).tolist(), wanted.tolist(), strict=True):
+            self.memo[segment] = (raw[start:end], decoded[begin:stop])
+            start, begin = end, stop
         return True
 
     def learn(self, segments: list[str]) -> None:
@@ -114,7 +117,8 @@ class Codec:
         """
         joint = [s for s in segments if len(s) > 1 and s[0] == " " and s[1].isalnum() and s[-1].isalnum()]
         quick = [s for s in joint if s.isascii() or max(s) < LATIN_END] if self.quick else []
-        quick = [s for s in quick if not any(t in s for t in self.special)] if quick else []
+        if quick and any(t in "".join(quick) for t in self.special):
+            quick = [s for s in quick if not any(t in s for t in self.special)]
         for at in range(0, len(quick), TOGETHER):
             part = quick[at : at + TOGETHER]
             ids = self.quick.encode_ordinary("".join(part))
@@ -278,7 +282,10 @@ def encode(docs: DataFrame, tokenizer: str, keep_ids: bool = True, mask: int = 0
         model = codec(tokenizer)
         for batch in slices(batches):
             texts = batch.column(2).to_pylist()
-            waits = [any(is_known([digest(p) for is_core, p in pieces(t, mask, least) if is_core])) for t in texts]
+            cores = [[digest(p) for is_core, p in pieces(t, mask, least) if is_core] for t in texts]
+            # One look at the filter for the whole batch: a text waits if it has a core that may be shared.
+            among = iter(is_known([d for found in cores for d in found]))
+            waits = [any([next(among) for _ in found]) for found in cores]
             ready = iter(model.encode([t for t, w in zip(texts, waits, strict=True) if not w]))
             yield result(batch, [t if w else None for t, w in zip(texts, waits, strict=True)], [None if w else next(ready) for w in waits])
 
