@@ -84,6 +84,11 @@ def day_text(col: str = "date") -> str:
 
 # --- ingest ---------------------------------------------------------------------------------------------
 
+ORACLE["distinct_rates"] = with_(RAW) + " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count(*) AS n_rows, count({c}) AS n_values, count(DISTINCT {c}) > 2 AND count(DISTINCT {c}) < 0.8 * count(*) AS suits FROM raw"
+    for c in ("item_price", "item_code", "sale_amount", "qty", "stock_level")
+)
+
 ORACLE["profile_columns"] = with_(RAW, PARSED, """facts AS (
   SELECT count(*) AS n, count(moment) AS date_ok, count(item_code) AS item_ok, count(DISTINCT item_code) AS items,
          count(DISTINCT item_price) AS prices, count(*) FILTER (CAST(item_price AS DOUBLE) > 0) AS price_pos, count(sale_amount) AS sale_ok, count(*) FILTER (sale_amount > 0) AS sale_pos,

@@ -18,7 +18,7 @@ from tallyspark.functions.dates import time_features as with_time_features
 from tallyspark.operators import alerts as al
 from tallyspark.operators import anomalies as an
 from tallyspark.operators import forecasting as fc
-from tallyspark.operators import boosting, fourier, ingest, insights, inventory, kpis, quantiles, rollups, sarima, series, smoothing
+from tallyspark.operators import boosting, fourier, ingest, insights, inventory, kpis, quantiles, rollups, sarima, series, sketches, smoothing
 from tallyspark.plans import catalog
 from tallyspark.sources.audit import audit_entry
 from tallyspark.sources.files import export_safe
@@ -72,6 +72,14 @@ def profile_columns(spark, d):
     return ingest.profile_columns(catalog.raw_upload(spark, d))
 
 
+@register
+def distinct_rates(spark, d):
+    """Which columns of the upload suit as a product list, by sketches that merge."""
+    raw = catalog.raw_upload(spark, d)
+    names = ["item_price", "item_code", "sale_amount", "qty", "stock_level"]
+    return sketches.distinct_decisions(sketches.sketch_columns(raw, names), raw).select("column_name", "n_rows", "n_values", "suits")
+
+
 @register
 def clean_sales(spark, d):
     return shown(ingest.clean_sales(catalog.raw_upload(spark, d), catalog.UPLOAD_MAPPING, catalog.WIDE))
