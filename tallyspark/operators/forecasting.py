@@ -25,8 +25,11 @@ INTERVAL_Z = 1.96
 FLOOR = 0.05
 
 
-def _daily(series: DataFrame, keys: Sequence[str], date: str, sales: str) -> DataFrame:
-    """Clean daily input: readable dates and values, one row per series and day."""
+def _daily(series: DataFrame, keys: Sequence[str], date: str, sales: str, partitions: int | None = None) -> DataFrame:
+    """Clean daily input: readable dates and values, one row per series and day.
+
+    Many series need ``partitions`` that grow with their rows (``rollups.partitions_for``); else the session's are used.
+    """
     require_columns(series, [*keys, date, sales])
     rows = series.select(*keys, F.to_date(date).alias("date"), F.col(sales).alias("_y"))
     rows = rows.filter(F.col("date").isNotNull() & F.col("_y").isNotNull())
@@ -35,7 +38,7 @@ def _daily(series: DataFrame, keys: Sequence[str], date: str, sales: str) -> Dat
         return daily
     # Fitting costs far more per byte than a scan, so the series keep all partitions
     # instead of being packed together by size; every later window and grouping reuses them.
-    return daily.repartition(int(series.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    return daily.repartition(partitions or int(series.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def _with_future(daily: DataFrame, keys: Sequence[str], horizon: int) -> DataFrame:
@@ -52,15 +55,16 @@ def _with_future(daily: DataFrame, keys: Sequence[str], horizon: int) -> DataFra
 
 def trend_seasonal(
     series: DataFrame, horizon: int = 30, keys: Sequence[str] = ("product",), date: str = "date", sales: str = "sales",
-    min_rows: int = 2,
+    min_rows: int = 2, partitions: int | None = None,
 ) -> DataFrame:
     """Linear trend times weekday index times month index, with a 95 % band.
 
     Returns history and future rows, as a multiplicative decomposition fitted per
     series: least-squares trend, then the ratio of sales to trend per weekday,
     then per month what remains.  All of it is window arithmetic over one shuffle.
+    ``partitions`` of that shuffle should grow with the rows where series are many.
     """
-    return _fit_trend_seasonal(_with_future(_daily(series, keys, date, sales), keys, horizon), keys, min_rows)
+    return _fit_trend_seasonal(_with_future(_daily(series, keys, date, sales, partitions), keys, horizon), keys, min_rows)
 
 
 def _fit_trend_seasonal(

@@ -24,6 +24,14 @@ def daily_sales(df: DataFrame, keys: Sequence[str] = (), date: str = "date", sal
     return df.filter(F.col(date).isNotNull()).groupBy(*keys, day(date).alias("date")).agg(F.sum(sales).alias("sales"))
 
 
+def partitions_for(df: DataFrame, per_task: int = 250_000) -> int:
+    """How many partitions leave about ``per_task`` rows to a task, however many there are; at least those of the session.
+
+    The rows are counted, which for a plain view of Parquet files reads their footers alone.
+    """
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // per_task))
+
+
 def hourly_sales(df: DataFrame, date: str = "date", sales: str = "sales") -> DataFrame:
     """Total per (day, hour): bounded by the calendar, whatever the number of rows; rows without a date are left out."""
     require_columns(df, [date, sales])

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import by
-from tallyspark.operators import forecasting as fc
+from tallyspark.operators import forecasting as fc, rollups
 from tallyspark.operators.boosting import boosted_forecast, feature_columns
 
 WEEK = [10, 20, 30, 40, 50, 60, 70]
@@ -162,3 +162,32 @@ def test_short_series_are_forecast_by_their_mean(days):
     for n in (1, 2, 13, 14):
         rows = fc.holt_winters(days([2.0, 4.0] * 7, product="a").orderBy("date").limit(n), 3).collect()
         assert len(rows) == 3 and (n == 14 or all(abs(r["yhat"] - (2.0 if n == 1 else 3.0 - (n % 2) / n)) < 1e-9 for r in rows))
+
+
+def test_tasks_grow_with_the_rows(spark, capsys):
+    parts = spark.range(3000).selectExpr("cast(id % 100 as string) product", "date_add(date'2024-01-01', cast(id % 41 as int)) date", "cast(id as double) sales")
+    session = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert rollups.partitions_for(parts) == session and rollups.partitions_for(parts.limit(0)) == session
+    assert rollups.partitions_for(parts, 100) == 30 and rollups.partitions_for(parts.union(parts), 100) == 60
+    dealt = rollups.daily_sales(parts.repartition(30, "product", "date"), ["product"])
+    many, few = (fc.trend_seasonal(x, 3, partitions=n) for x, n in ((dealt, 30), (rollups.daily_sales(parts, ["product"]), None)))
+    many.explain()
+    # Two exchanges, both of that many partitions: the rollup adds none of its own, which would not grow.
+    exchanges = [line for line in capsys.readouterr().out.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(exchanges) == 2 and all(", 30), REPARTITION_BY_NUM" in line for line in exchanges)
+    shown = [{(r["product"], r["date"], r["y"], round(r["yhat"], 6), round(r["yhat_upper"], 6)) for r in x.collect()} for x in (many, few)]
+    assert shown[0] == shown[1] and len(shown[0]) == many.count()
+
+
+def test_parts_are_dealt_out_by_their_rows(spark, tmp_path, monkeypatch, capsys):
+    from tallyspark.plans.queries import REGISTRY
+
+    rows = spark.range(400).selectExpr("id % 7 l_partkey", "timestamp'2024-01-01' + make_dt_interval(cast(id % 50 as int)) l_shipdate", "cast(id as double) l_extendedprice", "1d l_quantity")
+    rows.write.parquet(f"{tmp_path}/lineitem.parquet")
+    counted = rollups.partitions_for
+    monkeypatch.setattr(rollups, "partitions_for", lambda df: counted(df, 20))
+    forecast = REGISTRY["forecast_parts"](spark, str(tmp_path))
+    forecast.explain()
+    exchanges = [line for line in capsys.readouterr().out.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(exchanges) == 2 and all(", 20), REPARTITION_BY_NUM" in line for line in exchanges)
+    assert forecast.count() == 7 * 30
