@@ -86,6 +86,17 @@ def year_comes_last(df: DataFrame, name: str) -> Column:
     return F.coalesce(F.trim(F.col(name)).rlike(YEAR_LAST_START), F.lit(False))
 
 
+def telling_order(df: DataFrame, name: str) -> tuple[Column, Column]:
+    """Whether the text of a column can only read with the day first, and whether only with the month first.
+
+    Only a number above 12 in one of the two places tells: with two small ones both orders read, with two large ones none.
+    """
+    if not isinstance(df.schema[name].dataType, T.StringType):
+        return F.lit(False), F.lit(False)
+    text = F.trim(F.col(name))
+    return text.rlike(rf"^(1[3-9]|[2-9]\d){_SEP}(0?\d|1[0-2]){_SEP}"), text.rlike(rf"^(0?\d|1[0-2]){_SEP}(1[3-9]|[2-9]\d){_SEP}")
+
+
 def reads_day_first(df: DataFrame, name: str) -> Column:
     """Whether more values of the column read as dates with the day first than with the month first.
 
@@ -93,10 +104,7 @@ def reads_day_first(df: DataFrame, name: str) -> Column:
     """
     if not isinstance(df.schema[name].dataType, T.StringType):
         return F.lit(False)
-    # Only a number above 12 in one of the two places tells: with two small ones both orders read, with two large ones none.
-    text = F.trim(F.col(name))
-    day_leads = text.rlike(rf"^(1[3-9]|[2-9]\d){_SEP}(0?\d|1[0-2]){_SEP}")
-    month_leads = text.rlike(rf"^(0?\d|1[0-2]){_SEP}(1[3-9]|[2-9]\d){_SEP}")
+    day_leads, month_leads = telling_order(df, name)
     open_ = df.filter(year_comes_last(df, name))
     counts = F.count(F.when(day_leads, to_moment(df, name, True))) > F.count(F.when(month_leads, to_moment(df, name, False)))
     return open_.select(counts.alias("day_first")).scalar()

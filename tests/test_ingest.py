@@ -190,3 +190,19 @@ def test_audit_append_is_idempotent(spark, tmp_path):
     append_audit(entry, path)
     append_audit(audit_entry(df.limit(1), "f.csv", dt.datetime(2024, 1, 2), ["a"], {"date": "a"}), path)
     assert [r.rows_processed for r in read_audit(spark, path).collect()] == [2, 2, 1]
+
+
+def test_issues_read_the_upload_once(spark, capsys):
+    rows = [("25/04/2024", "1", "2"), ("03/04/2024", "x", None), ("04/13/2024", "123456789.5", "1"), ("26/04/2024", "y", "z"), (None, "q", "1"), ("5 May 2024", "2", "w")]
+    df = spark.createDataFrame(rows, "date string, sales string, quantity string")
+    roles = {c: c for c in df.columns}
+
+    def found(day_first):
+        return {(r["column_name"], r["message"].split()[0]): r["n_failed"] for r in ingest.ingest_issues(df, roles, "decimal(8,2)", day_first).collect()}
+
+    # With the month first: 03/04, 04/13 and the named month; with the day first: 25/04, 03/04, 26/04 and the named month.
+    assert found(False) == {("date", "Rows"): 3, ("date", "Dates"): 4, ("sales", "Unreadable"): 1, ("quantity", "Unreadable"): 2, ("sales", "Values"): 1}
+    assert found(True) == found(None) == {("date", "Rows"): 2, ("date", "Dates"): 4, ("sales", "Unreadable"): 2, ("quantity", "Unreadable"): 3}
+    ingest.ingest_issues(df, roles, "decimal(8,2)").explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Scan ") == 1 and "Subquery" not in plan and plan.count("Generate explode") == 1
