@@ -28,7 +28,7 @@ FLOOR = 0.05
 def _daily(series: DataFrame, keys: Sequence[str], date: str, sales: str, partitions: int | None = None) -> DataFrame:
     """Clean daily input: readable dates and values, one row per series and day.
 
-    Many series need ``partitions`` that grow with their rows (``rollups.partitions_for``); else the session's are used.
+    Many series need ``partitions`` that grow with their rows (``rollups.partitions_for``), where these are more than the session's.
     """
     require_columns(series, [*keys, date, sales])
     rows = series.select(*keys, F.to_date(date).alias("date"), F.col(sales).alias("_y"))
@@ -38,7 +38,7 @@ def _daily(series: DataFrame, keys: Sequence[str], date: str, sales: str, partit
         return daily
     # Fitting costs far more per byte than a scan, so the series keep all partitions
     # instead of being packed together by size; every later window and grouping reuses them.
-    return daily.repartition(partitions or int(series.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    return daily.repartition(max(partitions or 0, int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
 
 
 def _with_future(daily: DataFrame, keys: Sequence[str], horizon: int) -> DataFrame:

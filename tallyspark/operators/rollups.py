@@ -25,11 +25,11 @@ def daily_sales(df: DataFrame, keys: Sequence[str] = (), date: str = "date", sal
 
 
 def partitions_for(df: DataFrame, per_task: int = 250_000) -> int:
-    """How many partitions leave about ``per_task`` rows to a task, however many there are; at least those of the session.
+    """How many partitions leave at most about ``per_task`` rows to a task; at least one for each core.
 
     The rows are counted, which for a plain view of Parquet files reads their footers alone.
     """
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // per_task))
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // per_task))
 
 
 def hourly_sales(df: DataFrame, date: str = "date", sales: str = "sales") -> DataFrame:

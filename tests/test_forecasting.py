@@ -166,8 +166,8 @@ def test_short_series_are_forecast_by_their_mean(days):
 
 def test_tasks_grow_with_the_rows(spark, capsys):
     parts = spark.range(3000).selectExpr("cast(id % 100 as string) product", "date_add(date'2024-01-01', cast(id % 41 as int)) date", "cast(id as double) sales")
-    session = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    assert rollups.partitions_for(parts) == session and rollups.partitions_for(parts.limit(0)) == session
+    cores = spark.sparkContext.defaultParallelism
+    assert rollups.partitions_for(parts) == cores and rollups.partitions_for(parts.limit(0)) == cores
     assert rollups.partitions_for(parts, 100) == 30 and rollups.partitions_for(parts.union(parts), 100) == 60
     dealt = rollups.daily_sales(parts.repartition(30, "product", "date"), ["product"])
     many, few = (fc.trend_seasonal(x, 3, partitions=n) for x, n in ((dealt, 30), (rollups.daily_sales(parts, ["product"]), None)))
